@@ -1,8 +1,7 @@
 """String columns shared by all operators.
 
 Whitespace, line breaks and word boundaries follow Python's Unicode rules, which
-differ from Java's regex shorthands, so they are spelled out as character classes
-that Java and RE2 read alike.
+differ from Java's regex shorthands, so they are spelled out as character classes.
 """
 
 from __future__ import annotations
@@ -12,10 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, functions as F
 
 # The characters Python's str.strip() and str.split() treat as white space.
-WS_CLASS = (
-    r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+ASCII_WS = r"\x09-\x0d\x1c-\x20"
+WS_CLASS = ASCII_WS + r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WS = f"[{WS_CLASS}]"
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -25,6 +22,10 @@ WS_CHARS = (
 
 # The breaks Python's str.splitlines() recognises.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+ASCII_LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]"
+
+# First bytes, in UTF-8, of every white space character beyond ASCII.
+_WIDE_WS_BYTES = ("C285", "C2A0", "E19A80", "E280", "E2819F", "E38080")
 
 # Secret shapes, in the order they are applied, and the mark put in their place.
 SECRET_PATTERNS = {
@@ -54,16 +55,36 @@ def strip_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WS_CHARS))
 
 
+def by_ws(text: Column, plain: Column, wide: Column) -> Column:
+    """``plain`` for texts whose white space is all ASCII, ``wide`` for the others.
+
+    A class with the wide characters costs Java ten tests per letter; a byte search
+    for them is nearly free, and few texts hold any.
+    """
+    raw = text.cast("binary")
+    has_wide = F.lit(False)
+    for head in _WIDE_WS_BYTES:
+        has_wide = has_wide | F.contains(raw, F.unhex(F.lit(head)))
+    return F.when(has_wide, wide).otherwise(plain)
+
+
 def normalize_ws(text: Column) -> Column:
     """Key for near-literal copies: stripped, lower-cased, runs of white space made one blank."""
-    return F.regexp_replace(F.lower(strip_ws(text)), f"{WS}+", " ")
+    low = F.lower(strip_ws(text))
+    # Single blanks are left alone: they need no replacing.
+    plain = F.regexp_replace(low, rf"[\x09-\x0d\x1c-\x1f][{ASCII_WS}]*| [{ASCII_WS}]+", " ")
+    return by_ws(text, plain, F.regexp_replace(low, f"{WS}+", " "))
+
+
+def split_lines(text: Column) -> Column:
+    """Lines of a text; one that ends with a break has a last empty line."""
+    return by_ws(text, F.split(text, ASCII_LINE_BREAK), F.split(text, LINE_BREAK))
 
 
 def lines(text: Column) -> Column:
     """Lines of a text without a last empty one."""
-    parts = F.split(text, LINE_BREAK)
     return let(
-        parts,
+        split_lines(text),
         lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p),
     )
 

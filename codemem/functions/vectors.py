@@ -2,63 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
-
-from codemem.functions.text import let
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, functions as F
 
 DEFAULT_DIM = 384
-TERM = r"[\p{L}\p{N}_]+"
 
 
-def term_buckets(text: Column, dim: int = DEFAULT_DIM) -> Column:
-    """Sorted bucket numbers, one per term of the text."""
-    terms = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    head = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return F.sort_array(F.transform(terms, lambda t: F.pmod(head(t), F.lit(dim)).cast("int")))
+_CACHED_TERMS = 500_000
 
 
-def with_hash_embedding(
-    df: DataFrame, text: str = "text", out: str = "embedding", dim: int = DEFAULT_DIM
-) -> DataFrame:
-    """Add an L2-normalised count vector of ``dim`` floats, computed inside each row.
+def hash_embedding(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """L2-normalised count vector of a text's hashed terms: ``dim`` floats.
 
-    The sorted buckets are run-length coded and the runs are laid out with zeros
-    between them, so a row costs O(terms + dim) and nothing is shuffled.  A text
-    without terms gets the zero vector.
+    A term's bucket is the first 32 bits of its MD5 modulo ``dim``; a text without
+    terms gets the zero vector.  Counting is done on Arrow batches: a corpus repeats
+    its terms, so a cache of their buckets saves nearly all hashing, which columns
+    cannot express.  Only the text column visits the worker.
     """
-    b, starts, runs = f"__{out}_b", f"__{out}_s", f"__{out}_r"
-    keep = df.columns
-    staged = df.withColumn(b, term_buckets(F.col(text), dim))
-    last = F.size(b) - 1
-    is_start = lambda i: (i == 0) | (F.get(b, i) != F.get(b, i - 1))
-    staged = staged.withColumn(
-        starts,
-        F.when(last < 0, F.array().cast("array<int>")).otherwise(
-            F.filter(F.sequence(F.lit(0), last), is_start)
-        ),
-    )
-    # One struct per distinct bucket: bucket, zeros before it, count.
-    bucket_at = lambda k: F.get(b, F.get(starts, k))
-    run = lambda s, k: F.struct(
-        (F.get(b, s) - F.coalesce(bucket_at(k - 1), F.lit(-1)) - 1).alias("gap"),
-        (F.coalesce(F.get(starts, k + 1), F.size(b)) - s).cast("double").alias("n"),
-    )
-    staged = staged.withColumn(runs, F.transform(starts, run))
-    # ``let`` binds the norm; as a plain column it would be inlined into the lambda and
-    # recomputed for every run.
-    length = F.sqrt(F.aggregate(runs, F.lit(0.0), lambda acc, r: acc + r["n"] * r["n"]))
-    zeros = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
-    weight = lambda r, norm: F.array((r["n"] / norm).cast("float"))
-    body = let(
-        length,
-        lambda norm: F.flatten(
-            F.transform(runs, lambda r: F.concat(zeros(r["gap"]), weight(r, norm)))
-        ),
-    )
-    tail = zeros(F.lit(dim - 1) - F.coalesce(F.get(b, last), F.lit(-1)))
-    return staged.select(*keep, F.concat(body, tail).alias(out))
+
+    @F.arrow_udf("array<float>")
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        terms = re.compile(r"\w+").findall
+        buckets: dict[str, int] = {}
+
+        def bucket(term: str) -> int:
+            at = buckets.get(term)
+            if at is None:
+                if len(buckets) >= _CACHED_TERMS:
+                    buckets.clear()
+                at = buckets[term] = int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big") % dim
+            return at
+
+        for texts in batches:
+            counts = np.zeros((len(texts), dim))
+            for row, body in zip(counts, texts.to_pylist()):
+                found = list(map(bucket, terms((body or "").lower())))
+                if found:
+                    row += np.bincount(found, minlength=dim)
+            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            weights = np.divide(counts, length, out=counts, where=length > 0).astype(np.float32)
+            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
+            yield pa.ListArray.from_arrays(offsets, pa.array(weights.ravel()))
+
+    return embed(text)
 
 
 def nonzero(vector: Column) -> Column:

@@ -57,7 +57,7 @@ def _line_comments(content: Column, marker: str, tags: Sequence[str]) -> Column:
     # "." in Java stops at more line ends than the split does; [^\n] stops at none that is left.
     body = lambda line: tx.strip_ws(F.regexp_extract(line, rf"{marker}{tx.WS}*([^\n]*)", 1))
     candidates = F.transform(
-        F.split(content, tx.LINE_BREAK), lambda line, i: F.struct((i + 1).alias("n"), line.alias("l"))
+        tx.split_lines(content), lambda line, i: F.struct((i + 1).alias("n"), line.alias("l"))
     )
     candidates = F.filter(candidates, lambda c: F.contains(c["l"], F.lit(marker)))
     records = F.transform(candidates, lambda c: _record("line", c["n"], c["n"], body(c["l"])))
@@ -85,7 +85,7 @@ def docstring_comments(content: Column) -> Column:
 
 def _block_lines(content: Column, pattern: str, clean) -> Column:
     blocks = F.regexp_extract_all(content, F.lit(pattern), F.lit(1))
-    return F.transform(F.flatten(F.transform(blocks, lambda b: F.split(b, tx.LINE_BREAK))), clean)
+    return F.transform(F.flatten(F.transform(blocks, tx.split_lines)), clean)
 
 
 def block_comments(content: Column, tags: Sequence[str] = TAGS) -> Column:

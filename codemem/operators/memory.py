@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -26,7 +27,18 @@ DECISION_LEAD = "Architectural Decision Record:\n"
 DECISION_DATASET = "adr_decision_"
 
 CHUNK_KEY = ("dataset", "doc_id", "chunk_no")
-PIECE = rf"[{tx.WS_CLASS}]*[^{tx.WS_CLASS}]+[{tx.WS_CLASS}]*"
+
+
+def _runs(text: Column, max_tokens: int) -> Column:
+    """Runs of words with the white space around them.
+
+    Possessive quantifiers keep the matcher iterative, whatever the length of a text.
+    """
+    found = lambda ws: F.regexp_extract_all(
+        text, F.lit(rf"(?:[{ws}]*+[^{ws}]++){{1,{max_tokens}}}+[{ws}]*+"), F.lit(0)
+    )
+    return tx.by_ws(text, found(tx.ASCII_WS), found(tx.WS_CLASS))
+
 
 # Block sizes of batch recall: queries held by one task, and vectors in one bucket.
 QUERY_BLOCK = 4096
@@ -44,11 +56,7 @@ def chunk_documents(docs: DataFrame, max_tokens: int = DEFAULT_CHUNK_TOKENS, tex
     are its text.  Splitting happens inside the row and moves no data.
     """
     keep = [c for c in docs.columns if c != text]
-    pieces = docs.select(*keep, F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)).alias("__pieces"))
-    count = F.ceil(F.size("__pieces") / max_tokens).cast("int")
-    run = lambda i: F.array_join(F.slice("__pieces", i * max_tokens + 1, F.lit(max_tokens)), "")
-    runs = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), run))
-    chunks = rows_of(pieces.select(*keep, runs.alias("__runs")), "__runs", text, "chunk_no")
+    chunks = rows_of(docs.select(*keep, _runs(F.col(text), max_tokens).alias("__runs")), "__runs", text, "chunk_no")
     return chunks.select(*keep, F.col("chunk_no").cast("bigint").alias("chunk_no"), text)
 
 
@@ -56,7 +64,7 @@ Embedder = Callable[[DataFrame], DataFrame]
 
 
 def hash_embedder(dim: int = vx.DEFAULT_DIM) -> Embedder:
-    return lambda chunks: vx.with_hash_embedding(chunks, "text", "embedding", dim)
+    return lambda chunks: chunks.withColumn("embedding", vx.hash_embedding(F.col("text"), dim))
 
 
 def model_embedder(encode: Callable[[list[str]], np.ndarray], load: Callable | None = None) -> Embedder:
@@ -173,10 +181,10 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return values.reshape(len(flat), -1)
 
 
-def _top_k_block(keys: list[tuple], vectors: np.ndarray, queries: np.ndarray, k: int) -> list[tuple]:
+def _top_k_block(keys: list[tuple], vectors: np.ndarray, queries: np.ndarray, k: int, unit: bool) -> list[tuple]:
     """(query position, score, key) of the best k of a block for every query."""
     by_key = sorted(range(len(keys)), key=keys.__getitem__)
-    vectors = _unit(vectors[by_key])
+    vectors = vectors[by_key] if unit else _unit(vectors[by_key])
     step = max(1, SCORES_AT_ONCE // max(1, len(queries)))
     held: list[tuple] = []
     for at in range(0, len(by_key), step):
@@ -208,6 +216,7 @@ def recall_batch(
     queries: DataFrame,
     k: int = DEFAULT_K,
     key: Sequence[str] = CHUNK_KEY,
+    unit_vectors: bool = True,
     query_block: int = QUERY_BLOCK,
     vector_block: int = VECTOR_BLOCK,
 ) -> DataFrame:
@@ -216,7 +225,8 @@ def recall_batch(
     ``queries(query_id, embedding)``.  A query table of at most ``query_block`` rows
     travels with the tasks; every task keeps k rows per query while it reads.  A
     larger one is cut into blocks that meet buckets of the vectors, each pair of
-    bounded size, so neither side is ever held whole.
+    bounded size, so neither side is ever held whole.  ``unit_vectors`` says that
+    the stored vectors already have length 1.
     """
     id_type = queries.schema["query_id"].dataType.simpleString()
     types = {f.name: f.dataType.simpleString() for f in chunks.schema}
@@ -240,20 +250,20 @@ def recall_batch(
             for batch in batches:
                 keys = list(zip(*[batch.column(n).to_pylist() for n in names]))
                 if keys and ids:
-                    held = _merge(held + _top_k_block(keys, _matrix(batch.column("embedding")), matrix, k), k)
+                    held = _merge(held + _top_k_block(keys, _matrix(batch.column("embedding")), matrix, k, unit_vectors), k)
             if held:
                 yield pa.RecordBatch.from_pylist(rows(held, ids), schema=arrow)
 
         partial = vectors.mapInArrow(scan, schema)
     else:
-        partial = _recall_blocks(vectors, queries, k, names, arrow, schema, query_block, vector_block, rows)
+        partial = _recall_blocks(vectors, queries, k, names, arrow, schema, unit_vectors, query_block, vector_block, rows)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), *names)
     best = partial.withColumn("rank", F.row_number().over(order).cast("bigint"))
     return best.filter(F.col("rank") <= k)
 
 
-def _recall_blocks(vectors, queries, k, names, arrow, schema, query_block, vector_block, rows) -> DataFrame:
+def _recall_blocks(vectors, queries, k, names, arrow, schema, unit_vectors, query_block, vector_block, rows) -> DataFrame:
     """Every query block against every vector bucket, as a co-group on (bucket, block)."""
     n_blocks = -(-queries.count() // query_block)
     n_buckets = max(1, -(-vectors.count() // vector_block))
@@ -270,7 +280,7 @@ def _recall_blocks(vectors, queries, k, names, arrow, schema, query_block, vecto
         if not ids or not keys:
             return arrow.empty_table()
         block = _unit(_matrix(asked.column("embedding")))
-        held = _merge(_top_k_block(keys, _matrix(stored.column("embedding")), block, k), k)
+        held = _merge(_top_k_block(keys, _matrix(stored.column("embedding")), block, k, unit_vectors), k)
         return pa.Table.from_pylist(rows(held, ids), schema=arrow)
 
     pair = ("__bucket", "__block")
@@ -286,9 +296,12 @@ def dedup_normalized(texts: DataFrame, rank: str = "rank", text: str = "text") -
     ``rank`` is unique.  Only hashes and ranks are aggregated, so a group holding
     a third of all rows is reduced inside each task; texts are fetched by rank.
     """
-    key = tx.normalize_ws(F.col(text))
-    hashed = texts.select(rank, F.when(~key.isin("", EMPTY_REPLY), F.sha2(key, 256)).alias("k"))
-    first = hashed.filter(F.col("k").isNotNull()).groupBy("k").agg(F.min(rank).alias(rank)).select(rank)
+    hashed = texts.select(rank, F.sha2(tx.normalize_ws(F.col(text)), 256).alias("k"))
+    void = F.col("k").isin(*[hashlib.sha256(t.encode()).hexdigest() for t in ("", EMPTY_REPLY)])
+    # The void texts are dropped by their aggregate: a filter on the key would be pushed
+    # below the hashing and normalise every text a second time.
+    first = hashed.groupBy("k").agg(F.min(F.when(~void, F.col(rank))).alias(rank))
+    first = first.select(rank).filter(F.col(rank).isNotNull())
     return sized_join(texts, first.hint("shuffle_hash"), [rank], "left_semi")
 
 

@@ -17,6 +17,9 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+PIECE = f"{tx.WS}*[^{tx.WS_CLASS}]+{tx.WS}*"
+
+
 def re2(pattern: str) -> str:
     return lit(pattern.replace("(?iu)", "(?i)"))
 
@@ -30,6 +33,7 @@ def among(column: str, values) -> str:
 
 
 NL = "chr(10)"
+TERM = r"[\p{L}\p{N}_]+"
 BASE_NAME = "string_split(path, '/')[-1]"
 
 
@@ -169,7 +173,7 @@ def _tagged(x: str, tags=cm.TAGS) -> str:
 
 
 def _line_records(marker: str) -> str:
-    text = strip(f"regexp_extract(r.v, {lit('(?s)' + marker + tx.WS + '*(.*)')}, 1)")
+    text = strip(f"regexp_extract(r.v, {re2('(?s)' + marker + tx.WS + '*(.*)')}, 1)")
     return f"""SELECT path, ext, 'line' AS kind, r.n + 1 AS line, r.n + 1 AS ord, {text} AS text
 FROM (SELECT path, ext, unnest({numbered(lines('content'))}) AS r FROM code_files) WHERE contains(r.v, {lit(marker)})"""
 
@@ -249,7 +253,7 @@ FROM {source} h LEFT JOIN bodies b ON h.hash = b.hash""",
 
 
 def _pieces(x: str) -> str:
-    return find(x, mem.PIECE, 0)
+    return find(x, PIECE, 0)
 
 
 def _chunk_cte(source: str, keys: str) -> dict[str, str]:
@@ -266,7 +270,7 @@ def _weights(source: str, keys: str) -> dict[str, str]:
     """Sparse vectors of ``source(keys, text)``: ``w(keys, bucket, weight)``."""
     bucket = f"('0x' || substr(md5(t), 1, 8))::BIGINT % {vx.DEFAULT_DIM}"
     return {
-        f"{source}_t": f"SELECT {keys}, unnest({find('lower(text)', vx.TERM, 0)}) AS t FROM {source}",
+        f"{source}_t": f"SELECT {keys}, unnest({find('lower(text)', TERM, 0)}) AS t FROM {source}",
         f"{source}_c": f"SELECT {keys}, {bucket} AS bucket, count(*)::DOUBLE AS n FROM {source}_t GROUP BY ALL",
         f"{source}_w": f"""
 SELECT {keys}, bucket, CAST(n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS FLOAT) AS weight FROM {source}_c""",
@@ -588,8 +592,8 @@ SELECT doc_id, text FROM (SELECT doc_id, text, k, row_number() OVER (PARTITION B
     )
     sql["memory_status"] = with_views(
         ["commits", "decisions"],
-        f"""SELECT dataset, kind, count(*) AS n_docs, strftime(max(at), '%Y-%m-%d %H:%M:%S') AS last FROM (
-SELECT {dataset('repo')} AS dataset, 'commit' AS kind, authored_ts AS at FROM commits
+        f"""SELECT dataset, kind, count(*) AS n_docs, strftime(max(ingested), '%Y-%m-%d %H:%M:%S') AS last FROM (
+SELECT {dataset('repo')} AS dataset, 'commit' AS kind, authored_ts AS ingested FROM commits
 UNION ALL SELECT 'adr_decision', 'decision', ts FROM decisions WHERE text <> '') GROUP BY dataset, kind""",
     )
 

@@ -421,7 +421,7 @@ def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def embed_hash(spark: SparkSession, sf: str) -> DataFrame:
-    docs = vx.with_hash_embedding(Tables(spark, sf).documents.select("doc_id", "text")).select("doc_id", "embedding")
+    docs = Tables(spark, sf).documents.select("doc_id", vx.hash_embedding(F.col("text")).alias("embedding"))
     sparse = docs.select("doc_id", vx.nonzero(F.col("embedding")).alias("entries"))
     rows = sy.rows_of(sparse, "entries", "e")
     return rows.select("doc_id", F.col("e.bucket").alias("bucket"), F.round(F.col("e.weight").cast("double"), 6).alias("weight"))
@@ -479,7 +479,7 @@ def recall_vectors(spark: SparkSession, sf: str) -> DataFrame:
     means = entries.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"])
     queries = means.groupBy(F.col("label").alias("query_id")).agg(ordered.alias("embedding"))
-    return mem.recall_batch(stored.select("vec_id", "embedding"), queries, k=5, key=("vec_id",))
+    return mem.recall_batch(stored.select("vec_id", "embedding"), queries, k=5, key=("vec_id",), unit_vectors=False)
 
 
 @register

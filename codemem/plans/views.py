@@ -279,6 +279,20 @@ def view_sql(name: str, prefix: str = "") -> str:
     return Template(VIEWS[name]).substitute({t: prefix + t for t in SOURCES}).strip()
 
 
+# Tables whose rows are worth much CPU time each.
+LONG_TEXTS = ("documents", "pages")
+
+
+def _spread(scan: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that comes in fewer splits than there are cores.
+
+    Large inputs have more splits than cores and are left as they are.  On a plain
+    file scan, asking for the number of splits plans but runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 class Tables:
     """Source tables of a folder and the views derived from them, as DataFrames."""
 
@@ -286,7 +300,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def source(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return _spread(rows) if name in LONG_TEXTS else rows
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in SOURCES:
