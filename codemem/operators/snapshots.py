@@ -16,14 +16,18 @@ def snapshot_diff(
 ) -> DataFrame:
     """Keys with ``added``, ``deleted``, ``modified`` or ``unchanged``.
 
-    Contents are hashed where they are read; only keys and hashes are shuffled.
+    Contents are hashed where they are read, and one aggregation meets both scans:
+    only keys and hashes are shuffled, and a key that is repeated many times is
+    combined inside each task.
     """
-    before = fingerprints(old, keys, content).withColumnRenamed("sha256", "old_sha")
-    after = fingerprints(new, keys, content).withColumnRenamed("sha256", "new_sha")
+    absent = F.lit(None).cast("string")
+    before = fingerprints(old, keys, content).select(*keys, F.col("sha256").alias("old"), absent.alias("new"))
+    after = fingerprints(new, keys, content).select(*keys, absent.alias("old"), F.col("sha256").alias("new"))
+    both = before.unionByName(after).groupBy(*keys).agg(F.max("old").alias("old"), F.max("new").alias("new"))
     state = (
-        F.when(F.col("old_sha").isNull(), "added")
-        .when(F.col("new_sha").isNull(), "deleted")
-        .when(F.col("old_sha") == F.col("new_sha"), "unchanged")
+        F.when(F.col("old").isNull(), "added")
+        .when(F.col("new").isNull(), "deleted")
+        .when(F.col("old") == F.col("new"), "unchanged")
         .otherwise("modified")
     )
-    return before.join(after, list(keys), "full_outer").select(*keys, state.alias("change_type"))
+    return both.select(*keys, state.alias("change_type"))

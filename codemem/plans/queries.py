@@ -551,8 +551,7 @@ def refresh_upsert(spark: SparkSession, sf: str) -> DataFrame:
     store = MemoryStore(spark, work_dir(spark, "store")).create()
     old, new = as_docs(t.snap_old), as_docs(t.snap_new)
     store.ingest(old)
-    names = [r[0] for r in mem.list_datasets(new).collect()]
-    store.refresh(new, names)
+    store.refresh(new)
     return store.docs().select("dataset", "doc_id", "text")
 
 

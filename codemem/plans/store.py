@@ -69,7 +69,8 @@ class MemoryStore:
         if table in ("docs", "chunks"):
             # Rebalancing cuts a dataset that holds most rows into several files and
             # merges the small ones; a plain repartition would give it to one task.
-            out = rows.hint("rebalance", *PARTITIONS)
+            # Sorted ids let a look-up of single documents skip most row groups.
+            out = rows.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "doc_id")
             writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             writer.partitionBy(*PARTITIONS).parquet(self._path(table, version))
         else:
@@ -109,22 +110,42 @@ class MemoryStore:
         scopes = {mem.DECISION_DATASET.rstrip("_") if d.startswith(mem.DECISION_DATASET) else d for d in datasets}
         return rows.filter(F.col("scope").isin(*sorted(scopes)) & F.col("dataset").isin(*datasets))
 
+    def _recall_scope(self, datasets: Sequence[str] | None) -> DataFrame:
+        rows = self._table("chunks")
+        if datasets is None:
+            return rows
+        return rows.filter(F.col("scope").isin(*datasets, mem.DECISION_DATASET.rstrip("_")))
+
     def recall(self, query: str, k: int = mem.DEFAULT_K, datasets: Sequence[str] | None = None) -> DataFrame:
-        """Top k chunks; with datasets given, decisions are searched along with them."""
+        """Top k chunks; with datasets given, decisions are searched along with them.
+
+        The first pass reads keys and vectors only.  The k winners' texts are then
+        looked up by literal keys, which the scan can push down.
+        """
         vector = mem.query_vector(self.spark, query, self.embedder)
-        rows = self._table("chunks")
-        if datasets is not None:
-            decisions = mem.DECISION_DATASET.rstrip("_")
-            rows = rows.filter(F.col("scope").isin(*datasets, decisions))
-        return mem.recall(self._live(rows), vector, k)
+        rows = self._recall_scope(datasets)
+        best = mem.recall(self._live(rows.drop("text")), vector, k)
+        found = best.select("rank", "dataset", "doc_id", "chunk_no", "score", "seq").collect()
+        schema = "rank BIGINT, dataset STRING, doc_id STRING, chunk_no BIGINT, score DOUBLE, seq BIGINT"
+        top = F.broadcast(self.spark.createDataFrame(found, schema))
+        wanted = lambda name: F.col(name).isin(*{r[name] for r in found})
+        texts = rows.filter(wanted("seq") & wanted("dataset") & wanted("doc_id")) if found else rows.limit(0)
+        texts = texts.select("dataset", "doc_id", "chunk_no", "seq", "kind", "path", "text")
+        return texts.join(top, ["dataset", "doc_id", "chunk_no", "seq"]).drop("seq")
+
+    def recall_batch(self, queries: DataFrame, k: int = mem.DEFAULT_K, datasets: Sequence[str] | None = None) -> DataFrame:
+        """Top k of every ``queries(query_id, text)``, without the texts."""
+        asked = self.embedder(queries.select("query_id", "text"))
+        return mem.recall_batch(self._live(self._recall_scope(datasets).drop("text")), asked, k)
 
     # ---- writing ----------------------------------------------------------------------
 
-    def ingest(self, docs: DataFrame, seq: int | None = None) -> int:
+    def ingest(self, docs: DataFrame, seq: int | None = None, replace: bool = False) -> int:
         """Store documents and their chunks under one ingest number.
 
         A failed call raises and can be repeated with the same number: the
-        partitions it wrote are written again.
+        partitions it wrote are written again.  With ``replace``, earlier versions
+        of the same documents are forgotten.
         """
         seq = seq or time.time_ns() // 1000
         safe = docs.select("dataset", "doc_id", "kind", "path", tx.redact(F.col("text")).alias("text"))
@@ -140,14 +161,25 @@ class MemoryStore:
         stored = self._table("docs").filter(F.col("seq") == seq).drop("sha256", "ingested_at")
         chunks = self.embedder(mem.chunk_documents(stored))
         self._write(chunks.select(*self._table("chunks").columns), "chunks")
+        if replace:
+            key = ["dataset", "doc_id"]
+            earlier = self._table("docs").filter(F.col("seq") < seq).select(*key)
+            self._bury(sized_join(earlier, stored.select(*key), key, "left_semi"), seq - 1)
         return seq
 
-    def refresh(self, docs: DataFrame, datasets: Sequence[str], seq: int | None = None) -> int:
-        """Make the datasets hold exactly ``docs``; unchanged documents are left alone."""
+    def refresh(self, docs: DataFrame, datasets: Sequence[str] | None = None, seq: int | None = None) -> int:
+        """Make the datasets hold exactly ``docs``; unchanged documents are left alone.
+
+        By default those are the datasets that occur in ``docs``; a list spares the
+        store the scan of all others, and empties those that do not occur.
+        """
         seq = seq or time.time_ns() // 1000
         key = ["dataset", "doc_id"]
         new = docs.select(*key, tx.redact(F.col("text")).alias("text"))
-        diff = snapshot_diff(self.docs(datasets).select(*key, "text"), new, key, "text")
+        held = self.docs(datasets)
+        if datasets is None:
+            held = sized_join(held, docs.select("dataset").distinct(), ["dataset"], "left_semi")
+        diff = snapshot_diff(held.select(*key, "text"), new, key, "text")
         # Written out: the decision must not be taken again after the store has changed.
         at = f"{self.root}/changes/seq={seq}"
         diff.filter(F.col("change_type") != "unchanged").write.mode("overwrite").parquet(at)

@@ -108,6 +108,30 @@ def test_refresh_holds_exactly_the_new_scan(store, first, frame):
     assert store.docs().agg(F.max("seq")).first()[0] == 20
 
 
+def test_refresh_of_the_datasets_at_hand(store, first, frame):
+    store.ingest(first, seq=10)
+    store.refresh(frame([doc("a.py", "alpha beta")], SCHEMA), seq=20)
+    assert ids(store.docs()) == {("codemem_a", "file:a.py"), ("codemem_b", "file:c.py")}
+    store.refresh(frame([], SCHEMA), ["codemem_a"], seq=30)
+    assert ids(store.docs()) == {("codemem_b", "file:c.py")}
+
+
+def test_replacing_ingest(store, first, frame):
+    store.ingest(first, seq=10)
+    store.ingest(frame([doc("b.py", "gamma three"), doc("new.py", "n")], SCHEMA), seq=20, replace=True)
+    got = {(r.doc_id, r.seq) for r in store.docs().filter("dataset = 'codemem_a' and kind = 'file'").collect()}
+    assert got == {("file:a.py", 10), ("file:a.py.bak", 10), ("file:b.py", 20), ("file:new.py", 20)}
+
+
+def test_batch_recall(store, first, frame):
+    store.ingest(first)
+    asked = frame([(1, "gamma"), (2, "delta")], "query_id INT, text STRING")
+    got = {(r.query_id, r.path if "path" in r else r.doc_id) for r in store.recall_batch(asked, 1).collect()}
+    assert got == {(1, "file:b.py"), (2, "file:c.py")}
+    scoped = store.recall_batch(asked, 5, ["codemem_b"]).collect()
+    assert {r.doc_id for r in scoped} == {"file:c.py"}
+
+
 def test_decisions_are_found_with_the_project(store, first):
     store.ingest(first)
     store.log_decision("use omega storage", at=1704067207)
