@@ -237,14 +237,16 @@ _LATEST = "row_number() OVER (PARTITION BY repo ORDER BY authored_ts DESC, hash)
 
 
 def _commit_text_ctes(source: str) -> dict[str, str]:
+    header = _HEADER.replace("|| hash ||", "|| h.hash ||")
     return {
         "bodies": f"""
-SELECT hash, string_agg(CASE WHEN is_root THEN CASE WHEN ord = 0 THEN '' ELSE ', ' END || {_PATH}
+SELECT hash, ord // {ci.FILES_PER_PART} AS part, string_agg(CASE WHEN is_root THEN CASE WHEN ord = 0 THEN '' ELSE ', ' END || {_PATH}
   ELSE {NL} || {NL} || 'Diff for ' || {_PATH} || ':' || {NL} || {_PATCH} END, '' ORDER BY ord) AS body
-FROM commit_files GROUP BY hash""",
+FROM commit_files GROUP BY ALL""",
         "texts": f"""
-SELECT repo, h.hash, CAST(0 AS BIGINT) AS part,
-  {_HEADER.replace('|| hash ||', '|| h.hash ||')} || CASE WHEN is_root THEN {lit(ci.ROOT_LABEL)} ELSE '' END || coalesce(body, '') AS text
+SELECT repo, h.hash, coalesce(part, 0) AS part,
+  CASE WHEN coalesce(part, 0) = 0 THEN {header} || CASE WHEN is_root THEN {lit(ci.ROOT_LABEL)} ELSE '' END ELSE '' END
+  || coalesce(body, '') AS text
 FROM {source} h LEFT JOIN bodies b ON h.hash = b.hash""",
     }
 
@@ -650,7 +652,7 @@ UNION ALL SELECT src || '->' || dst, '{{"from":' || {quote('src')} || ',"to":' |
 SELECT {dataset('f.repo')} AS dataset, 'file:' || f.path AS doc_id, 'file' AS kind, f.text FROM ({file_text}) f
 UNION ALL SELECT {dataset('c.repo')}, 'comments:' || l.path, 'comment', l.text FROM log_rows l
   JOIN code_files c ON l.path = c.path
-UNION ALL SELECT {dataset('t.repo')}, 'commit:' || t.hash || ':0', 'commit', t.text FROM texts t)""",
+UNION ALL SELECT {dataset('t.repo')}, 'commit:' || t.hash || ':' || t.part, 'commit', t.text FROM texts t)""",
         **remembered,
     )
     sql["tagged_docs"] = _with_symbols(f"SELECT path, text FROM ({file_text})")

@@ -42,6 +42,7 @@ class MemoryStore:
     def __init__(self, spark: SparkSession, root: str, embedder: mem.Embedder | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         self.embedder = embedder or mem.hash_embedder()
+        self._version: int | None = None
 
     # ---- versions ---------------------------------------------------------------------
 
@@ -50,8 +51,16 @@ class MemoryStore:
         return self
 
     def version(self) -> int:
-        versions = self.spark.read.schema("version BIGINT").parquet(f"{self.root}/versions")
-        return versions.agg(F.max("version")).first()[0]
+        """The version this object reads; found once, then moved on by its own calls."""
+        if self._version is None:
+            versions = self.spark.read.schema("version BIGINT").parquet(f"{self.root}/versions")
+            self._version = versions.agg(F.max("version")).first()[0]
+        return self._version
+
+    def reopen(self) -> MemoryStore:
+        """Look for a version another writer has started."""
+        self._version = None
+        return self
 
     def _path(self, table: str, version: int | None = None) -> str:
         return f"{self.root}/v{version or self.version()}/{table}"
@@ -63,6 +72,7 @@ class MemoryStore:
         # The new version counts only once all its tables are complete.
         marker = self.spark.createDataFrame([(version,)], "version BIGINT")
         marker.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
+        self._version = version
 
     def _write(self, rows: DataFrame, table: str, version: int | None = None) -> None:
         out = rows

@@ -150,5 +150,8 @@ def test_compaction_and_forget_all(store, first):
     assert store.version() == 2
     assert {tuple(r) for r in store.docs().select("doc_id", "text", "seq").collect()} == before and ids(store.chunks()) == chunks
     assert store._table("tombstones").count() == 0
+    other = MemoryStore(store.spark, store.root)
+    assert other.version() == 2 and other.docs().count() == 4
     store.forget_all()
     assert store.docs().count() == store.chunks().count() == 0
+    assert other.docs().count() == 4 and other.reopen().docs().count() == 0
