@@ -7,6 +7,8 @@ differ from Java's regex shorthands, so they are spelled out as character classe
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -42,6 +44,9 @@ SECRET_MARK = "[REDACTED_SECRET]"
 
 # A literal every match of the pattern must contain: a cheap test before the regex.
 _SECRET_GUARDS = {"sk": "sk-", "gsk": "gsk_", "ghp": "ghp_", "google": "AIzaSy", "assignment": "="}
+# An assignment also needs one of these in lower case.  The long s folds to "s" in a regex
+# that ignores case, but has no lower-case form of its own.
+_NAME_PARTS = ("api_key", "api_secret", "secret_key", "passw", "token", "\u017f")
 
 MIN_CONTENT_CHARS = 15
 
@@ -94,7 +99,9 @@ def universal_newlines(text: Column) -> Column:
 
 
 def is_substantial(text: Column, min_chars: int = MIN_CONTENT_CHARS) -> Column:
-    return F.length(strip_ws(text)) >= min_chars
+    """Whether enough is left after stripping; most texts show it in their first characters."""
+    enough = lambda t: F.length(strip_ws(t)) >= min_chars
+    return enough(F.left(text, F.lit(4 * min_chars))) | enough(text)
 
 
 def redact(text: Column) -> Column:
@@ -110,7 +117,8 @@ def redact(text: Column) -> Column:
         has_literal = has_literal | F.contains(text, F.lit(_SECRET_GUARDS[key]))
         tokens_gone = F.regexp_replace(tokens_gone, SECRET_PATTERNS[key], SECRET_MARK)
     tokens_gone = F.when(has_literal, tokens_gone).otherwise(text)
-    assigned = F.contains(text, F.lit(_SECRET_GUARDS["assignment"]))
+    names = lambda low: reduce(or_, [F.contains(low, F.lit(part)) for part in _NAME_PARTS])
+    assigned = F.contains(text, F.lit(_SECRET_GUARDS["assignment"])) & F.exists(F.array(F.lower(text)), names)
     return F.when(
         assigned, F.regexp_replace(tokens_gone, SECRET_PATTERNS["assignment"], SECRET_MARK)
     ).otherwise(tokens_gone)

@@ -21,7 +21,7 @@ from codemem.operators import (
 from codemem.plans import remember as rm
 from codemem.plans.store import MemoryStore
 from codemem.plans.views import Tables
-from codemem.session import work_dir
+from codemem.session import mounted, work_dir
 from codemem.sources import ignore, tree
 from codemem.streaming import decisions as sd
 
@@ -117,7 +117,7 @@ def _export_tree(files: DataFrame, root: str) -> None:
 
 @register
 def scan_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    root = work_dir(spark, "tree")
+    root = mounted(work_dir(spark, "tree"))
     _export_tree(_code(spark, sf), root)
     found = tree.read_tree(spark, root, repo="corpus").filter(F.col("error").isNull())
     kept = fi.substantial_files(found).select("relative_path", tx.redact(F.col("content")).alias("content"))

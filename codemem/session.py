@@ -41,3 +41,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = os.path.join(tempfile.gettempdir(), "codemem-work")
     return f"{base.rstrip('/')}/codemem-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def mounted(path: str) -> str:
+    """The plain form of a folder that Python code on the executors opens itself."""
+    plain = path.removeprefix("file:")
+    if "://" in plain.lstrip("/"):
+        raise ValueError(f"{path} is not a mounted folder")
+    return "/" + plain.lstrip("/") if path.startswith("file:") else plain

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codemem.operators.files import EXPLICIT_FILES, IGNORED_DIRS, TEXT_SUFFIXES
+from codemem.session import mounted
 from codemem.sources.ignore import compile_rules
 
 LISTING_SCHEMA = "repo STRING, root STRING, relative_path STRING, size BIGINT, error STRING"
@@ -127,6 +128,7 @@ def list_tree(
     spark: SparkSession, root: str, repo: str | None = None, slices: int = 64, suffixes: Sequence[str] = TEXT_SUFFIXES
 ) -> DataFrame:
     spark.dataSource.register(TreeListing)
+    root = mounted(root)
     return (
         spark.read.format("codetree")
         .option("root", root)

@@ -4,6 +4,7 @@ import pytest
 
 from codemem.plans import remember as rm
 from codemem.plans.queries import _export_tree
+from codemem.session import mounted
 from codemem.sources import tree
 
 
@@ -89,3 +90,10 @@ def test_export_round_trip(spark, frame, tmp_path):
     _export_tree(files, root)
     got = {r.relative_path: r.content for r in tree.read_tree(spark, root).collect()}
     assert got == {"r1/a/x.py": "é\nprint()", "r2/y.md": ""}
+
+
+def test_roots_must_be_mounted():
+    assert mounted("file:///a/b") == mounted("file:/a/b") == mounted("/a/b") == "/a/b"
+    assert mounted("rel/a") == "rel/a"
+    with pytest.raises(ValueError):
+        mounted("s3a://bucket/a")

@@ -40,8 +40,8 @@ def test_white_space_follows_python(frame, column, python):
 
 
 def test_substantial_counts_stripped_characters(frame):
-    texts = ["x" * 14, "x" * 15, "  " + "x" * 13 + " ", "é" * 15, "", "a" + " " * 13 + "b"]
-    assert run(frame, tx.is_substantial, *texts) == [False, True, False, True, False, True]
+    texts = ["x" * 14, "x" * 15, "  " + "x" * 13 + " ", "é" * 15, "", "a" + " " * 13 + "b", " " * 80 + "x" * 15, "x" + " " * 80, "x" * 14 + " " * 80 + "y"]
+    assert run(frame, tx.is_substantial, *texts) == [False, True, False, True, False, True, True, False, True]
 
 
 @pytest.mark.parametrize(
@@ -60,6 +60,7 @@ def test_substantial_counts_stripped_characters(frame):
         ("passwd\u2003=\u00a0'longsecret'", MARK),
         ("token = \"mixed'", "token = \"mixed'"),
         ("no secret = here", "no secret = here"),
+        ("pa\u017fsword = 'longsecret' and TO\u212aEN='longsecret'", f"{MARK} and {MARK}"),
     ],
 )
 def test_redaction(frame, text, expected):
