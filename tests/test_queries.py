@@ -4,7 +4,9 @@ import __spark_entry__ as entry
 from codemem.plans.views import VIEWS, Tables, view_sql
 from tests.compare import connect, difference, rows, spark_rows, sql_rows
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from codemem.plans import oracles, queries as registered
+
+QUERIES, SQL = registered.REGISTRY, oracles.build()
 
 
 @pytest.fixture(scope="module")
@@ -12,6 +14,10 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
+def test_the_entry_registers_them():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
 
