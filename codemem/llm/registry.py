@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.llm import bpe, mixing
+from codemem.llm import bpe, mixing, neardup, outliers
 from codemem.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -18,5 +18,13 @@ def op6_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.Vocabulary(spark, TOKENIZER))
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mix, op6_forced_bpe)}
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.judge(table(spark, sf_dir, "documents")).drop("tie")
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op4_source_mix, op6_forced_bpe, op7_robust_outliers, op9_near_duplicates)}
 ORACLE_SQL: dict[str, str] = {}

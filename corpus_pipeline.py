@@ -8,11 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codemem.llm import bpe, mixing
+from codemem.llm import bpe, mixing, neardup, outliers
 from codemem.llm.common import stored, table
 from codemem.llm.registry import TOKENIZER
 
 
+def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base rules nor the robust distance rejects."""
+    return outliers.keep_good(docs)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near copies: five words, 80 %."""
+    return neardup.keep_first(docs, k=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: one row for each pass over a document's source."""
     return mixing.mixed_documents(docs)
@@ -24,6 +34,8 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality rules", reject_poor),
+    ("near-duplicates", drop_copies),
     ("mixing sources", mix_sources),
     ("BPE encoding", encode_texts),
 ]
