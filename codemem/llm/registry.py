@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.llm import bpe, mixing, neardup, outliers
+from codemem.llm import bpe, mixing, neardup, outliers, ppm
 from codemem.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -26,5 +26,9 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mix, op6_forced_bpe, op7_robust_outliers, op9_near_duplicates)}
+def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.train_and_score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_source_mix, op6_forced_bpe, op7_robust_outliers, op9_near_duplicates, op10_partial_matching)}
 ORACLE_SQL: dict[str, str] = {}
