@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codemem.llm.common import Words, arrow_type, ascii_lower, cut, rounds, stored
 
-ORDER = 4
+ORDER = 5
 NODES = 1 << 21
 COMMON = 1 << 20
 # Bytes that no UTF-8 text holds: what stands before a text, and its end.
