@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.llm import bpe, mixing, neardup, outliers, ppm
+from codemem.llm import bpe, mixing, neardup, outliers, passages, ppm, secrets
 from codemem.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.train(docs)))
+
+
+def op3_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -30,5 +39,5 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.train_and_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_source_mix, op6_forced_bpe, op7_robust_outliers, op9_near_duplicates, op10_partial_matching)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_chained_passages, op4_source_mix, op6_forced_bpe, op7_robust_outliers, op9_near_duplicates, op10_partial_matching)}
 ORACLE_SQL: dict[str, str] = {}

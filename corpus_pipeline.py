@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codemem.llm import bpe, mixing, neardup, outliers
+from codemem.llm import bpe, mixing, neardup, outliers, secrets
 from codemem.llm.common import stored, table
 from codemem.llm.registry import TOKENIZER
 
@@ -23,6 +23,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.keep_first(docs, k=5, percent=80)
 
 
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with secrets replaced by a mark; the network learns from the rows it is given."""
+    return secrets.redacted(docs, secrets.train(docs))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them: one row for each pass over a document's source."""
     return mixing.mixed_documents(docs)
@@ -36,6 +41,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("quality rules", reject_poor),
     ("near-duplicates", drop_copies),
+    ("secret scan", hide_secrets),
     ("mixing sources", mix_sources),
     ("BPE encoding", encode_texts),
 ]
