@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.llm import bpe, mixing, neardup, outliers, passages, ppm, secrets
+from codemem.llm import bpe, mixing, neardup, outliers, passages, ppm, secrets, shards
 from codemem.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -23,6 +23,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialise(table(spark, sf_dir, "documents"), bpe.Vocabulary(spark, TOKENIZER))
+
+
 def op6_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.Vocabulary(spark, TOKENIZER))
 
@@ -39,5 +43,5 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.train_and_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_chained_passages, op4_source_mix, op6_forced_bpe, op7_robust_outliers, op9_near_duplicates, op10_partial_matching)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_chained_passages, op4_source_mix, op5_training_order, op6_forced_bpe, op7_robust_outliers, op9_near_duplicates, op10_partial_matching)}
 ORACLE_SQL: dict[str, str] = {}
