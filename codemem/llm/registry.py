@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.llm import bpe, mixing, neardup, outliers, passages, ppm, secrets, shards
+from codemem.llm import bpe, licenses, mixing, neardup, outliers, passages, ppm, secrets, shards, topk
 from codemem.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
+def op1_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
@@ -35,6 +40,10 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(table(spark, sf_dir, "documents")).drop("tie")
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -43,5 +52,5 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.train_and_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_chained_passages, op4_source_mix, op5_training_order, op6_forced_bpe, op7_robust_outliers, op9_near_duplicates, op10_partial_matching)}
+QUERIES = {f.__name__: f for f in (op1_kd_search, op2_secret_scan, op3_chained_passages, op4_source_mix, op5_training_order, op6_forced_bpe, op7_robust_outliers, op8_licence_scan, op9_near_duplicates, op10_partial_matching)}
 ORACLE_SQL: dict[str, str] = {}
