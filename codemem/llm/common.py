@@ -209,3 +209,9 @@ def components(edges: DataFrame) -> DataFrame:
         old = new
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Rows as one struct ``doc``, beside ``doc_id`` and a hash ``tie`` of the text: no name of theirs can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(row.alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from codemem.llm.common import Words, components, cut, mix, over_texts, windows
+from codemem.llm.common import Words, components, cut, mix, over_texts, packed, windows
 
 COORDINATES = 64
 DEVIATIONS = 6.4
@@ -233,8 +233,7 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
 
     Rows with a null id all stay.
     """
-    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).join(kept, "_id")
-    same = Window.partitionBy("_id", F.xxhash64("text")).orderBy(F.lit(1))
-    rows = rows.withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
-    return rows.select(*docs.columns).union(docs.where("doc_id is null"))
+    kept = near_duplicates(docs, **how).where("kept and doc_id is not null").select("doc_id").distinct()
+    same = Window.partitionBy("doc_id", "tie").orderBy(F.lit(1))
+    rows = packed(docs).join(kept, "doc_id").withColumn("nth", F.row_number().over(same)).where("nth = 1")
+    return rows.select("doc.*").union(docs.where("doc_id is null"))

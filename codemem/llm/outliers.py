@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemem.llm.common import Words, _space, cut, over_texts
+from codemem.llm.common import Words, _space, cut, over_texts, packed
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -222,6 +222,6 @@ def judge(docs: DataFrame, steps: int = STEPS) -> DataFrame:
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` that :func:`judge` keeps."""
-    good = judge(docs, **how).where("kept").select(F.col("doc_id").alias("_id"), "tie").distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("tie"))
-    return docs.join(good, same, "left_semi")
+    good = judge(docs, **how).where("kept").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
+    return packed(docs).join(good, same, "left_semi").select("doc.*")
