@@ -28,8 +28,10 @@ from codemem.llm.common import SPACE_BYTES, over_texts
 # Fixed value: the pattern that splits a text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-# Distinct fragments that a task remembers; beyond that it starts anew.
-MEMORY = 400_000
+# Distinct fragments and pieces that a task remembers twice over: a full half becomes the older one.
+MEMORY = 300_000
+
+_NONE = 1 << 62
 
 
 def _byte_letters() -> dict[str, int]:
@@ -53,9 +55,11 @@ class ForcedBpe:
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.merges[vocab[left] << 20 | vocab[right]] = rank << 20 | vocab[left + right]
         inside = {token[i : i + 2] for i in vocab.values() for token in [self.bytes_of[i]] for i in range(len(token) - 1)}
         self.free = frozenset((a, b) for a in range(256) for b in range(256) if bytes((a, b)) not in inside)
+        self.free_pair = bytearray(bytes((a, b)) not in inside for a in range(256) for b in range(256))
+        self.byte_ids = [self.byte_id.get(bytes([b]), 0) for b in range(256)]
         # A fragment ends before white space, unless some token holds the two bytes around that place.
         solid = [b for b in range(256) if b not in SPACE_BYTES]
         tied = bytes(sorted({b for b in solid for w in SPACE_BYTES if (b, w) not in self.free}))
@@ -70,37 +74,53 @@ class ForcedBpe:
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.names = {i: str(i) for i in self.bytes_of}
         self.known: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a stretch without forced boundaries: merges by rank, leftmost first."""
-        ids = [self.byte_id[piece[i : i + 1]] for i in range(len(piece))]
-        while len(ids) > 1:
-            found = [(m, i) for i in range(len(ids) - 1) if (m := self.merges.get((ids[i], ids[i + 1])))]
-            if not found:
-                break
-            (rank, new), _ = min(found)
-            out, i = [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and (m := self.merges.get((ids[i], ids[i + 1]))) and m[0] == rank:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        ids = [*map(self.byte_ids.__getitem__, piece)]
+        merges = self.merges
+        ranks = [merges.get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != _NONE:
+            i = ranks.index(best)
+            new = ids[i] = best & 0xFFFFF
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = merges.get(ids[i - 1] << 20 | new, _NONE)
+            if i < len(ranks):
+                ranks[i] = merges.get(new << 20 | ids[i + 1], _NONE)
+        return ids
+
+    def piece(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of one piece of the pattern: each stretch between forced boundaries on its own."""
+        free, out, start = self.free_pair, [], 0
+        for i, (a, b) in enumerate(zip(piece, piece[1:]), 1):
+            if free[a << 8 | b]:
+                out += self.merge(piece[start:i])
+                start = i
+        return tuple(out + self.merge(piece[start:]))
+
+    def remember(self, known: bytes, ids: tuple[int, ...]) -> tuple[int, ...]:
+        if len(known) <= 64:
+            if len(self.known) >= MEMORY:
+                self.older, self.known = self.known, {}
+            self.known[known] = ids
         return ids
 
     def fragment(self, data: bytes) -> tuple[int, ...]:
-        """Ids of one fragment: the pattern's pieces, each cut at forced boundaries."""
-        out: list[int] = []
-        for piece in self.pieces.findall(data.decode()):
-            piece, start = piece.encode(), 0
-            for i in range(1, len(piece)):
-                if (piece[i - 1], piece[i]) in self.free:
-                    out += self.merge(piece[start:i])
-                    start = i
-            out += self.merge(piece[start:])
-        return tuple(out)
+        """Ids of one fragment, by the pattern's pieces, of which many are known from other fragments."""
+        if (ids := self.older.get(data)) is not None:
+            return self.remember(data, ids)
+        pieces = [p.encode() for p in self.pieces.findall(data.decode())]
+        if len(pieces) == 1:
+            return self.remember(data, self.piece(data))
+        out: tuple[int, ...] = ()
+        for piece in pieces:
+            ids = self.known.get(piece)
+            if ids is None and (ids := self.older.get(piece)) is None:
+                ids = self.remember(piece, self.piece(piece))
+            out += ids
+        return self.remember(data, out)
 
     def split(self, text: str) -> list[bytes]:
         """Fragments of a text without special tokens; joined they are the text."""
@@ -125,11 +145,8 @@ class ForcedBpe:
             for fragment in self.split(part):
                 ids = known.get(fragment)
                 if ids is None:
-                    if len(known) >= MEMORY:
-                        known.clear()
                     ids = self.fragment(fragment)
-                    if len(fragment) <= 64:
-                        known[fragment] = ids
+                    known = self.known
                 out += ids
         return out
 
