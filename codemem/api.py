@@ -26,8 +26,11 @@ class CodeMemory:
     # ---- input ------------------------------------------------------------------------
 
     def scan(self, root: str, repo: str | None = None) -> DataFrame:
-        """``files(repo, path, content)`` of a tree every executor can reach."""
-        found = tree.read_tree(self.spark, root, repo).filter(F.col("error").isNull())
+        """``files(repo, path, content)`` of a tree every executor can reach.
+
+        What cannot be read, a file or a folder, has a row without content.
+        """
+        found = tree.read_tree(self.spark, root, repo)
         return found.select("repo", F.col("relative_path").alias("path"), "content")
 
     def scan_errors(self, root: str, repo: str | None = None) -> DataFrame:
@@ -42,7 +45,7 @@ class CodeMemory:
         commit_files: DataFrame | None = None,
         changes: DataFrame | None = None,
     ) -> int:
-        """Store files, comments and newest commits; with ``changes(repo, path)`` only what changed.
+        """Store files, comments and commits; with ``changes(repo, path)`` only what changed.
 
         Documents stored before under the same ids are replaced.
         """
@@ -50,18 +53,33 @@ class CodeMemory:
         return self.store.ingest(docs, replace=True)
 
     def refresh(self, files: DataFrame, commits: DataFrame | None = None, commit_files: DataFrame | None = None) -> int:
-        """Bring the scanned repositories up to date; what vanished is forgotten."""
-        return self.store.refresh(rm.remember(files, commits, commit_files))
+        """Bring the scanned repositories up to date; files that vanished are forgotten.
+
+        History is only added to.  What a scan could not read (``content`` is null), and all
+        below an unreadable folder, stays as it was.
+        """
+        unread = files.filter(F.col("content").isNull()).select(fi.dataset_name(F.col("repo")).alias("dataset"), "path")
+        docs = rm.remember(files.filter(F.col("content").isNotNull()), commits, commit_files)
+        named = [r["dataset"] for r in files.select(fi.dataset_name(F.col("repo")).alias("dataset")).distinct().collect()]
+        return self.store.refresh(docs, named, kinds=("file", "comment"), unread=unread)
 
     def log(self, decision: str) -> int:
         return self.store.log_decision(decision)
 
-    def forget(self, file: str | None = None, dataset: str | None = None, everything: bool = False, loose: bool = False) -> None:
-        """Forget a file (``loose``: whatever mentions it), a dataset, or all."""
+    def forget(
+        self,
+        file: str | DataFrame | None = None,
+        dataset: str | None = None,
+        everything: bool = False,
+        loose: bool = False,
+    ) -> None:
+        """Forget a file or a table ``path`` of files (``loose``: whatever mentions the file), a dataset, or all."""
         if everything:
             self.store.forget_all()
         elif dataset:
             self.store.forget_dataset(dataset)
+        elif isinstance(file, DataFrame):
+            self.store.forget_files(file)
         elif file and loose:
             self.store.forget_file_substring(file)
         elif file:

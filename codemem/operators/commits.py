@@ -17,7 +17,6 @@ from codemem.operators.joins import sized_join
 PATCH_CHARS = 1000
 CUT_MARK = "\n... [diff truncated for token optimization]"
 ROOT_LABEL = "\n\nFiles added in root commit: "
-PIPELINE_COMMITS = 20
 DEFAULT_COMMITS = 50
 
 # A commit text is assembled in parts of this many files, so that one commit that
@@ -35,10 +34,13 @@ def latest_commits(commits: DataFrame, n: int = DEFAULT_COMMITS, per_repo: bool
     return commits.withColumn("rank", rank).filter(F.col("rank") <= n)
 
 
-def truncated(patch: Column) -> Column:
+def truncated(patch: Column, max_chars: int | None = None) -> Column:
+    """The patch, whole or cut after ``max_chars`` with a mark."""
     patch = F.coalesce(patch, F.lit(""))
-    cut = F.concat(F.substring(patch, 1, PATCH_CHARS), F.lit(CUT_MARK))
-    return F.when(F.length(patch) > PATCH_CHARS, cut).otherwise(patch)
+    if max_chars is None:
+        return patch
+    cut = F.concat(F.substring(patch, 1, max_chars), F.lit(CUT_MARK))
+    return F.when(F.length(patch) > max_chars, cut).otherwise(patch)
 
 
 def changed_path(a_path: Column, b_path: Column) -> Column:
@@ -60,10 +62,10 @@ def commit_headers(commits: DataFrame) -> DataFrame:
     return commits.select("repo", "hash", header_text().alias("header"))
 
 
-def commit_diffs(commit_files: DataFrame) -> DataFrame:
+def commit_diffs(commit_files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """One section per changed file of every commit that has a parent."""
     path = changed_path(F.col("a_path"), F.col("b_path"))
-    section = F.concat(F.lit("\nDiff for "), path, F.lit(":\n"), truncated(F.col("patch")))
+    section = F.concat(F.lit("\nDiff for "), path, F.lit(":\n"), truncated(F.col("patch"), max_chars))
     return commit_files.filter(~F.col("is_root")).select(
         "hash", "ord", path.alias("path"), section.alias("section")
     )
@@ -81,11 +83,11 @@ def commit_root_files(commit_files: DataFrame) -> DataFrame:
     return roots.groupBy("hash", "part").agg(listed.alias("files"))
 
 
-def commit_docs(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
+def commit_docs(commits: DataFrame, commit_files: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Text of each commit: ``repo, hash, part, text``; the parts joined give the whole.
 
-    Header and sections go through one union and one aggregation, so patches are
-    shuffled once.  Commits of up to 1000 files have the single part 0.
+    Sections are built where the files are read, cut there if ``max_chars`` says so, and
+    only they are moved.  Commits of up to 1000 files have the single part 0.
     """
     headers = commits.select(
         "repo", "hash", F.lit(0).cast("bigint").alias("part"), F.lit(-1).cast("bigint").alias("ord"),
@@ -93,11 +95,11 @@ def commit_docs(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     )
     path = changed_path(F.col("a_path"), F.col("b_path"))
     listed = F.concat(F.when(F.col("ord") == 0, "").otherwise(", "), path)
-    diff = F.concat(F.lit("\n\nDiff for "), path, F.lit(":\n"), truncated(F.col("patch")))
-    wanted = sized_join(commit_files, commits.select("repo", "hash"), ["hash"], "inner")
-    pieces = wanted.select(
-        "repo", "hash", _part(), F.col("ord").cast("bigint").alias("ord"),
+    diff = F.concat(F.lit("\n\nDiff for "), path, F.lit(":\n"), truncated(F.col("patch"), max_chars))
+    made = commit_files.select(
+        "hash", _part(), F.col("ord").cast("bigint").alias("ord"),
         F.when(F.col("is_root"), listed).otherwise(diff).alias("piece"),
     )
+    pieces = sized_join(made, commits.select("repo", "hash"), ["hash"], "inner")
     text = F.expr("listagg(piece, '') within group (order by ord)")
     return headers.unionByName(pieces).groupBy("repo", "hash", "part").agg(text.alias("text"))

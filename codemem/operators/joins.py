@@ -4,22 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from codemem.session import BROADCAST_ROWS
 
+def sized_join(large: DataFrame, other: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on narrow keys, without a hint.
 
-def sized_join(
-    large: DataFrame, other: DataFrame, on: Sequence[str], how: str, known_rows: int | None = None
-) -> DataFrame:
-    """Join on narrow keys without moving ``large`` when ``other`` is provably small.
-
-    With a row bound known from the data (a k-row recall, a rule list) the small
-    side is broadcast outright.  Otherwise the choice is left to the adaptive
-    planner, which measures ``other`` after its own shuffle, broadcasts it when it
-    is below the session's threshold, and splits hot partitions of ``large`` when
-    it is not.
+    The adaptive planner measures ``other`` after its own shuffle, broadcasts it when
+    it is below the session's threshold in bytes, and splits hot partitions of ``large``
+    when it is not.
     """
-    if known_rows is not None and known_rows <= BROADCAST_ROWS:
-        other = F.broadcast(other)
     return large.join(other, list(on), how)

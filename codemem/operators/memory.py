@@ -18,6 +18,8 @@ from codemem.operators.symbols import rows_of
 
 DEFAULT_K = 3
 DEFAULT_CHUNK_TOKENS = 256
+# Characters of one word in a chunk: encoded and minified files hold words of any length.
+WORD_CHARS = 1000
 
 # The reply that carries no memory, and the two answers when nothing is left.
 EMPTY_REPLY = "got it."
@@ -30,12 +32,12 @@ CHUNK_KEY = ("dataset", "doc_id", "chunk_no")
 
 
 def _runs(text: Column, max_tokens: int) -> Column:
-    """Runs of words with the white space around them.
+    """Runs of words with the white space around them; a longer word counts as several.
 
     Possessive quantifiers keep the matcher iterative, whatever the length of a text.
     """
     found = lambda ws: F.regexp_extract_all(
-        text, F.lit(rf"(?:[{ws}]*+[^{ws}]++){{1,{max_tokens}}}+[{ws}]*+"), F.lit(0)
+        text, F.lit(rf"(?:[{ws}]*+[^{ws}]{{1,{WORD_CHARS}}}+){{1,{max_tokens}}}+[{ws}]*+"), F.lit(0)
     )
     return tx.by_ws(text, found(tx.ASCII_WS), found(tx.WS_CLASS))
 
@@ -294,15 +296,17 @@ def dedup_normalized(texts: DataFrame, rank: str = "rank", text: str = "text") -
     """First of each group of near-literal copies, over a table of any size.
 
     ``rank`` is unique.  Only hashes and ranks are aggregated, so a group holding
-    a third of all rows is reduced inside each task; texts are fetched by rank.
+    a third of all rows is reduced inside each task.
     """
     hashed = texts.select(rank, F.sha2(tx.normalize_ws(F.col(text)), 256).alias("k"))
     void = F.col("k").isin(*[hashlib.sha256(t.encode()).hexdigest() for t in ("", EMPTY_REPLY)])
-    # The void texts are dropped by their aggregate: a filter on the key would be pushed
+    # The void texts are told by their aggregate: a filter on the key would be pushed
     # below the hashing and normalise every text a second time.
-    first = hashed.groupBy("k").agg(F.min(F.when(~void, F.col(rank))).alias(rank))
-    first = first.select(rank).filter(F.col(rank).isNotNull())
-    return sized_join(texts, first.hint("shuffle_hash"), [rank], "left_semi")
+    groups = hashed.groupBy("k").agg(F.min(F.when(~void, F.col(rank))).alias("first"), F.count("*").alias("n"))
+    groups = groups.filter(F.col("first").isNull() | (F.col("n") > 1)).select("k", "first")
+    # Those that go: copies and void texts.  They are usually few, and texts stay where they are.
+    lost = sized_join(hashed, groups, ["k"], "inner").filter(F.col("first").isNull() | (F.col(rank) != F.col("first")))
+    return sized_join(texts, lost.select(rank), [rank], "left_anti")
 
 
 def answer_text(results: DataFrame) -> DataFrame:
@@ -322,12 +326,12 @@ def answer_text(results: DataFrame) -> DataFrame:
 
 
 def with_graph(results: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Neighbours of the files a k-row recall hit: one row per result and symbol."""
-    hits = results.select("rank", F.col("path").alias("file"))
-    near = edges.join(F.broadcast(hits), "file").select("rank", "file", F.col("dst").alias("id"))
+    """Neighbours of the files that ``results(rank, repo, path)`` name: one row per result and symbol."""
+    hits = results.select("rank", "repo", F.col("path").alias("file"))
+    near = sized_join(edges, hits, ["repo", "file"], "inner").select("rank", "repo", "file", F.col("dst").alias("id"))
     # The hit files bound the node side as well: it is filtered before it is joined.
-    known = nodes.join(F.broadcast(hits.select("file").distinct()), "file", "left_semi")
-    return near.join(known.select("file", "id", "grp", "label"), ["file", "id"])
+    known = sized_join(nodes, hits.select("repo", "file").distinct(), ["repo", "file"], "left_semi")
+    return sized_join(near, known.select("repo", "file", "id", "grp", "label"), ["repo", "file", "id"], "inner")
 
 
 # ---- decisions, datasets, status ------------------------------------------------------

@@ -274,8 +274,11 @@ def _class_lines(c: Column) -> Column:
     )
 
 
-def summary_text(path: Column) -> Column:
-    """Text outline over the symbol columns; empty sections are left out."""
+def summary_text(path: Column, max_imports: int | None = None) -> Column:
+    """Text outline over the symbol columns; empty sections are left out.
+
+    ``max_imports`` names only the first imports.
+    """
     section = lambda title, rows, array: F.when(
         F.size(array) > 0, F.concat(F.array(F.lit(title)), rows)
     ).otherwise(_strings())
@@ -285,7 +288,7 @@ def summary_text(path: Column) -> Column:
         F.col("module_docstring") != "",
         F.array(F.concat(F.lit("Module Summary: "), tx.strip_ws(F.col("module_docstring")))),
     ).otherwise(_strings())
-    named = F.array_join(F.slice(imports, 1, MAX_SUMMARY_IMPORTS), ", ")
+    named = F.array_join(imports if max_imports is None else F.slice(imports, 1, max_imports), ", ")
     uses = F.when(F.size(imports) > 0, F.array(F.concat(F.lit("Imports: "), named))).otherwise(_strings())
     return F.array_join(
         F.concat(

@@ -126,7 +126,7 @@ FROM (SELECT * FROM matched UNION ALL SELECT * FROM planted)"""
     return {"scan": scan, "matched": matched, "planted": planted, "both_kinds": both, "sym": uniq}
 
 
-def _summary() -> str:
+def _summary(imports: str = "imports") -> str:
     fn = f"list_transform(functions, lambda f: '  - func ' || f.a || '(' || {arguments('f.b')} || ')')"
     cls = (
         "list_transform(classes, lambda c: '  - Class ' || c.a || "
@@ -138,7 +138,7 @@ def _summary() -> str:
     return f"""'[AST CODE SYMBOLS] File: ' || path
   || CASE WHEN ext = '.py' AND parse_ok = 1
           THEN {NL} || 'Module Summary: Module m' || doc_id || '.' || {NL} || {NL} || 'Handles part ' || doc_id || '.' ELSE '' END
-  || CASE WHEN len(imports) > 0 THEN {NL} || 'Imports: ' || array_to_string(imports[1:{sy.MAX_SUMMARY_IMPORTS}], ', ') ELSE '' END
+  || CASE WHEN len(imports) > 0 THEN {NL} || 'Imports: ' || array_to_string({imports}, ', ') ELSE '' END
   || CASE WHEN len(classes) > 0 THEN {NL} || 'Classes:' || {NL} || array_to_string({cls}, {NL}) ELSE '' END
   || CASE WHEN len(functions) > 0 THEN {NL} || 'Standalone Functions:' || {NL} || array_to_string({fn}, {NL}) ELSE '' END"""
 
@@ -226,8 +226,8 @@ def _with_comments(body: str) -> str:
 
 _PATH = "coalesce(nullif(b_path, ''), a_path)"
 _PATCH = (
-    f"CASE WHEN length(coalesce(patch, '')) > {ci.PATCH_CHARS} "
-    f"THEN substr(patch, 1, {ci.PATCH_CHARS}) || {lit(ci.CUT_MARK)} ELSE coalesce(patch, '') END"
+    "CASE WHEN length(coalesce(patch, '')) > 1000 "
+    f"THEN substr(patch, 1, 1000) || {NL} || '... [diff truncated for token optimization]' ELSE coalesce(patch, '') END"
 )
 _HEADER = (
     f"'Commit Hash: ' || hash || {NL} || 'Author: ' || author || ' <' || email || '>' || {NL} || 'Date: ' "
@@ -236,12 +236,12 @@ _HEADER = (
 _LATEST = "row_number() OVER (PARTITION BY repo ORDER BY authored_ts DESC, hash)"
 
 
-def _commit_text_ctes(source: str) -> dict[str, str]:
+def _commit_text_ctes(source: str, patch: str = _PATCH) -> dict[str, str]:
     header = _HEADER.replace("|| hash ||", "|| h.hash ||")
     return {
         "bodies": f"""
 SELECT hash, ord // {ci.FILES_PER_PART} AS part, string_agg(CASE WHEN is_root THEN CASE WHEN ord = 0 THEN '' ELSE ', ' END || {_PATH}
-  ELSE {NL} || {NL} || 'Diff for ' || {_PATH} || ':' || {NL} || {_PATCH} END, '' ORDER BY ord) AS body
+  ELSE {NL} || {NL} || 'Diff for ' || {_PATH} || ':' || {NL} || {patch} END, '' ORDER BY ord) AS body
 FROM commit_files GROUP BY ALL""",
         "texts": f"""
 SELECT repo, h.hash, coalesce(part, 0) AS part,
@@ -475,12 +475,11 @@ UNION ALL SELECT path, 'Child' || doc_id, 'go', 'self', '', 22 {py}""",
     sql["go_functions"] = _functions_sql((sy.GO_SUFFIX,), sy.GO_FUNCTION)
     sql["rust_types"] = one((sy.RUST_SUFFIX,), sy.RUST_TYPE, "name")
     sql["rust_functions"] = _functions_sql((sy.RUST_SUFFIX,), sy.RUST_FUNCTION)
-    sql["symbol_summary"] = _with_symbols(f"SELECT repo, path, {_summary()} AS summary FROM sym")
+    sql["symbol_summary"] = _with_symbols(f"SELECT repo, path, {_summary('imports[1:15]')} AS summary FROM sym")
 
     # comments
     sql["tag_counts"] = _with_comments(
-        f"SELECT tag, count(*) AS n FROM (SELECT upper(regexp_extract(text, {lit(_tag())}, 1)) AS tag FROM all_rows) "
-        "WHERE tag <> '' GROUP BY tag"
+        f"SELECT tag, count(*) AS n FROM (SELECT upper(unnest(regexp_extract_all(text, {lit(_tag())}, 1))) AS tag FROM all_rows) GROUP BY tag"
     )
     sql["comments_hash"] = _with_comments("SELECT path, line, text FROM hash_rows")
     sql["comments_docstring"] = _with_comments("SELECT path, ord, text FROM doc_rows")
@@ -632,7 +631,7 @@ UNION ALL SELECT src || '->' || dst, '{{"from":' || {quote('src')} || ',"to":' |
     sql["importers_of"] = _with_symbols("SELECT DISTINCT module, repo, path FROM (SELECT repo, path, unnest(imports) AS module FROM sym)")
     sql["recall_with_graph"] = with_views(
         ["code_files"],
-        "SELECT b.rank, n.file, n.id, n.grp, n.label FROM best b JOIN nodes n ON b.path = n.file WHERE n.grp <> 'file'",
+        "SELECT b.rank, n.file, n.id, n.grp, n.label FROM best b JOIN nodes n ON b.path = n.file AND b.dataset = " + dataset('n.repo') + " WHERE n.grp <> 'file'",
         **_symbol_ctes(), nodes=_node_rows(),
         **_recall_ctes(
             _FIRST_ITEM,
@@ -640,11 +639,7 @@ UNION ALL SELECT src || '->' || dst, '{{"from":' || {quote('src')} || ',"to":' |
         ),
         best=_top(5),
     )
-    remembered = {**_symbol_ctes(), **_comment_ctes(), **_commit_text_ctes("newest")}
-    remembered = {
-        "newest": f"SELECT * FROM (SELECT *, {_LATEST} AS rank FROM commits) WHERE rank <= {ci.PIPELINE_COMMITS}",
-        **remembered,
-    }
+    remembered = {**_symbol_ctes(), **_comment_ctes(), **_commit_text_ctes("commits", "coalesce(patch, '')")}
     file_text = _file_text()
     sql["remember_corpus"] = with_views(
         ["code_files", "commits", "commit_files"],

@@ -311,7 +311,7 @@ def rust_functions(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def symbol_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return _symbols(spark, sf).select("repo", "path", sy.summary_text(F.col("path")).alias("summary"))
+    return _symbols(spark, sf).select("repo", "path", sy.summary_text(F.col("path"), sy.MAX_SUMMARY_IMPORTS).alias("summary"))
 
 
 # ---- comments -------------------------------------------------------------------------
@@ -325,8 +325,9 @@ def _comment_rows(files: DataFrame, records, key: str = "path") -> DataFrame:
 
 @register
 def tag_counts(spark: SparkSession, sf: str) -> DataFrame:
-    tag = F.upper(F.regexp_extract("text", cm.tag_pattern().replace("(?:", "(", 1), 1))
-    tagged = cm.comments(_code(spark, sf)).select(tag.alias("tag")).filter(F.col("tag") != "")
+    """Every tag of every record."""
+    tags = F.regexp_extract_all("text", F.lit(cm.tag_pattern().replace("(?:", "(", 1)), F.lit(1))
+    tagged = cm.comments(_code(spark, sf)).select(F.explode(tags).alias("tag")).select(F.upper("tag").alias("tag"))
     return tagged.groupBy("tag").agg(F.count("*").alias("n"))
 
 
@@ -383,12 +384,12 @@ def commit_headers(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def commit_diffs(spark: SparkSession, sf: str) -> DataFrame:
-    return ci.commit_diffs(Tables(spark, sf).commit_files)
+    return ci.commit_diffs(Tables(spark, sf).commit_files, ci.PATCH_CHARS)
 
 
 @register
 def patch_truncate(spark: SparkSession, sf: str) -> DataFrame:
-    return Tables(spark, sf).commit_files.select("hash", "ord", ci.truncated(F.col("patch")).alias("patch"))
+    return Tables(spark, sf).commit_files.select("hash", "ord", ci.truncated(F.col("patch"), ci.PATCH_CHARS).alias("patch"))
 
 
 @register
@@ -399,7 +400,7 @@ def commit_root_files(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def commit_docs(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
-    return ci.commit_docs(t.commits, t.commit_files)
+    return ci.commit_docs(t.commits, t.commit_files, ci.PATCH_CHARS)
 
 
 # ---- memory ---------------------------------------------------------------------------
@@ -531,10 +532,11 @@ def forget_tag(spark: SparkSession, sf: str) -> DataFrame:
 def forget_all(spark: SparkSession, sf: str) -> DataFrame:
     store = MemoryStore(spark, work_dir(spark, "store")).create()
     store.ingest(_docs(spark, sf))
-    before = store.docs().agg(F.count("*").alias("docs_before"))
+    before = F.lit(store.docs().count()).alias("docs_before")
     store.forget_all()
-    after = store.docs().agg(F.count("*").alias("docs_after"))
-    return before.crossJoin(after)  # two one-row frames
+    if store._files("v1")[1]:
+        raise RuntimeError("files of the old version are left")
+    return store.create().docs().agg(before, F.count("*").alias("docs_after"))
 
 
 @register
@@ -584,10 +586,16 @@ def memory_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """The newer half of the events first, then in a second run the older half: none is too late."""
     at = work_dir(spark, "stream")
-    events = sd.read_stream(spark, sf, "events.parquet")
-    sd.stream_decisions(sd.decisions_from_events(events), f"{at}/docs", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/docs").select("dataset", "doc_id", "text")
+    store = MemoryStore(spark, f"{at}/memory").create()
+    events = sd.decisions_from_events(Tables(spark, sf).events)
+    middle = events.agg(F.timestamp_seconds((F.unix_timestamp(F.min("ts")) + F.unix_timestamp(F.max("ts"))) / 2).alias("middle"))
+    events = events.join(middle, F.lit(True))  # one row
+    for half in (F.col("ts") >= F.col("middle"), F.col("ts") < F.col("middle")):
+        events.filter(half).drop("middle").write.mode("append").parquet(f"{at}/log")
+        sd.stream_decisions(sd.read_stream(spark, f"{at}/log", "*.parquet"), store, f"{at}/checkpoint")
+    return store.docs().select("dataset", "doc_id", "text")
 
 
 # ---- graph ----------------------------------------------------------------------------
@@ -655,7 +663,7 @@ def recall_with_graph(spark: SparkSession, sf: str) -> DataFrame:
     _symbols(spark, sf).write.parquet(at)
     symbols = spark.read.parquet(at)
     docs = code.select(
-        fi.dataset_name(F.col("repo")).alias("dataset"), F.col("path").alias("doc_id"), "path", F.col("content").alias("text")
+        fi.dataset_name(F.col("repo")).alias("dataset"), F.col("path").alias("doc_id"), "repo", "path", F.col("content").alias("text")
     )
     top = mem.recall(mem.ingest(docs), _question(spark, sf), k=5)
     found = mem.with_graph(top, gr.graph_edges(symbols), gr.graph_nodes(symbols))

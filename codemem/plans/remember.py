@@ -40,10 +40,10 @@ def comment_documents(files: DataFrame, dataset: Column) -> DataFrame:
 
 
 def commit_documents(
-    commits: DataFrame, commit_files: DataFrame, dataset: Column, n: int = ci.PIPELINE_COMMITS
+    commits: DataFrame, commit_files: DataFrame, dataset: Column, n: int | None = None
 ) -> DataFrame:
-    newest = ci.latest_commits(commits, n)
-    texts = ci.commit_docs(newest, commit_files)
+    """Texts of all commits, or of the ``n`` newest of each repository, with whole patches."""
+    texts = ci.commit_docs(commits if n is None else ci.latest_commits(commits, n), commit_files)
     return texts.select(
         dataset.alias("dataset"),
         F.concat(F.lit("commit:"), "hash", F.lit(":"), F.col("part").cast("string")).alias("doc_id"),
@@ -59,6 +59,7 @@ def remember(
     commit_files: DataFrame | None = None,
     changes: DataFrame | None = None,
     dataset: Column | None = None,
+    newest_commits: int | None = None,
 ) -> DataFrame:
     """Documents of a corpus; with ``changes`` only the files that changed.
 
@@ -69,5 +70,5 @@ def remember(
     chosen = files if changes is None else fi.incremental_files(files, changes)
     docs = file_documents(chosen, name).unionByName(comment_documents(chosen, name))
     if commits is not None and commit_files is not None:
-        docs = docs.unionByName(commit_documents(commits, commit_files, name))
+        docs = docs.unionByName(commit_documents(commits, commit_files, name, newest_commits))
     return docs

@@ -3,7 +3,8 @@
 Layout below the root: ``versions`` (one row per version) and, per version, ``docs``
 and ``chunks`` partitioned by ingest number and scope, ``tombstones`` (documents) and
 ``forgotten`` (whole datasets).  Nothing is overwritten in place: forgetting appends
-a tombstone, reading anti-joins them, compaction writes the next version.
+a tombstone, reading anti-joins them, compaction writes the next version and removes the
+old one.  ``claims`` holds an empty file for each ingest number that is taken.
 """
 
 from __future__ import annotations
@@ -47,9 +48,32 @@ class MemoryStore:
     # ---- versions ---------------------------------------------------------------------
 
     def create(self) -> MemoryStore:
+        """Open the memory below the root, or start one where there is none."""
+        if self._files()[1] and self.reopen().version():
+            return self
         self._start_version(1)
         return self
 
+    def _files(self, folder: str = "versions"):
+        """The file system of a folder below the root, whether that exists, and its path."""
+        jvm, context = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        files = path.getFileSystem(context)
+        return files, files.exists(path), path
+
+    def _number(self) -> int:
+        """The next ingest number: above all earlier ones, whatever the clock says, and taken by nobody else."""
+        files, known, claims = self._files("claims")
+        last = max((int(f.getPath().getName()) for f in files.listStatus(claims)), default=0) if known else 0
+        number = max(last + 1, time.time_ns() // 1000)
+        while not self._claim(number):
+            number += 1
+        return number
+
+    def _claim(self, number: int) -> bool:
+        files, _, path = self._files(f"claims/{number}")
+        return files.createNewFile(path)
+
     def version(self) -> int:
         """The version this object reads; found once, then moved on by its own calls."""
         if self._version is None:
@@ -66,6 +90,7 @@ class MemoryStore:
         return f"{self.root}/v{version or self.version()}/{table}"
 
     def _start_version(self, version: int, **content: DataFrame) -> None:
+        old = self._version
         for table, schema in TABLES.items():
             rows = content.get(table, self.spark.createDataFrame([], schema))
             self._write(rows, table, version)
@@ -73,6 +98,9 @@ class MemoryStore:
         marker = self.spark.createDataFrame([(version,)], "version BIGINT")
         marker.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
         self._version = version
+        if old is not None:
+            files, _, path = self._files(f"v{old}")
+            files.delete(path, True)
 
     def _write(self, rows: DataFrame, table: str, version: int | None = None) -> None:
         out = rows
@@ -92,12 +120,10 @@ class MemoryStore:
     # ---- reading ----------------------------------------------------------------------
 
     def _live(self, rows: DataFrame) -> DataFrame:
-        # One row per user call on whole datasets: counted, then broadcast.
         forgotten = self._table("forgotten")
-        n = forgotten.count()
-        if n:
+        if not forgotten.isEmpty():
             last = forgotten.groupBy("dataset").agg(F.max("up_to").alias("up_to"))
-            rows = sized_join(rows, last, ["dataset"], "left", known_rows=n)
+            rows = sized_join(rows, last, ["dataset"], "left")
             rows = rows.filter(F.col("up_to").isNull() | (F.col("seq") > F.col("up_to"))).drop("up_to")
         gone = self._table("tombstones").alias("t")
         same = (
@@ -155,9 +181,9 @@ class MemoryStore:
 
         A failed call raises and can be repeated with the same number: the
         partitions it wrote are written again.  With ``replace``, earlier versions
-        of the same documents are forgotten.
+        of the same documents are forgotten, and whatever else was stored of their paths.
         """
-        seq = seq or time.time_ns() // 1000
+        seq = self._taken(seq)
         safe = docs.select("dataset", "doc_id", "kind", "path", tx.redact(F.col("text")).alias("text"))
         rows = safe.select(
             "*",
@@ -172,31 +198,61 @@ class MemoryStore:
         chunks = self.embedder(mem.chunk_documents(stored))
         self._write(chunks.select(*self._table("chunks").columns), "chunks")
         if replace:
-            key = ["dataset", "doc_id"]
-            earlier = self._table("docs").filter(F.col("seq") < seq).select(*key)
-            self._bury(sized_join(earlier, stored.select(*key), key, "left_semi"), seq - 1)
+            earlier = self._table("docs").filter(F.col("seq") < seq).select("dataset", "doc_id", "path")
+            same_id = sized_join(earlier, stored.select("dataset", "doc_id"), ["dataset", "doc_id"], "left_semi")
+            paths = stored.filter(F.col("path").isNotNull()).select("dataset", "path").distinct()
+            self._bury(same_id.unionByName(sized_join(earlier, paths, ["dataset", "path"], "left_semi")), seq - 1)
+        return seq
+
+    def _taken(self, seq: int | None) -> int:
+        if seq is None:
+            return self._number()
+        self._claim(seq)
         return seq
 
-    def refresh(self, docs: DataFrame, datasets: Sequence[str] | None = None, seq: int | None = None) -> int:
+    def refresh(
+        self,
+        docs: DataFrame,
+        datasets: Sequence[str] | None = None,
+        seq: int | None = None,
+        kinds: Sequence[str] | None = None,
+        unread: DataFrame | None = None,
+    ) -> int:
         """Make the datasets hold exactly ``docs``; unchanged documents are left alone.
 
         By default those are the datasets that occur in ``docs``; a list spares the
-        store the scan of all others, and empties those that do not occur.
+        store the scan of all others, and empties those that do not occur.  Only
+        documents of ``kinds`` (default: all) are forgotten for being absent, and none
+        at or below a path of ``unread(dataset, path)``: it could not be looked at.
+
+        The documents are made once, and written; keys and hashes are compared.
         """
-        seq = seq or time.time_ns() // 1000
+        seq = self._taken(seq)
         key = ["dataset", "doc_id"]
-        new = docs.select(*key, tx.redact(F.col("text")).alias("text"))
+        at = f"{self.root}/changes/seq={seq}"
+        safe = docs.select(*key, "kind", "path", tx.redact(F.col("text")).alias("text"))
+        safe.withColumn("sha256", F.sha2("text", 256)).write.mode("overwrite").parquet(f"{at}/docs")
+        made = self.spark.read.parquet(f"{at}/docs")
         held = self.docs(datasets)
         if datasets is None:
-            held = sized_join(held, docs.select("dataset").distinct(), ["dataset"], "left_semi")
-        diff = snapshot_diff(held.select(*key, "text"), new, key, "text")
+            held = sized_join(held, made.select("dataset").distinct(), ["dataset"], "left_semi")
+        diff = snapshot_diff(held.select(*key, "sha256"), made.select(*key, "sha256"), key, "sha256")
         # Written out: the decision must not be taken again after the store has changed.
-        at = f"{self.root}/changes/seq={seq}"
-        diff.filter(F.col("change_type") != "unchanged").write.mode("overwrite").parquet(at)
-        changed = self.spark.read.schema("dataset STRING, doc_id STRING, change_type STRING").parquet(at)
-        self._bury(changed.filter(F.col("change_type") != "added"), seq - 1)
+        diff.filter(F.col("change_type") != "unchanged").write.mode("overwrite").parquet(f"{at}/diff")
+        changed = self.spark.read.schema("dataset STRING, doc_id STRING, change_type STRING").parquet(f"{at}/diff")
+        absent = sized_join(held.select(*key, "kind", "path"), changed.filter("change_type = 'deleted'").select(*key), key, "left_semi")
+        if kinds is not None:
+            absent = absent.filter(F.col("kind").isin(*kinds))
+        if unread is not None:
+            below = F.concat(F.regexp_replace("u.path", "/$", ""), F.lit("/"))
+            inside = (F.col("a.path") == F.col("u.path")) | F.startswith(F.col("a.path"), below) | F.col("u.path").isin("", ".")
+            absent = absent.alias("a").join(unread.alias("u"), (F.col("a.dataset") == F.col("u.dataset")) & F.coalesce(inside, F.lit(False)), "left_anti")
+        self._bury(absent.select(*key).unionByName(changed.filter("change_type = 'modified'").select(*key)), seq - 1)
         fresh = changed.filter(F.col("change_type") != "deleted").select(*key)
-        return self.ingest(sized_join(docs, fresh, key, "left_semi"), seq)
+        self.ingest(sized_join(made.drop("sha256"), fresh, key, "left_semi"), seq)
+        files, _, path = self._files(f"changes/seq={seq}")
+        files.delete(path, True)
+        return seq
 
     def log_decision(self, text: str, at: int | None = None) -> int:
         """Store one decision; ``at`` is epoch seconds."""
@@ -209,17 +265,21 @@ class MemoryStore:
     # ---- forgetting -------------------------------------------------------------------
 
     def _bury(self, ids: DataFrame, up_to: int | None = None) -> None:
-        up_to = up_to or time.time_ns() // 1000
+        up_to = self._number() if up_to is None else up_to
         self._write(ids.select("dataset", "doc_id", F.lit(up_to).cast("bigint").alias("up_to")).distinct(), "tombstones")
 
     def forget_dataset(self, name: str, up_to: int | None = None) -> None:
         """An unknown name is no error."""
-        up_to = up_to or time.time_ns() // 1000
+        up_to = self._number() if up_to is None else up_to
         self._write(self.spark.createDataFrame([(name, up_to)], FORGOTTEN).coalesce(1), "forgotten")
 
-    def forget_files(self, paths: Sequence[str], up_to: int | None = None) -> None:
-        """Documents of exactly these paths, of every kind and dataset."""
-        self._bury(self._table("docs").filter(F.col("path").isin(*paths)), up_to)
+    def forget_files(self, paths: Sequence[str] | DataFrame, up_to: int | None = None) -> None:
+        """Documents of exactly these paths, of every kind and dataset; ``paths`` is a list or a table ``path``."""
+        rows = self._table("docs")
+        if isinstance(paths, DataFrame):
+            self._bury(sized_join(rows, paths.select("path").distinct(), ["path"], "left_semi"), up_to)
+        else:
+            self._bury(rows.filter(F.col("path").isin(*paths)), up_to)
 
     def forget_file_substring(self, path: str, up_to: int | None = None) -> None:
         """Every document that mentions the path, and the dataset named after it."""
@@ -228,8 +288,10 @@ class MemoryStore:
         self.forget_dataset(path.translate(str.maketrans("/\\. ", "____")), up_to)
 
     def forget_all(self) -> None:
+        """An empty version; the files of the old one are removed."""
         self._start_version(self.version() + 1)
 
     def compact(self) -> None:
-        """Write what is alive as the next version, without tombstones."""
-        self._start_version(self.version() + 1, docs=self.docs(), chunks=self.chunks())
+        """Write what is alive as the next version, under one ingest number and without tombstones."""
+        one = F.lit(self._number()).cast("bigint")
+        self._start_version(self.version() + 1, docs=self.docs().withColumn("seq", one), chunks=self.chunks().withColumn("seq", one))

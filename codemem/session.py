@@ -8,9 +8,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Broadcast ceiling for tables whose size is counted before they are broadcast.
-BROADCAST_ROWS = 200_000
-
 
 def local_session(cores: int | str = "*", app: str = "codemem") -> SparkSession:
     """Session for tests and benchmarks on one machine."""

@@ -1,30 +1,28 @@
-"""Decision log as a stream: new rows become memory documents once each."""
+"""Decision log as a stream: new rows enter the memory once each."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codemem.operators.joins import sized_join
 from codemem.operators.memory import decision_docs
+from codemem.plans.store import MemoryStore
 
-LATENESS = "1 hour"
+def stream_decisions(decisions: DataFrame, store: MemoryStore, checkpoint: str) -> None:
+    """Remember a streaming ``decisions(id, ts, text)`` until it is drained.
 
+    Each batch drops what the memory already holds and stores the rest, whatever its
+    time: a decision is never too late.  A batch that is run again after a failure finds
+    its own documents there, or writes them under a new number.
+    """
 
-def stream_decisions(decisions: DataFrame, out: str, checkpoint: str, lateness: str = LATENESS) -> None:
-    """Append the documents of a streaming ``decisions(id, ts, text)`` to ``out`` until it is drained.
+    def remember(batch: DataFrame, _: int) -> None:
+        docs = decision_docs(batch).dropDuplicates(["doc_id"])
+        known = store.docs().filter(F.col("kind") == "decision").select("doc_id")
+        fresh = sized_join(docs, known, ["doc_id"], "left_anti")
+        store.ingest(fresh)
 
-    A decision delivered again within the watermark is dropped; state older than
-    that is released, so it does not grow with the history.
-    """
-    once = decisions.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["id"])
-    query = (
-        decision_docs(once)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    query = decisions.writeStream.foreachBatch(remember).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -35,7 +33,7 @@ def read_stream(spark: SparkSession, folder: str, glob: str) -> DataFrame:
 
 
 def decisions_from_events(events: DataFrame) -> DataFrame:
-    """Events as decisions, with a timestamp type that watermarks accept."""
+    """Events as decisions, with the types of a decision log."""
     blank = F.col("event_id") % 31 == 0
     text = F.concat(F.lit("Use "), "event_type", F.lit(" settings "), "props")
     return events.select(

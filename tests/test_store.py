@@ -144,14 +144,54 @@ def test_decisions_are_found_with_the_project(store, first):
 def test_compaction_and_forget_all(store, first):
     store.ingest(first)
     store.forget_files(["b.py"])
-    before = {tuple(r) for r in store.docs().select("doc_id", "text", "seq").collect()}
+    before = {tuple(r) for r in store.docs().select("doc_id", "text").collect()}
     chunks = ids(store.chunks())
     store.compact()
     assert store.version() == 2
-    assert {tuple(r) for r in store.docs().select("doc_id", "text", "seq").collect()} == before and ids(store.chunks()) == chunks
+    assert {tuple(r) for r in store.docs().select("doc_id", "text").collect()} == before and ids(store.chunks()) == chunks
+    assert store.docs().select("seq").distinct().count() == 1 and not store._files("v1")[1]
     assert store._table("tombstones").count() == 0
     other = MemoryStore(store.spark, store.root)
     assert other.version() == 2 and other.docs().count() == 4
     store.forget_all()
     assert store.docs().count() == store.chunks().count() == 0
-    assert other.docs().count() == 4 and other.reopen().docs().count() == 0
+    assert other.reopen().docs().count() == 0 and not store._files("v2")[1]
+
+
+def test_creating_again_opens_what_is_there(store, first):
+    store.ingest(first)
+    assert MemoryStore(store.spark, store.root).create().docs().count() == 5
+    store.forget_all()
+    again = MemoryStore(store.spark, store.root).create()
+    assert again.version() == 2 and again.docs().count() == 0
+
+
+def test_numbers_rise_whatever_the_clock_says(store, first, monkeypatch):
+    store.ingest(first)
+    monkeypatch.setattr("codemem.plans.store.time.time_ns", lambda: 1000)
+    store.forget_files(["b.py"])
+    store.ingest(first.filter("path = 'c.py'"), replace=True)
+    assert {r.path for r in store.docs().collect()} == {"a.py", "a.py.bak", "c.py"}
+    assert not store._claim(store._number())
+
+
+def test_a_replaced_file_loses_its_old_comments(store, first, frame):
+    store.ingest(first)
+    store.ingest(frame([doc("a.py", "alpha without")], SCHEMA), replace=True)
+    assert {r.doc_id for r in store.docs().filter("path = 'a.py'").collect()} == {"file:a.py"}
+
+
+def test_refresh_forgets_only_scanned_kinds_and_readable_paths(store, frame):
+    rows = [doc("a.py", "one"), doc("lib/b.py", "two"), doc("c.py", "three"), ("codemem_a", "commit:1", "commit", None, "fix")]
+    store.ingest(frame(rows, SCHEMA))
+    unread = frame([("codemem_a", "lib")], "dataset STRING, path STRING")
+    store.refresh(frame([doc("a.py", "one")], SCHEMA), kinds=("file", "comment"), unread=unread)
+    assert {r.doc_id for r in store.docs().collect()} == {"file:a.py", "file:lib/b.py", "commit:1"}
+    store.refresh(frame([doc("a.py", "one")], SCHEMA), kinds=("file", "comment"))
+    assert {r.doc_id for r in store.docs().collect()} == {"file:a.py", "commit:1"}
+
+
+def test_files_are_forgotten_from_a_table(store, first, frame):
+    store.ingest(first)
+    store.forget_files(frame([("a.py",), ("c.py",)], "path STRING"))
+    assert {r.path for r in store.docs().collect()} == {"a.py.bak", "b.py"}

@@ -1,22 +1,25 @@
 import datetime as dt
 
+from codemem.plans.store import MemoryStore
 from codemem.session import work_dir
 from codemem.streaming import decisions as sd
 
 
 def test_decisions_arrive_once_across_runs(spark, frame, tmp_path):
     source, at = str(tmp_path / "in"), work_dir(spark, "test-stream")
+    store = MemoryStore(spark, f"{at}/memory").create()
     schema = "id BIGINT, ts TIMESTAMP, text STRING"
-    stamp = lambda minute: dt.datetime(2024, 1, 1, 0, minute)
-    run = lambda: sd.stream_decisions(sd.read_stream(spark, source, "*.parquet"), f"{at}/docs", f"{at}/check")
-    result = lambda: sorted((r.doc_id, r.text.split("\n")[1]) for r in spark.read.parquet(f"{at}/docs").collect())
+    stamp = lambda day: dt.datetime(2024, 1, day)
+    run = lambda: sd.stream_decisions(sd.read_stream(spark, source, "*.parquet"), store, f"{at}/check")
+    result = lambda: sorted((r.doc_id, r.text.split("\n")[1]) for r in store.docs().collect())
 
-    frame([(1, stamp(1), "a"), (1, stamp(1), "a"), (2, stamp(2), ""), (3, stamp(3), "c")], schema).write.parquet(source)
+    frame([(1, stamp(11), "a"), (1, stamp(11), "a"), (2, stamp(12), ""), (3, stamp(13), "c")], schema).write.parquet(source)
     run()
     assert result() == [("decision:1", "a"), ("decision:3", "c")]
     run()
     assert len(result()) == 2
-    # A late second delivery of a known decision is dropped, a new one is added.
-    frame([(3, stamp(4), "c"), (4, stamp(5), "d")], schema).write.mode("append").parquet(source)
+    # A second delivery of a known decision is dropped, a new one is added, and so is one that comes days late.
+    frame([(3, stamp(14), "c"), (4, stamp(15), "d"), (5, stamp(1), "late")], schema).write.mode("append").parquet(source)
     run()
-    assert result() == [("decision:1", "a"), ("decision:3", "c"), ("decision:4", "d")]
+    assert result() == [("decision:1", "a"), ("decision:3", "c"), ("decision:4", "d"), ("decision:5", "late")]
+    assert store.recall("late", 1).first().doc_id == "decision:5"

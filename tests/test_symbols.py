@@ -117,9 +117,9 @@ def test_other_suffixes_have_no_symbols(frame):
     assert row.classes == row.functions == row.imports == []
 
 
-def summary(frame, path, content):
+def summary(frame, path, content, limit=None):
     rows = sy.extract_symbols(frame([(path, content)], "path STRING, content STRING"))
-    return rows.select(sy.summary_text(F.col("path"))).first()[0]
+    return rows.select(sy.summary_text(F.col("path"), limit)).first()[0]
 
 
 def test_summary(frame):
@@ -140,7 +140,7 @@ def test_summary(frame):
 
 
 def test_summary_names_fifteen_imports(frame):
-    text = summary(frame, "i.py", "\n".join(f"import m{i}" for i in range(20)))
+    text = summary(frame, "i.py", "\n".join(f"import m{i}" for i in range(20)), 15)
     assert text.endswith("Imports: " + ", ".join(f"m{i}" for i in range(15)))
 
 
