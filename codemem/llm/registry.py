@@ -53,4 +53,48 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_kd_search, op2_secret_scan, op3_chained_passages, op4_source_mix, op5_training_order, op6_forced_bpe, op7_robust_outliers, op8_licence_scan, op9_near_duplicates, op10_partial_matching)}
-ORACLE_SQL: dict[str, str] = {}
+# Trained models, pseudorandom mixes, files, encodings and alignments cannot be said in SQL; tests/llm holds those
+# queries against plain versions.
+ORACLE_SQL: dict[str, str] = {
+    "op1_kd_search": """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)
+WHERE rank <= 10""",
+    "op9_near_duplicates": r"""
+WITH RECURSIVE listed AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s
+  FROM listed
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  WHERE 100 * common.n >= 85 * (p.n + q.n - common.n)
+), reached(doc_id, root) AS (
+  SELECT DISTINCT doc_id, doc_id FROM documents
+  UNION SELECT links.y, reached.root FROM reached JOIN links ON links.x = reached.doc_id
+), roots AS (
+  SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN roots USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+}
