@@ -44,13 +44,14 @@ class CodeMemory:
         commits: DataFrame | None = None,
         commit_files: DataFrame | None = None,
         changes: DataFrame | None = None,
+        tag: str | None = None,
     ) -> int:
         """Store files, comments and commits; with ``changes(repo, path)`` only what changed.
 
-        Documents stored before under the same ids are replaced.
+        Documents stored before under the same ids are replaced; ``tag`` marks them for ``forget``.
         """
         docs = rm.remember(files, commits, commit_files, changes)
-        return self.store.ingest(docs, replace=True)
+        return self.store.ingest(docs.withColumn("tag", F.lit(tag).cast("string")), replace=True)
 
     def refresh(self, files: DataFrame, commits: DataFrame | None = None, commit_files: DataFrame | None = None) -> int:
         """Bring the scanned repositories up to date; files that vanished are forgotten.
@@ -70,14 +71,17 @@ class CodeMemory:
         self,
         file: str | DataFrame | None = None,
         dataset: str | None = None,
+        tag: str | None = None,
         everything: bool = False,
         loose: bool = False,
     ) -> None:
-        """Forget a file or a table ``path`` of files (``loose``: whatever mentions the file), a dataset, or all."""
+        """Forget a file or a table ``path`` of files (``loose``: whatever mentions the file), a dataset, a tag, or all."""
         if everything:
             self.store.forget_all()
         elif dataset:
             self.store.forget_dataset(dataset)
+        elif tag:
+            self.store.forget_tags([tag])
         elif isinstance(file, DataFrame):
             self.store.forget_files(file)
         elif file and loose:
@@ -98,6 +102,12 @@ class CodeMemory:
             raise ValueError("a query cannot be empty")
         return mem.answer_text(self.search(query, k, datasets)).first()["answer"]
 
+    def ask_with_graph(self, query: str, symbols: DataFrame, k: int = mem.DEFAULT_K, datasets: Sequence[str] | None = None) -> DataFrame:
+        """The symbols of the files that the best chunks come from: ``rank, repo, file, id, grp, label``."""
+        repos = symbols.select("repo", fi.dataset_name(F.col("repo")).alias("dataset")).distinct()
+        hits = self.search(query, k, datasets).join(repos, "dataset")
+        return mem.with_graph(hits, gr.graph_edges(symbols), gr.graph_nodes(symbols))
+
     def ask_many(self, queries: DataFrame, k: int = mem.DEFAULT_K, datasets: Sequence[str] | None = None) -> DataFrame:
         return self.store.recall_batch(queries, k, datasets)
 

@@ -524,8 +524,14 @@ def forget_file_substring(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def forget_tag(spark: SparkSession, sf: str) -> DataFrame:
-    docs = Tables(spark, sf).documents.select("doc_id", F.col("lang").alias("tag"))
-    return mem.forget_tag(docs, FORGET_TAGS)
+    docs = Tables(spark, sf).documents.withColumn("tag", F.col("lang"))
+    store = MemoryStore(spark, work_dir(spark, "store")).create()
+    store.ingest(docs.select(
+        F.col("source").alias("dataset"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("file").alias("kind"),
+        F.lit(None).cast("string").alias("path"), "tag", "text",
+    ))
+    store.forget_tags(FORGET_TAGS)
+    return store.docs().select(F.col("doc_id").cast("bigint").alias("doc_id"), "tag")
 
 
 @register

@@ -20,7 +20,7 @@ from codemem.operators.joins import sized_join
 from codemem.operators.snapshots import snapshot_diff
 
 DOCS = (
-    "dataset STRING, doc_id STRING, kind STRING, path STRING, text STRING, sha256 STRING, "
+    "dataset STRING, doc_id STRING, kind STRING, path STRING, tag STRING, text STRING, sha256 STRING, "
     "ingested_at TIMESTAMP, seq BIGINT, scope STRING"
 )
 CHUNKS = (
@@ -39,6 +39,11 @@ def scope_of(dataset: Column) -> Column:
     return F.when(is_decision, mem.DECISION_DATASET.rstrip("_")).otherwise(dataset)
 
 
+def tag_of(docs: DataFrame) -> Column:
+    """The optional column ``tag`` of documents."""
+    return (F.col("tag") if "tag" in docs.columns else F.lit(None)).cast("string").alias("tag")
+
+
 class MemoryStore:
     def __init__(self, spark: SparkSession, root: str, embedder: mem.Embedder | None = None):
         self.spark, self.root = spark, root.rstrip("/")
@@ -184,7 +189,7 @@ class MemoryStore:
         of the same documents are forgotten, and whatever else was stored of their paths.
         """
         seq = self._taken(seq)
-        safe = docs.select("dataset", "doc_id", "kind", "path", tx.redact(F.col("text")).alias("text"))
+        safe = docs.select("dataset", "doc_id", "kind", "path", tag_of(docs), tx.redact(F.col("text")).alias("text"))
         rows = safe.select(
             "*",
             F.sha2("text", 256).alias("sha256"),
@@ -230,7 +235,7 @@ class MemoryStore:
         seq = self._taken(seq)
         key = ["dataset", "doc_id"]
         at = f"{self.root}/changes/seq={seq}"
-        safe = docs.select(*key, "kind", "path", tx.redact(F.col("text")).alias("text"))
+        safe = docs.select(*key, "kind", "path", tag_of(docs), tx.redact(F.col("text")).alias("text"))
         safe.withColumn("sha256", F.sha2("text", 256)).write.mode("overwrite").parquet(f"{at}/docs")
         made = self.spark.read.parquet(f"{at}/docs")
         held = self.docs(datasets)
@@ -281,6 +286,10 @@ class MemoryStore:
         else:
             self._bury(rows.filter(F.col("path").isin(*paths)), up_to)
 
+    def forget_tags(self, tags: Sequence[str], up_to: int | None = None) -> None:
+        """Documents with one of these tags."""
+        self._bury(self._table("docs").filter(F.col("tag").isin(*tags)), up_to)
+
     def forget_file_substring(self, path: str, up_to: int | None = None) -> None:
         """Every document that mentions the path, and the dataset named after it."""
         found = self._table("docs").filter(mem.mentions_file(path, F.col("text"), F.col("path")))

@@ -125,10 +125,12 @@ class TreeListing(DataSource):
 
 
 def list_tree(
-    spark: SparkSession, root: str, repo: str | None = None, slices: int = 64, suffixes: Sequence[str] = TEXT_SUFFIXES
+    spark: SparkSession, root: str, repo: str | None = None, slices: int | None = None, suffixes: Sequence[str] = TEXT_SUFFIXES
 ) -> DataFrame:
+    """Listing of a tree in ``slices`` tasks, by default a few for each core of the cluster."""
     spark.dataSource.register(TreeListing)
     root = mounted(root)
+    slices = slices or max(64, 4 * spark.sparkContext.defaultParallelism)
     return (
         spark.read.format("codetree")
         .option("root", root)
@@ -169,7 +171,7 @@ def read_tree(
     spark: SparkSession,
     root: str,
     repo: str | None = None,
-    slices: int = 64,
+    slices: int | None = None,
     read_tasks: int | None = None,
     suffixes: Sequence[str] = TEXT_SUFFIXES,
 ) -> DataFrame:

@@ -67,6 +67,22 @@ def test_a_session(memory, project, frame, tmp_path):
     assert memory.ask("anything") == NO_RESULTS
 
 
+def test_unreadable_files_and_history_survive_a_refresh(memory, project, frame):
+    commits = frame([("Shop-App", "h1", "Ann", "a@x", __import__("datetime").datetime(2024, 1, 1), "+00:00", "start", True)],
+                    "repo STRING, hash STRING, author STRING, email STRING, authored_ts TIMESTAMP, tz STRING, message STRING, is_root BOOLEAN")
+    changed = frame([("h1", 0, "main.py", "main.py", None, True)], "hash STRING, ord BIGINT, a_path STRING, b_path STRING, patch STRING, is_root BOOLEAN")
+    memory.remember(memory.scan(str(project)), commits, changed, tag="first")
+    rows = [("Shop-App", "main.py", TAX), ("Shop-App", "utils.py", None)]
+    memory.refresh(frame(rows, "repo STRING, path STRING, content STRING"))
+    assert {(r.kind, r.path) for r in memory.store.docs().collect()} == {
+        ("file", "main.py"), ("comment", "main.py"), ("file", "utils.py"), ("comment", "utils.py"), ("commit", None)}
+    symbols = memory.symbols(memory.scan(str(project))).cache()
+    near = memory.ask_with_graph("income tax rate", symbols, 1).collect()
+    assert [(r.repo, r.label) for r in near if r.grp == "func"] == [("Shop-App", "fn tax()")]
+    memory.forget(tag="first")
+    assert memory.store.docs().count() == 0
+
+
 def test_structure(memory, project, tmp_path):
     symbols = memory.symbols(memory.scan(str(project))).cache()
     nodes, edges, stats = memory.graph(symbols)

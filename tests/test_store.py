@@ -195,3 +195,17 @@ def test_files_are_forgotten_from_a_table(store, first, frame):
     store.ingest(first)
     store.forget_files(frame([("a.py",), ("c.py",)], "path STRING"))
     assert {r.path for r in store.docs().collect()} == {"a.py.bak", "b.py"}
+
+
+def test_forget_by_tag(store, first):
+    store.ingest(first.withColumn("tag", F.when(F.col("path") == "b.py", "old")))
+    store.forget_tags(["old"])
+    assert "b.py" not in {r.path for r in store.docs().collect()} and store.docs().count() == 4
+
+
+def test_a_long_word_is_cut_into_bounded_chunks(frame):
+    from codemem.operators import memory as mem
+
+    text = "x" * 5_000_000 + " tail"
+    chunks = mem.chunk_documents(frame([("d", "1", text)], "dataset STRING, doc_id STRING, text STRING")).orderBy("chunk_no").collect()
+    assert "".join(r.text for r in chunks) == text and max(len(r.text) for r in chunks) <= 257_000
