@@ -114,15 +114,20 @@ def candidates(reps: DataFrame, coordinates: int, threshold: int) -> DataFrame:
     return components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
 
 
-def _block_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Every document once for each pair of blocks that it has to be in."""
+def _block_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Every document once for each pair of blocks that it has to be in.
+
+    Blocks are counted on ``known(cluster, n_shingles)``, so that the sets themselves are made once.
+    """
     step = -math.log(percent / 100)
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("long"))
-    sizes = rows.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("long")
+    rows = rows.withColumn("band", band)
+    sizes = known.withColumn("band", band).groupBy("cluster", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     # Neighbouring bands of the same cluster.
     both = sizes.join(sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above")), ["cluster", "band"], "left")
     both = both.join(sizes.select("cluster", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below")), ["cluster", "band"], "left")
-    rows = rows.join(both, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    # Written first: a join of two plain shuffles can be split where a cluster is large.
+    rows = rows.join(cut(both), ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     mine = F.col("block")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     pair = lambda low, i, high, j: F.struct(low.alias("band"), i.alias("i"), high.alias("band2"), j.alias("j"))
@@ -219,7 +224,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, coordinates:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(clusters, "doc_id")
     rows = over_texts(texts, sets, "doc_id long, n_shingles long, cluster long, signature array<int>, shingles array<long>")
-    found = components(links(_block_pairs(rows, percent), threshold, percent))
+    known = clusters.join(rep_rows.select("doc_id", "n_shingles"), "doc_id")
+    found = components(links(_block_pairs(rows, known, percent), threshold, percent))
     groups = reps.select(*of_set, "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     groups = groups.select(*of_set, F.coalesce("component", "rep").alias("group"))
     rows = signed.select("doc_id", *of_set).join(groups, of_set, "left")
