@@ -1,14 +1,12 @@
 """The registered queries as SQL over the same tables, for a side-by-side check.
 
 Symbols of Python files cannot be found by SQL; for them the text states what the
-derived view planted.  Everything else is recomputed from the contents.
+derived view planted.  Everything else is recomputed from the contents, with fixed values of its own.
 """
 
 from __future__ import annotations
 
-from codemem.functions import text as tx, vectors as vx
-from codemem.operators import comments as cm, commits as ci, files as fi, graph as gr, memory as mem, symbols as sy
-from codemem.plans import queries as qs
+from codemem.plans import oracle_values as fixed, queries as qs
 from codemem.plans.views import view_sql
 from codemem.sources.ignore import compile_rules
 
@@ -17,7 +15,7 @@ def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-PIECE = f"{tx.WS}*[^{tx.WS_CLASS}]+{tx.WS}*"
+PIECE = f"{fixed.WS}*[^{fixed.WS_CLASS}]+{fixed.WS}*"
 
 
 def re2(pattern: str) -> str:
@@ -38,16 +36,16 @@ BASE_NAME = "string_split(path, '/')[-1]"
 
 
 def strip(x: str) -> str:
-    return f"trim({x}, {lit(tx.WS_CHARS)})"
+    return f"trim({x}, {lit(fixed.WS_CHARS)})"
 
 
 def norm(x: str) -> str:
-    return f"regexp_replace(lower({strip(x)}), {re2(tx.WS + '+')}, ' ', 'g')"
+    return f"regexp_replace(lower({strip(x)}), {re2(fixed.WS + '+')}, ' ', 'g')"
 
 
 def redact(x: str) -> str:
-    for pattern in tx.SECRET_PATTERNS.values():
-        x = f"regexp_replace({x}, {re2(pattern)}, {lit(tx.SECRET_MARK)}, 'g')"
+    for pattern in fixed.SECRET_PATTERNS.values():
+        x = f"regexp_replace({x}, {re2(pattern)}, {lit(fixed.SECRET_MARK)}, 'g')"
     return x
 
 
@@ -56,7 +54,7 @@ def suffix(path: str) -> str:
 
 
 def lines(x: str) -> str:
-    return f"string_split_regex({x}, {re2(tx.LINE_BREAK)})"
+    return f"string_split_regex({x}, {re2(fixed.LINE_BREAK)})"
 
 
 def numbered(x: str) -> str:
@@ -75,7 +73,7 @@ def arguments(x: str) -> str:
 
 def dataset(x: str) -> str:
     base = f"regexp_extract({x}, '([^/]+)/*$', 1)"
-    return f"{lit(fi.DATASET_PREFIX)} || translate(lower({base}), '- ', '__')"
+    return f"{lit(fixed.DATASET_PREFIX)} || translate(lower({base}), '- ', '__')"
 
 
 def with_views(names, body: str, **ctes: str) -> str:
@@ -85,27 +83,27 @@ def with_views(names, body: str, **ctes: str) -> str:
 
 # ---- symbols --------------------------------------------------------------------------
 
-_JS = among("ext", sy.JS_SUFFIXES)
+_JS = among("ext", fixed.JS_SUFFIXES)
 
 
 def _symbol_ctes() -> dict[str, str]:
     """``sym``: per redacted file the lists of classes, functions and imports."""
     scan = f"""
 SELECT repo, path, ext, doc_id, {redact('content')} AS content
-FROM code_files WHERE length({strip('content')}) >= {tx.MIN_CONTENT_CHARS}"""
+FROM code_files WHERE length({strip('content')}) >= {fixed.MIN_CONTENT_CHARS}"""
     pairs = lambda a, b: f"list_zip({find('content', a, b[0])}, {find('content', a, b[1])})"
     alone = lambda p: f"list_transform({find('content', p, 1)}, lambda n: struct_pack(a := n, b := ''))"
     as_struct = lambda x: f"list_transform({x}, lambda z: struct_pack(a := z[1], b := coalesce(z[2], '')))"
     matched = f"""
 SELECT repo, path, ext, doc_id, 1 AS parse_ok,
-  CASE WHEN {_JS} THEN {find('content', sy.JS_IMPORT, 1)} ELSE [] END AS imports,
-  CASE WHEN {_JS} THEN {as_struct(pairs(sy.JS_CLASS, (1, 2)))}
-       WHEN ext = '.go' THEN {alone(sy.GO_STRUCT)}
-       WHEN ext = '.rs' THEN {alone(sy.RUST_TYPE)}
+  CASE WHEN {_JS} THEN {find('content', fixed.JS_IMPORT, 1)} ELSE [] END AS imports,
+  CASE WHEN {_JS} THEN {as_struct(pairs(fixed.JS_CLASS, (1, 2)))}
+       WHEN ext = '.go' THEN {alone(fixed.GO_STRUCT)}
+       WHEN ext = '.rs' THEN {alone(fixed.RUST_TYPE)}
        ELSE [] END AS classes,
-  CASE WHEN {_JS} THEN list_concat({as_struct(pairs(sy.JS_FUNCTION, (1, 2)))}, {as_struct(pairs(sy.JS_ARROW, (1, 2)))})
-       WHEN ext = '.go' THEN {as_struct(pairs(sy.GO_FUNCTION, (1, 2)))}
-       WHEN ext = '.rs' THEN {as_struct(pairs(sy.RUST_FUNCTION, (1, 2)))}
+  CASE WHEN {_JS} THEN list_concat({as_struct(pairs(fixed.JS_FUNCTION, (1, 2)))}, {as_struct(pairs(fixed.JS_ARROW, (1, 2)))})
+       WHEN ext = '.go' THEN {as_struct(pairs(fixed.GO_FUNCTION, (1, 2)))}
+       WHEN ext = '.rs' THEN {as_struct(pairs(fixed.RUST_FUNCTION, (1, 2)))}
        ELSE [] END AS functions
 FROM scan WHERE ext <> '.py'"""
     planted = """
@@ -164,16 +162,16 @@ def _functions_sql(exts, pattern: str) -> str:
 _W = r"[^\p{L}\p{N}_]"
 
 
-def _tag(tags=cm.TAGS) -> str:
+def _tag(tags=fixed.TAGS) -> str:
     return rf"(?i)(?:^|{_W})({'|'.join(tags)})(?:$|{_W})"
 
 
-def _tagged(x: str, tags=cm.TAGS) -> str:
+def _tagged(x: str, tags=fixed.TAGS) -> str:
     return f"regexp_matches({x}, {lit(_tag(tags))})"
 
 
 def _line_records(marker: str) -> str:
-    text = strip(f"regexp_extract(r.v, {re2('(?s)' + marker + tx.WS + '*(.*)')}, 1)")
+    text = strip(f"regexp_extract(r.v, {re2('(?s)' + marker + fixed.WS + '*(.*)')}, 1)")
     return f"""SELECT path, ext, 'line' AS kind, r.n + 1 AS line, r.n + 1 AS ord, {text} AS text
 FROM (SELECT path, ext, unnest({numbered(lines('content'))}) AS r FROM code_files) WHERE contains(r.v, {lit(marker)})"""
 
@@ -195,16 +193,16 @@ def _comment_ctes() -> dict[str, str]:
     quoted = lambda q: find("content", f"(?s){q}(.*?){q}", 1)
     q3, s3 = '"""', "'''"
     docs = f"list_filter(list_transform(list_concat({quoted(q3)}, {quoted(s3)}), lambda d: {strip('d')}), lambda d: d <> '')"
-    hash_, slash, markup = (among("ext", e) for e in (cm.HASH_SUFFIXES, cm.SLASH_SUFFIXES, cm.MARKUP_SUFFIXES))
+    hash_, slash, markup = (among("ext", e) for e in (fixed.HASH_SUFFIXES, fixed.SLASH_SUFFIXES, fixed.MARKUP_SUFFIXES))
     return {
         "hash_rows": f"SELECT * FROM ({_line_records('#')}) WHERE {hash_} AND {_tagged('text')}",
         "doc_rows": f"SELECT * FROM ({_ordered('docstring', docs)}) WHERE {hash_}",
         "slash_rows": f"SELECT * FROM ({_line_records('//')}) WHERE {slash} AND {_tagged('text')}",
         "block_rows": "SELECT * FROM ("
-        + _ordered("block", _block_texts("content", r"(?s)/\*(.*?)\*/", starless, cm.TAGS))
+        + _ordered("block", _block_texts("content", r"(?s)/\*(.*?)\*/", starless, fixed.TAGS))
         + f") WHERE {slash}",
         "html_rows": "SELECT * FROM ("
-        + _ordered("html", _block_texts("content", r"(?s)<!--(.*?)-->", strip, cm.TAGS))
+        + _ordered("html", _block_texts("content", r"(?s)<!--(.*?)-->", strip, fixed.TAGS))
         + f") WHERE {markup}",
         "all_rows": " UNION ALL ".join(
             f"SELECT * FROM {t}" for t in ("hash_rows", "doc_rows", "slash_rows", "block_rows", "html_rows")
@@ -240,12 +238,12 @@ def _commit_text_ctes(source: str, patch: str = _PATCH) -> dict[str, str]:
     header = _HEADER.replace("|| hash ||", "|| h.hash ||")
     return {
         "bodies": f"""
-SELECT hash, ord // {ci.FILES_PER_PART} AS part, string_agg(CASE WHEN is_root THEN CASE WHEN ord = 0 THEN '' ELSE ', ' END || {_PATH}
+SELECT hash, ord // {fixed.FILES_PER_PART} AS part, string_agg(CASE WHEN is_root THEN CASE WHEN ord = 0 THEN '' ELSE ', ' END || {_PATH}
   ELSE {NL} || {NL} || 'Diff for ' || {_PATH} || ':' || {NL} || {patch} END, '' ORDER BY ord) AS body
 FROM commit_files GROUP BY ALL""",
         "texts": f"""
 SELECT repo, h.hash, coalesce(part, 0) AS part,
-  CASE WHEN coalesce(part, 0) = 0 THEN {header} || CASE WHEN is_root THEN {lit(ci.ROOT_LABEL)} ELSE '' END ELSE '' END
+  CASE WHEN coalesce(part, 0) = 0 THEN {header} || CASE WHEN is_root THEN {lit(fixed.ROOT_LABEL)} ELSE '' END ELSE '' END
   || coalesce(body, '') AS text
 FROM {source} h LEFT JOIN bodies b ON h.hash = b.hash""",
     }
@@ -259,7 +257,7 @@ def _pieces(x: str) -> str:
 
 
 def _chunk_cte(source: str, keys: str) -> dict[str, str]:
-    n = mem.DEFAULT_CHUNK_TOKENS
+    n = fixed.DEFAULT_CHUNK_TOKENS
     return {
         "pieced": f"SELECT {keys}, {_pieces('text')} AS p FROM {source}",
         "numbered": f"SELECT {keys}, p, unnest(range(0, CAST(ceil(len(p) / {n}.0) AS BIGINT))) AS chunk_no FROM pieced",
@@ -270,7 +268,7 @@ SELECT {keys}, chunk_no, array_to_string(p[chunk_no * {n} + 1 : chunk_no * {n} +
 
 def _weights(source: str, keys: str) -> dict[str, str]:
     """Sparse vectors of ``source(keys, text)``: ``w(keys, bucket, weight)``."""
-    bucket = f"('0x' || substr(md5(t), 1, 8))::BIGINT % {vx.DEFAULT_DIM}"
+    bucket = f"('0x' || substr(md5(t), 1, 8))::BIGINT % {fixed.DEFAULT_DIM}"
     return {
         f"{source}_t": f"SELECT {keys}, unnest({find('lower(text)', TERM, 0)}) AS t FROM {source}",
         f"{source}_c": f"SELECT {keys}, {bucket} AS bucket, count(*)::DOUBLE AS n FROM {source}_t GROUP BY ALL",
@@ -324,7 +322,7 @@ def _recall_sql(k: int, where: str = "true", partition: str = "") -> str:
 
 def _node_rows() -> str:
     def part(grp: str, source: str, id_: str, label: str, title: str, path: str) -> str:
-        shape, size = gr.NODE_SHAPES[grp]
+        shape, size = fixed.NODE_SHAPES[grp]
         return (
             f"SELECT repo, path AS file, {id_} AS id, {lit(grp)} AS grp, {label} AS label, {title} AS title, "
             f"{path} AS path, {lit(shape)} AS shape, CAST({size} AS BIGINT) AS size FROM {source}"
@@ -355,8 +353,8 @@ SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.path, n.path) AS path,
 FROM snap_old o FULL OUTER JOIN snap_new n ON o.repo = n.repo AND o.path = n.path"""
 
 _DECISION_DOCS = f"""
-SELECT '{mem.DECISION_DATASET}' || CAST(floor(epoch(ts)) AS BIGINT) AS dataset, 'decision:' || id AS doc_id,
-  {lit(mem.DECISION_LEAD)} || text AS text
+SELECT '{fixed.DECISION_DATASET}' || CAST(floor(epoch(ts)) AS BIGINT) AS dataset, 'decision:' || id AS doc_id,
+  {lit(fixed.DECISION_LEAD)} || text AS text
 FROM decisions WHERE text <> ''"""
 
 
@@ -381,16 +379,16 @@ def build() -> dict[str, str]:
         ["code_files"],
         f"""SELECT path, length(content) AS n_chars, sha256(content) AS sha256 FROM (
 SELECT repo || '/' || path AS path, {redact('content')} AS content FROM code_files
-WHERE {among('ext', fi.TEXT_SUFFIXES)} AND length({strip('content')}) >= {tx.MIN_CONTENT_CHARS})""",
+WHERE {among('ext', fixed.TEXT_SUFFIXES)} AND length({strip('content')}) >= {fixed.MIN_CONTENT_CHARS})""",
     )
     sql["filter_ignored_dirs"] = with_views(
         ["paths"],
-        f"SELECT page_id, path FROM paths WHERE NOT list_has_any(string_split(path, '/')[:-2], {strings(fi.IGNORED_DIRS)})",
+        f"SELECT page_id, path FROM paths WHERE NOT list_has_any(string_split(path, '/')[:-2], {strings(fixed.IGNORED_DIRS)})",
     )
     sql["filter_text_files"] = with_views(
         ["paths"],
-        f"SELECT page_id, path FROM paths WHERE {among(suffix('path'), fi.TEXT_SUFFIXES)} "
-        f"OR {among(BASE_NAME, fi.EXPLICIT_FILES)}",
+        f"SELECT page_id, path FROM paths WHERE {among(suffix('path'), fixed.TEXT_SUFFIXES)} "
+        f"OR {among(BASE_NAME, fixed.EXPLICIT_FILES)}",
     )
     sql["filter_gitignore"] = _ignored_names().strip()
     sql["decode_text"] = (
@@ -398,13 +396,13 @@ WHERE {among('ext', fi.TEXT_SUFFIXES)} AND length({strip('content')}) >= {tx.MIN
         " || 'é' || chr(10) || 'end' AS content FROM documents"
     )
     sql["filter_trivial"] = (
-        f"SELECT doc_id, length(text) AS n_chars FROM documents WHERE length({strip('text')}) >= {tx.MIN_CONTENT_CHARS}"
+        f"SELECT doc_id, length(text) AS n_chars FROM documents WHERE length({strip('text')}) >= {fixed.MIN_CONTENT_CHARS}"
     )
     sql["redact_secrets"] = f"SELECT doc_id, {redact('text')} AS text FROM documents"
     counts, current = [], "text"
-    for key, pattern in tx.SECRET_PATTERNS.items():
+    for key, pattern in fixed.SECRET_PATTERNS.items():
         counts.append(f"SELECT {lit(key)} AS pattern, len({find(current, pattern, 0)}) AS n FROM texts")
-        current = f"regexp_replace({current}, {re2(pattern)}, {lit(tx.SECRET_MARK)}, 'g')"
+        current = f"regexp_replace({current}, {re2(pattern)}, {lit(fixed.SECRET_MARK)}, 'g')"
     sql["redact_report"] = with_views(
         ["code_files"],
         "SELECT pattern, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (WHERE n > 0) AS texts "
@@ -463,18 +461,18 @@ UNION ALL SELECT path, 'Child' || doc_id, 'go', 'self', '', 22 {py}""",
     sql["parse_failures"] = with_views(
         ["code_files"], "SELECT repo, path FROM code_files WHERE ext = '.py' AND doc_id % 56 IN (0, 8)"
     )
-    zipped = f"list_zip({find('content', sy.JS_CLASS, 1)}, {find('content', sy.JS_CLASS, 2)})"
+    zipped = f"list_zip({find('content', fixed.JS_CLASS, 1)}, {find('content', fixed.JS_CLASS, 2)})"
     sql["js_classes"] = _regex_rows(
-        sy.JS_SUFFIXES, "r.n AS pos, r.v[1] AS name, nullif(r.v[2], '') AS base", numbered(zipped)
+        fixed.JS_SUFFIXES, "r.n AS pos, r.v[1] AS name, nullif(r.v[2], '') AS base", numbered(zipped)
     )
-    sql["js_functions"] = _functions_sql(sy.JS_SUFFIXES, sy.JS_FUNCTION)
-    sql["js_arrows"] = _functions_sql(sy.JS_SUFFIXES, sy.JS_ARROW)
+    sql["js_functions"] = _functions_sql(fixed.JS_SUFFIXES, fixed.JS_FUNCTION)
+    sql["js_arrows"] = _functions_sql(fixed.JS_SUFFIXES, fixed.JS_ARROW)
     one = lambda exts, pattern, name: _regex_rows(exts, f"r.n AS pos, r.v AS {name}", numbered(find("content", pattern, 1)))
-    sql["js_imports"] = one(sy.JS_SUFFIXES, sy.JS_IMPORT, "module")
-    sql["go_structs"] = one((sy.GO_SUFFIX,), sy.GO_STRUCT, "name")
-    sql["go_functions"] = _functions_sql((sy.GO_SUFFIX,), sy.GO_FUNCTION)
-    sql["rust_types"] = one((sy.RUST_SUFFIX,), sy.RUST_TYPE, "name")
-    sql["rust_functions"] = _functions_sql((sy.RUST_SUFFIX,), sy.RUST_FUNCTION)
+    sql["js_imports"] = one(fixed.JS_SUFFIXES, fixed.JS_IMPORT, "module")
+    sql["go_structs"] = one((fixed.GO_SUFFIX,), fixed.GO_STRUCT, "name")
+    sql["go_functions"] = _functions_sql((fixed.GO_SUFFIX,), fixed.GO_FUNCTION)
+    sql["rust_types"] = one((fixed.RUST_SUFFIX,), fixed.RUST_TYPE, "name")
+    sql["rust_functions"] = _functions_sql((fixed.RUST_SUFFIX,), fixed.RUST_FUNCTION)
     sql["symbol_summary"] = _with_symbols(f"SELECT repo, path, {_summary('imports[1:15]')} AS summary FROM sym")
 
     # comments
@@ -493,7 +491,7 @@ UNION ALL SELECT path, 'Child' || doc_id, 'go', 'self', '', 22 {py}""",
     # commits
     sql["commits_latest"] = with_views(
         ["commits"],
-        f"SELECT repo, hash, rank FROM (SELECT repo, hash, {_LATEST} AS rank FROM commits) WHERE rank <= {ci.DEFAULT_COMMITS}",
+        f"SELECT repo, hash, rank FROM (SELECT repo, hash, {_LATEST} AS rank FROM commits) WHERE rank <= {fixed.DEFAULT_COMMITS}",
     )
     sql["commit_headers"] = with_views(["commits"], f"SELECT repo, hash, {_HEADER} AS header FROM commits")
     sql["commit_diffs"] = with_views(
@@ -504,7 +502,7 @@ UNION ALL SELECT path, 'Child' || doc_id, 'go', 'self', '', 22 {py}""",
     sql["patch_truncate"] = with_views(["commit_files"], f"SELECT hash, ord, {_PATCH} AS patch FROM commit_files")
     sql["commit_root_files"] = with_views(
         ["commit_files"],
-        f"SELECT hash, ord // {ci.FILES_PER_PART} AS part, string_agg({_PATH}, ', ' ORDER BY ord) AS files "
+        f"SELECT hash, ord // {fixed.FILES_PER_PART} AS part, string_agg({_PATH}, ', ' ORDER BY ord) AS files "
         "FROM commit_files WHERE is_root GROUP BY ALL",
     )
     sql["commit_docs"] = with_views(
@@ -530,20 +528,20 @@ UNION ALL SELECT path, 'Child' || doc_id, 'go', 'self', '', 22 {py}""",
 LEFT JOIN (SELECT dataset, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM chunks GROUP BY dataset) USING (dataset)""",
         safe=_safe_docs(), **_chunk_cte("safe", "dataset, doc_id"),
     )
-    sql["recall_topk"] = _recall_sql(mem.DEFAULT_K, f"dataset = {lit(qs.RECALL_DATASET)}")
+    sql["recall_topk"] = _recall_sql(fixed.DEFAULT_K, f"dataset = {lit(qs.RECALL_DATASET)}")
     sql["recall_all_datasets"] = _recall_sql(10)
-    sql["recall_per_dataset"] = _recall_sql(mem.DEFAULT_K, partition="PARTITION BY dataset")
+    sql["recall_per_dataset"] = _recall_sql(fixed.DEFAULT_K, partition="PARTITION BY dataset")
     sql["recall_answer_text"] = with_views(
         ["memory_docs"],
-        f"""SELECT CASE WHEN (SELECT count(*) FROM best) = 0 THEN {lit(mem.NO_RESULTS)}
-  ELSE coalesce(string_agg(text, {NL} || {NL} ORDER BY rank), {lit(mem.NO_TEXTS)}) END AS answer
+        f"""SELECT CASE WHEN (SELECT count(*) FROM best) = 0 THEN {lit(fixed.NO_RESULTS)}
+  ELSE coalesce(string_agg(text, {NL} || {NL} ORDER BY rank), {lit(fixed.NO_TEXTS)}) END AS answer
 FROM (SELECT rank, text, row_number() OVER (PARTITION BY {norm('text')} ORDER BY rank) AS n FROM best
-      WHERE {norm('text')} NOT IN ('', {lit(mem.EMPTY_REPLY)})) WHERE n = 1""",
+      WHERE {norm('text')} NOT IN ('', {lit(fixed.EMPTY_REPLY)})) WHERE n = 1""",
         **_recall_ctes(_FIRST_ITEM), best=_top(10),
     )
     sql["recall_batch"] = with_views(
         ["memory_docs"],
-        f"SELECT query_id, rank, dataset, doc_id, chunk_no, score FROM ({_top(mem.DEFAULT_K, partition='PARTITION BY query_id')})",
+        f"SELECT query_id, rank, dataset, doc_id, chunk_no, score FROM ({_top(fixed.DEFAULT_K, partition='PARTITION BY query_id')})",
         **_recall_ctes("SELECT item_id AS query_id, text FROM benchmark"),
     )
     sql["recall_vectors"] = """
@@ -558,7 +556,7 @@ SELECT query_id, vec_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5""".strip()
     sql["dedup_normalized"] = f"""
 SELECT doc_id, text FROM (SELECT doc_id, text, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS n
-  FROM (SELECT doc_id, text, {norm('text')} AS k FROM documents)) WHERE n = 1 AND k NOT IN ('', {lit(mem.EMPTY_REPLY)})""".strip()
+  FROM (SELECT doc_id, text, {norm('text')} AS k FROM documents)) WHERE n = 1 AND k NOT IN ('', {lit(fixed.EMPTY_REPLY)})""".strip()
     sql["list_datasets"] = with_views(
         ["memory_docs", "decisions"],
         "SELECT dataset FROM memory_docs UNION SELECT dataset FROM logged",
@@ -611,7 +609,7 @@ UNION ALL SELECT 'adr_decision', 'decision', ts FROM decisions WHERE text <> '')
     )
     sql["digest_rows"] = _with_symbols(
         f"SELECT repo, path, '### 📄 `' || path || '`' || {NL} || CASE WHEN len({items}) > 0 "
-        f"THEN array_to_string({items}, {NL}) ELSE {lit(gr.NO_SYMBOLS)} END AS section FROM sym"
+        f"THEN array_to_string({items}, {NL}) ELSE {lit(fixed.NO_SYMBOLS)} END AS section FROM sym"
     )
     quote = lambda x: f"'\"' || {x} || '\"'"
     sql["graph_json"] = _with_graph(
