@@ -145,6 +145,7 @@ def comment_logs(
     """One text per file with records: a path line, then the records."""
     found = files.select(*keys, comment_records(F.col(path), F.col(content), tags).alias("records"))
     body = F.array_join(F.transform("records", record_text), "\n")
+    # Fixed value: the path line.
     text = F.concat(F.lit("File Path: "), F.col(path), F.lit("\n"), body)
     logs = found.select(*keys, F.when(F.size("records") > 0, F.array(text)).alias("logs"))
     return rows_of(logs, "logs", "text")

@@ -49,6 +49,7 @@ def changed_path(a_path: Column, b_path: Column) -> Column:
 
 
 def header_text() -> Column:
+    # The labels of a commit's header.
     when = F.date_format("authored_ts", "yyyy-MM-dd'T'HH:mm:ss")
     return F.concat(
         F.lit("Commit Hash: "), F.col("hash"),

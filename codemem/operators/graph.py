@@ -131,6 +131,7 @@ def write_digest(symbols: DataFrame, title: str, out: str) -> None:
     five counters pass through the driver.
     """
     stats = graph_stats(symbols).first()
+    # The headings of the digest.
     head = [f"# Codebase Architecture Digest: {title}", "", "## High-Level Architecture Metrics"]
     head += [f"{label}{stats[key]}" for key, label in STAT_LABELS.items()]
     head += ["", "## Codebase Symbol Map", ""]

@@ -256,6 +256,8 @@ def import_rows(symbols: DataFrame, keys: Sequence[str] = ("path",)) -> DataFram
 
 # ---- summary text ---------------------------------------------------------------------
 
+# The labels and bullets of the outline in the three functions below.
+
 
 def _signature(lead: str, f: Column) -> Column:
     tail = F.when(f["docstring"] != "", F.concat(F.lit(" - "), tx.strip_ws(f["docstring"]))).otherwise("")
