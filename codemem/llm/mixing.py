@@ -93,7 +93,9 @@ def draw_slots(sources: DataFrame, block_words: int, seed: int, shard_slots: int
     rows = rows.withColumn("shards", shards).where("slots > 0")
     # A source of any size: first its runs of slots, spread over all tasks, then the slots of a run.
     runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOT_RUN))))
-    runs = runs.repartition(F.col("src"), F.col("run"))
+    # A set number of tasks, since a run is a small row that becomes many.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.repartition(tasks, F.col("src"), F.col("run"))
     first = F.col("run") * SLOT_RUN
     slots = runs.withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOT_RUN, F.col("slots")) - 1)))
     one = F.floor(F.col("slot") / F.col("n")).cast("long")
@@ -123,14 +125,15 @@ def sized(docs: DataFrame) -> DataFrame:
 def plan_mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17, **weights) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Placed documents, sources with targets, and the taken pieces: block pieces joined to slots by index.
 
-    The texts are read once; what follows starts from the written, narrow table of places.
+    The texts are read once; what follows starts from the written, narrow table of places.  Slots are
+    as many as blocks, so that join is never left to a broadcast.
     """
     placed = cut(place_documents(sized(docs)))
     sizes = placed.groupBy("src", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes.drop("src"), **weights)
     targets = targets.withColumn("src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
     slots = draw_slots(targets, block_words, seed)
-    return placed, targets, block_pieces(placed, block_words).join(slots, ["src", "block"])
+    return placed, targets, block_pieces(placed, block_words).join(slots.hint("merge"), ["src", "block"])
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
@@ -154,7 +157,7 @@ def _with_texts(docs: DataFrame, placed: DataFrame, parts: DataFrame) -> DataFra
     known = parts.join(placed.select("src", "grp", "nth", "doc_id", "tie", "copy"), ["src", "grp", "nth"])
     same = ["src", "_id", "tie", "copy"]
     known = known.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).drop("doc_id", "grp", "nth")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("src"),
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("src"),
                        F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).alias("_id"),
                        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("tie"))
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("src", "_id", "tie").orderBy(F.lit(1))))
