@@ -113,6 +113,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 GROUP = ("level", "l", "s")
 PARAMETERS = "level int, l string, s string, n long, centre array<double>, inverse array<double>"
+_SCHEMA = pa.schema([("level", pa.int32()), ("l", pa.string()), ("s", pa.string()), ("n", pa.int64()), ("centre", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64()))])
 _PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i, len(NAMES))]
 
 
@@ -128,10 +129,9 @@ def _levels(stats: DataFrame) -> DataFrame:
 
 
 def _parameters(key, n: int, centre: np.ndarray, covariance: np.ndarray):
-    import pandas as pd
-
     inverse = np.linalg.inv(covariance + np.eye(len(centre)) * LEAST_SPREAD**2)
-    return pd.DataFrame([(*key, n, centre.tolist(), inverse.ravel().tolist())], columns=["level", "l", "s", "n", "centre", "inverse"])
+    values = [*(k.as_py() for k in key), n, centre.tolist(), inverse.ravel().tolist()]
+    return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(values, _SCHEMA)], schema=_SCHEMA)
 
 
 def _middle(values: np.ndarray, counts: np.ndarray) -> float:
@@ -147,14 +147,14 @@ def start(levels: DataFrame) -> DataFrame:
 
     def medians(key, rows):
         centre, spread = [], []
+        dims, v, counts = (rows.column(c).to_numpy() for c in ("dim", "v", "n"))
         for dim in range(len(NAMES)):
-            own = rows[rows["dim"] == dim]
-            values, n = (own["v"].to_numpy() + 0.5) * fine / UNIT, own["n"].to_numpy()
+            values, n = (v[dims == dim] + 0.5) * fine / UNIT, counts[dims == dim]
             centre.append(_middle(values, n))
             spread.append((1.4826 * _middle(abs(values - centre[-1]), n)) ** 2)
-        return _parameters(key, int(rows["n"][rows["dim"] == 0].sum()), np.array(centre), np.diag(spread))
+        return _parameters(key, int(counts[dims == 0].sum()), np.array(centre), np.diag(spread))
 
-    return counts.groupBy(*GROUP).applyInPandas(medians, PARAMETERS)
+    return counts.groupBy(*GROUP).applyInArrow(medians, PARAMETERS)
 
 
 def squared_distance() -> Column:
@@ -177,17 +177,18 @@ def concentrate(levels: DataFrame, parameters: DataFrame) -> DataFrame:
     sums = rows.groupBy(*GROUP, bins.alias("bin")).agg(F.count("*").alias("n"), *sums)
 
     def estimate(key, rows):
-        rows = rows.sort_values("bin", kind="stable")
-        upto = rows["n"].cumsum().to_numpy()
-        inner = rows.iloc[: int(np.searchsorted(upto, -(-upto[-1] // 2))) + 1]
-        n = int(inner["n"].sum())
-        centre = np.array([int(inner[f"x{i}"].sum()) for i in range(len(NAMES))]) / n / UNIT
+        rows = rows.sort_by("bin")
+        upto = np.cumsum(rows.column("n").to_numpy())
+        inner = rows.slice(0, int(np.searchsorted(upto, -(-upto[-1] // 2))) + 1)
+        total = lambda name: int(inner.column(name).to_numpy().sum())
+        n = total("n")
+        centre = np.array([total(f"x{i}") for i in range(len(NAMES))]) / n / UNIT
         covariance = np.zeros((len(NAMES), len(NAMES)))
         for i, j in _PAIRS:
-            covariance[i, j] = covariance[j, i] = int(inner[f"x{i}_{j}"].sum()) / n / UNIT**2 - centre[i] * centre[j]
+            covariance[i, j] = covariance[j, i] = total(f"x{i}_{j}") / n / UNIT**2 - centre[i] * centre[j]
         return _parameters(key, int(upto[-1]), centre, covariance / INNER_HALF)
 
-    return sums.groupBy(*GROUP).applyInPandas(estimate, PARAMETERS)
+    return sums.groupBy(*GROUP).applyInArrow(estimate, PARAMETERS)
 
 
 def fit(stats: DataFrame, steps: int = STEPS) -> DataFrame:
