@@ -26,15 +26,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codemem.llm.common import Words, arrow_type, ascii_lower, cut, rounds, stored
 
 ORDER = 5
-NODES = 1 << 21
-COMMON = 1 << 20
+NODES = 1 << 20
+COMMON = 1 << 19
 # Bytes that no UTF-8 text holds: what stands before a text, and its end.
 BEFORE, END = 0xFF, 0xFE
 SYMBOLS = 257
 # The key of the end token among word hashes.
 END_WORD = np.uint64(0x9D3F)
-# Distinct keys that a task gathers before it passes them on.
-GATHER = 1 << 20
+# Distinct keys that a task gathers before it passes them on; Spark adds them up further.
+GATHER = 1 << 18
 WORD, GRAM = 0, 1
 
 
