@@ -154,6 +154,44 @@ def test_chains_against_all_pairs():
         assert all(a[i] < a[j] and b[i] < b[j] for i, j in zip(chain, chain[1:]))
 
 
+def test_every_passage_of_a_pair(spark):
+    """Pairs that share several passages, with other words of any length between, against all runs of 50 words."""
+    pairs = [
+        (prose(20, 60), prose(21, 60), 100, 100),  # two passages, as many other words between in both
+        (prose(22, 60), prose(23, 70), 30, 200),
+        (prose(24, 55), prose(25, 50), 150, 150),  # header and footer around another body
+        (prose(26, 60), prose(27, 60), 5, 5),
+    ]
+    text = {}
+    for i, (head, tail, m, n) in enumerate(pairs):
+        text[2 * i] = f"{head} {prose(40 + i, m)} {tail}".split()
+        text[2 * i + 1] = f"{prose(60 + i, 9)} {head} {prose(80 + i, n)} {tail} {prose(90 + i, 9)}".split()
+    rows = [(d, " ".join(w), "en", "a", 1, *"dtnnsl") for d, w in text.items()]
+    covered = defaultdict(set)
+    for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert min(r.end_word - r.first_word, r.other_end - r.other_first) >= 50
+        covered[r.doc_id] |= set(range(r.first_word, r.end_word))
+        covered[r.other_id] |= set(range(r.other_first, r.other_end))
+    for i in range(len(pairs)):
+        for d, other in ((2 * i, 2 * i + 1), (2 * i + 1, 2 * i)):
+            runs = {tuple(text[other][j : j + 50]) for j in range(len(text[other]) - 49)}
+            want = {k for j in range(len(text[d]) - 49) if tuple(text[d][j : j + 50]) in runs for k in range(j, j + 50)}
+            assert want and want <= covered[d]
+
+
+def test_similar_parts_against_all_parts():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n = int(rng.integers(1, 120))
+        step = lambda: np.where(rng.random(n) < 0.8, 1, rng.integers(1, 12, n)).cumsum()
+        x, y = step(), step()
+        good = [(j - i + 1, i, j) for i in range(n) for j in range(i, n) if min(x[j] - x[i], y[j] - y[i]) >= 19 and j - i + 1 >= 0.8 * (max(x[j] - x[i], y[j] - y[i]) + 1)]
+        got = passages.similar_parts(x, y, 20, 0.8)
+        assert max((m for *_, m in got), default=0) == max((m for m, *_ in good), default=0)
+        inside = [(x0, x1) for x0, x1, *_ in got]
+        assert all(any(x[i] < x1 and x0 <= x[j] for x0, x1 in inside) for _, i, j in good)
+
+
 # --- 4
 
 def targets_by_rounds(sizes):
