@@ -8,10 +8,11 @@ trained beforehand, on the training documents, so the probability of a byte in i
 same everywhere: it is computed once for each kind of context and byte, and a text's score is a sum
 of looked-up values.
 
-Counts cover all training texts.  The trie that travels to the tasks is bounded: of each order the
-``NODES`` most frequent contexts with a byte, cut at a count so that ties stay together.  Words
-work in the same way: the ``COMMON`` most frequent ones travel, all others are joined, so that the
-unigram score is exact.
+Counts cover all training texts, and every context counts.  The probabilities of at most ``NODES``
+frequent contexts with a byte travel to the tasks as a cache; all others that the texts hold are
+computed once each, by joins with the written counts of one order after the other, and joined to the
+texts.  Words work in the same way: the ``COMMON`` most frequent ones travel, all others are joined.
+Both scores are exact.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,6 +30,8 @@ from codemem.llm.common import Words, arrow_type, ascii_lower, cut, rounds, stor
 ORDER = 5
 NODES = 1 << 20
 COMMON = 1 << 19
+# Contexts of so few bytes travel whole.
+LOW = 1
 # Bytes that no UTF-8 text holds: what stands before a text, and its end.
 BEFORE, END = 0xFF, 0xFE
 SYMBOLS = 257
@@ -113,25 +117,16 @@ def count(training: DataFrame, order: int) -> DataFrame:
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, most: int, by: list[str] = []) -> DataFrame:
-    """Rows whose count ``n`` is at least the smallest one that at most ``most`` rows reach (for each value of ``by``)."""
-    sizes = counts.groupBy(*by, "n").agg(F.count("*").alias("m")).collect()  # as many as there are different counts
-    least = {}
-    for group in {tuple(r[b] for b in by) for r in sizes}:
-        total, least[group] = 0, float("inf")
-        for r in sorted((r for r in sizes if tuple(r[b] for b in by) == group), key=lambda r: -r["n"]):
-            total += r["m"]
-            if total > most:
-                break
-            least[group] = r["n"]
-    keep = F.lit(False)
-    for group, n in least.items():
-        if n != float("inf"):
-            same = F.lit(True)
-            for b, v in zip(by, group):
-                same &= F.col(b) == v
-            keep |= same & (F.col("n") >= n)
-    return counts.where(keep)
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows whose count ``n`` is at least the smallest one that at most ``most`` rows reach."""
+    sizes = counts.groupBy("n").agg(F.count("*").alias("m")).collect()  # as many as there are different counts
+    total, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["n"]):
+        total += r["m"]
+        if total > most:
+            break
+        least = r["n"]
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
 
 
 class Lookup:
@@ -171,21 +166,27 @@ class Trie:
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.levels = levels  # by order from 0
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of distinct keys, each a byte in its full context."""
+    def log10(self, keys: np.ndarray, excluded: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of distinct keys, each a byte in its full context.
+
+        ``excluded`` marks, for each key, the symbols that contexts longer than these levels' offered.
+        """
         out = np.zeros(len(keys))
         context = keys >> np.uint64(8)
         order = np.argsort(context, kind="stable")
         for first in range(0, len(keys), 4096):
             at = order[first : first + 4096]
-            contexts, row = np.unique(context[at], return_inverse=True)
-            out[at] = self._some(contexts, row, (keys[at] & np.uint64(0xFF)).astype(np.int64))
+            if excluded is None:
+                contexts, row = np.unique(context[at], return_inverse=True)
+                gone = np.zeros((len(contexts), 256), bool)
+            else:
+                contexts, row, gone = context[at], np.arange(len(at)), excluded[at]
+            out[at] = self._some(contexts, row, (keys[at] & np.uint64(0xFF)).astype(np.int64), gone)
         return out
 
-    def _some(self, contexts: np.ndarray, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    def _some(self, contexts: np.ndarray, row: np.ndarray, symbol: np.ndarray, excluded: np.ndarray) -> np.ndarray:
         out = np.zeros(len(row))
         open_ = np.ones(len(row), bool)
-        excluded = np.zeros((len(contexts), 256), bool)
         for k in range(len(self.levels) - 1, -1, -1):
             keys, counts = self.levels[k]
             base = (contexts & np.uint64((1 << (8 * k)) - 1)) << np.uint64(8)
@@ -236,24 +237,79 @@ class Model:
         full = counts.where(F.col("kind") == GRAM)
         masks = F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")) for k in range(order + 1)])
         levels = stored(full.select(F.explode(masks).alias("x"), "n").groupBy("x.order", "x.key").agg(F.sum("n").alias("n")), "ppm-levels")
-        kept = most_frequent(levels, nodes, ["order"])
-        trie = [_collect(kept.where(F.col("order") == k), "key", "n") for k in range(order + 1)]
-        trie = spark.sparkContext.broadcast([(k.view(np.uint64), n) for k, n in trie])
-        self.trie = trie
+        self.levels = levels
+        # Contexts of at most one byte: no more than 2^16 keys in any language.
+        trie = [_collect(levels.where(F.col("order") == k), "key", "n") for k in range(min(order, LOW) + 1)]
+        self.trie = spark.sparkContext.broadcast([(k.view(np.uint64), n) for k, n in trie])
+        # A key of the training texts is predicted in its full context, where nothing is excluded.
+        top = levels.where(F.col("order") == order).withColumn("context", F.shiftrightunsigned("key", 8))
+        totals = top.groupBy("context").agg((F.sum("n") + F.count("*")).alias("total"))
+        known = most_frequent(top, nodes).join(totals, "context").select("key", (F.log10("n") - F.log10("total")).alias("p"))
+        self.known = spark.sparkContext.broadcast(tuple(_collect(known, "key", "p")))
 
-        pair = arrow_type("key long, p double")
 
-        def values(batches):
-            found = Trie(trie.value)
-            for batch in batches:
-                keys = batch.column(0).to_numpy().view(np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.log10(keys))], schema=pair)
+def probabilities(keys: DataFrame, model: Model) -> DataFrame:
+    """``key, p``: log probability of each of the distinct keys, by all counts of the model.
 
-        known = kept.where(F.col("order") == order).select("key").repartition(F.col("key")).mapInArrow(values, "key long, p double")
-        self.known = spark.sparkContext.broadcast(tuple(_collect(known, "key", "p")))
+    Keys meet the counts of their context in one order after the other, as long as they escape.
+    """
+    ddl, trie = "key long, p double, excluded binary", model.trie
+    schema = arrow_type(ddl)
 
+    def marks(column):
+        return np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32), axis=1).astype(bool)
 
-SCORED = "part int, nth long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:bigint,n:bigint>>"
+    def step(batches):
+        for batch in batches:
+            rows, p, excluded = batch.num_rows, batch.column(1).to_numpy().copy(), marks(batch.column(2))
+            owner = pc.list_parent_indices(batch.column(3)).to_numpy()
+            byte, n = (batch.column(i).flatten().to_numpy() for i in (3, 4))
+            offered = ~excluded[owner, byte]
+            total, kinds = np.bincount(owner[offered], n[offered], rows), np.bincount(owner[offered], minlength=rows)
+            symbol = batch.column(0).to_numpy() & 0xFF
+            mine = byte == symbol[owner]
+            hit = np.zeros(rows)
+            hit[owner[mine]] = n[mine]
+            found, escaped = hit > 0, (hit == 0) & (kinds > 0)
+            p[found] += np.log10(hit[found] / (total + kinds)[found])
+            p[escaped] += np.log10(kinds[escaped] / (total + kinds)[escaped])
+            excluded[owner, byte] = True
+            left = [None if f else x.tobytes() for f, x in zip(found.tolist(), np.packbits(excluded, axis=1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(left, pa.binary())], schema=schema)
+
+    def last(batches):
+        low = Trie(trie.value)
+        for batch in batches:
+            p = batch.column(1).to_numpy() + low.log10(batch.column(0).to_numpy().view(np.uint64), marks(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["key", "p"])
+
+    left, done = keys.select("key", F.lit(0.0).alias("p"), F.lit(bytes(32)).alias("excluded")), []
+    for k in range(model.order, LOW, -1):
+        left = left.withColumn("context", F.shiftrightunsigned(F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)), 8))
+        nodes = model.levels.where(F.col("order") == k).select(F.shiftrightunsigned("key", 8).alias("context"), F.struct(F.col("key").bitwiseAND(F.lit(0xFF)).alias("byte"), "n").alias("next"))
+        nodes = nodes.join(left.select("context").distinct(), "context", "left_semi").groupBy("context").agg(F.collect_list("next").alias("next"))
+        met = left.join(nodes, "context", "left").select("key", "p", "excluded", F.col("next.byte").alias("byte"), F.col("next.n").alias("n"))
+        met = stored(met.mapInArrow(step, ddl), "ppm-escapes")
+        done.append(met.where("excluded is null").select("key", "p"))
+        left = met.where("excluded is not null")
+    out = left.mapInArrow(last, "key long, p double")
+    for part in done:
+        out = out.union(part)
+    return out
+
+
+SCORED = "part int, nth long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:bigint,n:bigint>>, grams array<struct<key:bigint,n:bigint>>"
+
+
+def _by_text(key: np.ndarray, row: np.ndarray, rows: int, kind: pa.DataType) -> pa.ListArray:
+    """The distinct keys of every text, each with the times it stands there."""
+    by = np.lexsort((key, row))
+    key, row = key[by], row[by]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])[: len(key)])
+    times = np.diff(np.concatenate([new, [len(key)]]))
+    key, row = key[new], row[new]
+    pairs = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(times.astype(np.int64))], fields=list(kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), pairs)
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
@@ -263,17 +319,17 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     byte has the same probability.  No rows give no rows; further columns are not read.
     """
     schema = arrow_type(SCORED)
-    order, common, known, trie = model.order, model.common, model.known, model.trie
+    order, common, known = model.order, model.common, model.known
     low = np.log10(model.tokens + 0.5 * (model.kinds + 1))
     identity = known.id if hasattr(known, "id") else id(known)
 
     def load():
         words, n = common.value
         keys, p = known.value
-        return Lookup(words.view(np.uint64), n), Lookup(keys.view(np.uint64), p), Trie(trie.value)
+        return Lookup(words.view(np.uint64), n), Lookup(keys.view(np.uint64), p)
 
     def run(batches):
-        words, bytes_, contexts = _lookups(identity, load)
+        words, bytes_ = _lookups(identity, load)
         part_id, nth = TaskContext.get().partitionId(), 0
         for part, data, offsets in rounds(batches):
             rows = part.num_rows
@@ -286,41 +342,37 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
             # Words outside the common ones, once for each text, to be joined with all counts.
             lost = np.flatnonzero(at[:-1] < 0)
             lost_end = at[-1] < 0
-            if len(lost) or lost_end:
-                key, row = keys[lost], found.row[lost]
-                if lost_end:
-                    key, row = np.concatenate([key, np.full(rows, END_WORD)]), np.concatenate([row, np.arange(rows)])
-                by = np.lexsort((key, row))
-                key, row = key[by], row[by]
-                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
-                key, row, times = key[new], row[new], np.diff(np.concatenate([new, [len(key)]]))
-            else:
-                key, row, times = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)),
-                                            pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(times.astype(np.int64))], fields=list(schema.field("rare").type.value_type)))
+            key, row = keys[lost], found.row[lost]
+            if lost_end:
+                key, row = np.concatenate([key, np.full(rows, END_WORD)]), np.concatenate([row, np.arange(rows)])
+            rare = _by_text(key, row, rows, schema.field("rare").type)
             one = 0 if lost_end else 1
             seen, bounds = grams(data, offsets, order)
             spot = bytes_.find(seen)
             value = np.where(spot >= 0, bytes_.values[0][spot] if len(bytes_.keys) else 0.0, 0.0)
-            new = np.flatnonzero(spot < 0)
-            if len(new):
-                kinds, back = np.unique(seen[new], return_inverse=True)
-                value[new] = contexts.log10(kinds)[back]
+            # Bytes in contexts outside the cache, in the same way.
+            lost = np.flatnonzero(spot < 0)
+            unknown = _by_text(seen[lost], np.searchsorted(bounds, lost, side="right") - 1, rows, schema.field("grams").type)
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(rows, part_id, np.int32)), pa.array(nth + np.arange(rows, dtype=np.int64)), part.column(0), part.column(2),
                 pa.array(found.count + 1), pa.array(of_row((at >= 0).astype(np.int64)) + one), pa.array(of_row(p) + one * p[-1]),
-                pa.array(np.add.reduceat(value, bounds[:-1])), rare], schema=schema)
+                pa.array(np.add.reduceat(value, bounds[:-1])), rare, unknown], schema=schema)
             nth += rows
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     rows = cut(rows.mapInArrow(run, SCORED))
     rare = rows.select("part", "nth", F.explode("rare").alias("x")).select("part", "nth", "x.key", F.col("x.n").alias("times"))
     rare = rare.join(model.words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare = rare.groupBy("part", "nth").agg(F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.lit(float(low)))).alias("more"),
-                                           F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    rows = rows.drop("rare").join(rare, ["part", "nth"], "left")
-    return rows.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-                       F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    rare = rare.select("part", "nth", (F.col("times") * (F.log10(F.col("n") + 0.5) - F.lit(float(low)))).alias("more"),
+                       F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("more_known"), F.lit(0.0).alias("more_score"))
+    unknown = rows.select("part", "nth", F.explode("grams").alias("x")).select("part", "nth", "x.key", F.col("x.n").alias("times"))
+    unknown = unknown.join(probabilities(unknown.select("key").distinct(), model), "key")
+    unknown = unknown.select("part", "nth", F.lit(0.0).alias("more"), F.lit(0).alias("more_known"), (F.col("times") * F.col("p")).alias("more_score"))
+    added = rare.union(unknown).groupBy("part", "nth").agg(*[F.sum(c).alias(c) for c in ("more", "more_known", "more_score")])
+    rows = rows.drop("rare", "grams").join(added, ["part", "nth"], "left")
+    plus = lambda name, more: F.col(name) + F.coalesce(F.col(more), F.lit(0))
+    return rows.select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"),
+                       F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base", "more").alias("base_score"), plus("score", "more_score").alias("score"))
 
 
 def train_and_score(docs: DataFrame, **how) -> DataFrame:

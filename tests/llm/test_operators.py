@@ -495,6 +495,16 @@ def test_language_model(spark, rows, none, common):
     assert ppm.train_and_score(none).count() == 0
 
 
+@pytest.mark.parametrize("nodes", [0, 5, 200])
+def test_every_context_counts(spark, rows, nodes):
+    """The score does not depend on how many contexts travel with the tasks."""
+    small = [r for r in rows if len(r[1] or "") < 3000]
+    held = lambda r: zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 5 == 1
+    model = plain_ppm([(r[1] or "").translate(LOWER) for r in small if not held(r)], 3)
+    got = ppm.train_and_score(spark.createDataFrame(small, SCHEMA).repartition(3), order=3, nodes=nodes).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == Counter((r[0], round(model((r[1] or "").translate(LOWER)), 6)) for r in small)
+
+
 def test_probabilities_sum_to_one():
     keys, n = np.unique(ppm.grams(np.frombuffer(b"abracadabra", np.uint8), np.array([0, 11]), 2)[0], return_counts=True)
     levels = []
