@@ -179,6 +179,18 @@ def test_every_passage_of_a_pair(spark):
             assert want and want <= covered[d]
 
 
+def test_passage_whose_pieces_stand_elsewhere(spark):
+    """Two documents share a passage; its pieces, each too short, stand in documents before and after both."""
+    w = prose(30, 60).split()
+    pieces = [" ".join(w[i : i + 30]) for i in range(0, 60, 15)]
+    texts = {5: f"{prose(31, 20)} {' '.join(w)} {prose(32, 20)}", 6: f"{prose(33, 30)} {' '.join(w)} {prose(34, 9)}"}
+    for d in (1, 999):
+        texts[d] = " ".join(f"{p} {prose(200 + 10 * d + i, 150)}" for i, p in enumerate(reversed(pieces)))
+    rows = [(d, t, "en", "a", 1, *"dtnnsl") for d, t in texts.items()]
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert any(r.doc_id == 6 and r.other_id == 5 and r.first_word <= 30 and r.end_word >= 90 and r.other_first <= 20 and r.other_end >= 80 for r in got)
+
+
 def test_similar_parts_against_all_parts():
     rng = np.random.default_rng(6)
     for _ in range(60):
