@@ -191,6 +191,22 @@ def test_passage_whose_pieces_stand_elsewhere(spark):
     assert any(r.doc_id == 6 and r.other_id == 5 and r.first_word <= 30 and r.end_word >= 90 and r.other_first <= 20 and r.other_end >= 80 for r in got)
 
 
+@pytest.mark.parametrize("share, least", [(0.8, 0.9), (0.85, 0.95), (0.9, 0.95)])
+def test_recall_of_fuzzy_passages(spark, share, least):
+    """Passages in which words are replaced at random, or one in so many: how many are found for the most part."""
+    rng, rows, planted = np.random.default_rng(8), [], 40
+    for i in range(planted):
+        n = 60 + 60 * (i % 2)
+        head, w = prose(300 + i, 30).split(), prose(400 + i, n).split()
+        other = list(w)
+        changed = rng.choice(np.arange(1, n - 1), n - int(np.ceil(share * n)), replace=False) if i % 4 < 2 else np.arange(1, n, round(1 / (1 - share)))[: n - int(np.ceil(share * n))]
+        for j in changed:
+            other[j] = f"x{i}y{j}"
+        rows += [(2 * i, " ".join(head + w), "en", "a", 1, *"dtnnsl"), (2 * i + 1, " ".join(other) + " " + prose(500 + i, 30), "en", "a", 1, *"dtnnsl")]
+    found = {r.other_id // 2 for r in passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect() if r.doc_id == r.other_id + 1 and r.end_word - r.first_word >= 50}
+    assert len(found) >= least * planted, len(found)
+
+
 def test_similar_parts_against_all_parts():
     rng = np.random.default_rng(6)
     for _ in range(60):
