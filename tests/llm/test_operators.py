@@ -120,6 +120,30 @@ def test_network_finds_what_the_patterns_miss():
     assert says[y == 1].mean() >= 0.85 and says[y == 0].mean() <= 0.1
 
 
+def test_threshold_keeps_the_recall_below_a_half():
+    """Few secrets among many other findings that look alike: their probabilities are low, the recall holds."""
+    rng = np.random.default_rng(2)
+    codes, labels = rng.integers(33, 127, (1000, secrets.WINDOW)), np.arange(1000) % 20 == 0
+    net = secrets.Network()
+    net.calibrate(codes, labels.astype(int))
+    says = net.probability(codes) >= net.threshold
+    assert net.threshold < 0.5 and says[labels].mean() >= secrets.RECALL
+    assert net.recall == says[labels].mean() and net.precision == labels[says].mean()
+
+
+@pytest.mark.parametrize("text, value", [
+    ("pwd: Tr0ub4dor&3! and", "Tr0ub4dor&3!"), ("auth_key = onlyletterskey", "onlyletterskey"),
+    ("see sk_live_0123456789abcdef01234567XYZ9KLMN here", "sk_live_0123456789abcdef01234567XYZ9KLMN"),
+])
+def test_candidates_that_no_base_span_holds(text, value):
+    assert value in [text[s:e] for s, e in secrets.other_candidates(text, secrets.base_findings(text))]
+
+
+def test_window_shows_what_follows():
+    text = "x" * 10 + " " + "a1" * 40 + "END) right"
+    assert "END) right" in secrets.window(text, 11, 94)
+
+
 # --- 3
 
 def test_passages(docs, rows, none):
