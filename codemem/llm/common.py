@@ -118,10 +118,13 @@ def _byte_codes(lower: bool) -> np.ndarray:
 
 
 class Words:
-    """The words of several texts: 64-bit hash, row, and byte range of each, in order."""
+    """The words of several texts: 64-bit hash, row, and byte range of each, in order.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        word = ~_space()[data]
+    ``inner`` is a table of the bytes that words consist of; by default all but white space.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, inner: np.ndarray | None = None):
+        word = ~_space()[data] if inner is None else inner[data]
         before = np.empty_like(word)
         before[:1] = False
         before[1:] = word[:-1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.llm import bpe, licenses, mixing, neardup, outliers, passages, ppm, secrets, shards, topk
+from codemem.llm import bpe, lexical, licenses, mixing, neardup, outliers, passages, ppm, secrets, shards, topk
 from codemem.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -52,7 +52,17 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.train_and_score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kd_search, op2_secret_scan, op3_chained_passages, op4_source_mix, op5_training_order, op6_forced_bpe, op7_robust_outliers, op8_licence_scan, op9_near_duplicates, op10_partial_matching)}
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_kd_search, op2_secret_scan, op3_chained_passages, op4_source_mix, op5_training_order, op6_forced_bpe, op7_robust_outliers,
+        op8_licence_scan, op9_near_duplicates, op10_partial_matching, op13_treap_search,
+    )
+}
 # Trained models, pseudorandom mixes, files, encodings and alignments cannot be said in SQL; tests/llm holds those
 # queries against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -97,4 +107,33 @@ WITH RECURSIVE listed AS (
 )
 SELECT d.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN roots USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+    "op13_treap_search": r"""
+WITH listed AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), texts AS (
+  SELECT row_id, doc_id, CAST(len(terms) AS BIGINT) AS n, terms FROM listed WHERE len(terms) > 0
+), total AS (
+  SELECT CAST(count(*) AS BIGINT) AS n_texts, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_terms FROM texts
+), asked AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark
+), found AS (
+  SELECT row_id, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT row_id, doc_id, n, unnest(terms) AS term FROM texts) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_texts + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM found, total GROUP BY term, n_texts
+), scores AS (
+  SELECT item_id, row_id, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * n_texts) // n_terms))))) AS BIGINT) AS score
+  FROM asked JOIN found USING (term) JOIN weights USING (term), total GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10""",
 }
