@@ -73,7 +73,7 @@ class Treap:
         order = np.argsort(code)
         code, top = code[order], values[order].astype(np.int64)
         levels = [(np.zeros(len(code), np.uint8), np.zeros(len(code), np.int64), top)]
-        for _ in range(self.depth):
+        for _ in range(self.depth if len(code) else 0):
             parent = code >> np.uint64(2)
             first = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
             masks = np.bitwise_or.reduceat(np.left_shift(1, (code & np.uint64(3)).astype(np.int64)).astype(np.uint8), first)
@@ -104,6 +104,8 @@ class Treap:
     def search(self, rows: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids of the ``k`` best documents above 0, ties to smaller ids."""
         scores, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        inside = rows < 1 << self.depth  # the others hold nothing here
+        rows, weights = rows[inside], weights[inside]
         if not len(rows) or not self.nodes:
             return scores, found
         batch = max(8, OPEN // len(rows))
