@@ -263,8 +263,8 @@ def _block(written: DataFrame, asked: list, vocabulary: np.ndarray, k: int) -> D
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
-    # A shard is much work and few bytes: they are dealt one by one.
-    tasks = max(spark.sparkContext.defaultParallelism, -(-int(total[2]) // 8))
+    # A shard is much work and few bytes: they are dealt anew, a few to a task.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-int(total[2]) // 2))
     return written.select("ids", "sizes", "term", "place", "count").repartition(tasks).mapInArrow(run, ddl)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.llm import bpe, lexical, licenses, mixing, neardup, outliers, passages, ppm, secrets, shards, topk
+from codemem.llm import bpe, lexical, licenses, mixing, neardup, outliers, passages, ppm, repair, secrets, shards, topk
 from codemem.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op12_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -60,9 +64,28 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_kd_search, op2_secret_scan, op3_chained_passages, op4_source_mix, op5_training_order, op6_forced_bpe, op7_robust_outliers,
-        op8_licence_scan, op9_near_duplicates, op10_partial_matching, op13_treap_search,
+        op8_licence_scan, op9_near_duplicates, op10_partial_matching, op12_lightest_repair, op13_treap_search,
     )
 }
+
+# A deduction of the repair in SQL: an edit appended to the derivations that end in one state.
+def _edit(state: str, price: str, initial: str, line: str | None) -> str:
+    lines = f"list_append({state}.o, {line})" if line else f"{state}.o"
+    return f"{{'c': {state}.c + {price}, 'a': {state}.a || '{initial}', 'o': {lines}}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+_STAY = "(CASE fault WHEN 'b' THEN 1000000000 WHEN 'd' THEN 1000000000 WHEN 't' THEN 5 ELSE 0 END)"
+_KEEP = lambda state, kind: _edit(state, f"{_STAY} + (CASE WHEN initial = '{kind}' THEN 0 ELSE 1000000000 END)", "K", "role || ':' || text")
+_REROLE = lambda state, role: _edit(state, f"{_STAY} + 1", "R", f"'{role}:' || text")
+_DELETE = lambda state: _edit(state, "2", "D", None)
+_INSERT = lambda state, role: _edit(state, "5", "I", f"'{role}:'")
+_NOWHERE = "{'c': CAST(1000000000 AS BIGINT), 'a': '', 'o': CAST([] AS VARCHAR[])}"
+_NOTHING = "{'c': CAST(0 AS BIGINT), 'a': '', 'o': CAST([] AS VARCHAR[])}"
+
 # Trained models, pseudorandom mixes, files, encodings and alignments cannot be said in SQL; tests/llm holds those
 # queries against plain versions.
 ORACLE_SQL: dict[str, str] = {
@@ -107,6 +130,53 @@ WITH RECURSIVE listed AS (
 )
 SELECT d.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN roots USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+    "op12_lightest_repair": rf"""
+WITH RECURSIVE source AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations
+), numbered AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT))),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 20 AS kind
+  FROM source
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM numbered, range(2) t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), ordered AS (
+  SELECT *, substr(role, 1, 1) AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM damaged
+), marked AS (
+  SELECT *, CASE WHEN final = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                 WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS wrong
+  FROM ordered
+), states(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), {_NOTHING}, {_NOWHERE}, {_INSERT(_NOTHING, "user")}, {_INSERT(_INSERT(_NOTHING, "user"), "assistant")}
+  FROM source
+  UNION ALL
+  SELECT conv_id, i, s0, s1, t2, {_least("s3", _INSERT("t2", "assistant"))}
+  FROM (
+    SELECT conv_id, i, s0, s1, s3, {_least("s2", _INSERT("s0", "user"), _INSERT("s1", "user"), _INSERT("s3", "user"))} AS t2
+    FROM (
+      SELECT m.conv_id, m.i, {_DELETE("s0")} AS s0, {_least(_DELETE("s1"), _KEEP("s0", "s"))} AS s1,
+             {_least(_DELETE("s2"), *[w for q in ("s0", "s1", "s3") for w in (_KEEP(q, "u"), _REROLE(q, "user"))])} AS s2,
+             {_least(_DELETE("s3"), _KEEP("s2", "a"), _REROLE("s2", "assistant"))} AS s3
+      FROM states JOIN marked m ON m.conv_id IS NOT DISTINCT FROM states.conv_id AND m.i = states.i + 1
+    )
+  )
+), cheapest AS (
+  SELECT conv_id, arg_max({_least("s0", "s3")}, i) AS best FROM states GROUP BY conv_id
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+         count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (wrong) AS illegal
+  FROM marked GROUP BY conv_id
+)
+SELECT cheapest.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.c AS cost, best.a AS audit,
+       sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256
+FROM cheapest LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM cheapest.conv_id""",
     "op13_treap_search": r"""
 WITH listed AS (
   SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
