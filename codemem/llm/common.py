@@ -147,6 +147,18 @@ class Words:
         self.row = np.repeat(np.arange(len(offsets) - 1), self.count)
 
 
+class Rolling:
+    """Hashes of strings of a buffer, from a running sum."""
+
+    def __init__(self, data: np.ndarray):
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_byte_codes(False)[data] * _power(_BASE, len(data)), out=self.total[1:])
+        self.undo = _power(_UNDO, len(data) + 1)
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.total[end] - self.total[start]) * self.undo[start] + (end - start).astype(np.uint64))
+
+
 def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every window of k words inside one text, and the index of its first word."""
     n = len(words.hash)

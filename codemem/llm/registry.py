@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.llm import bpe, lexical, licenses, mixing, neardup, outliers, passages, ppm, repair, secrets, shards, topk
+from codemem.llm import bpe, lexical, licenses, mixing, neardup, outliers, passages, ppm, repair, runindex, secrets, shards, topk
 from codemem.llm.common import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -52,6 +52,10 @@ def op10_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.train_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.digest(runindex.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op12_lightest_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(table(spark, sf_dir, "conversations"))
 
@@ -64,7 +68,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_kd_search, op2_secret_scan, op3_chained_passages, op4_source_mix, op5_training_order, op6_forced_bpe, op7_robust_outliers,
-        op8_licence_scan, op9_near_duplicates, op10_partial_matching, op12_lightest_repair, op13_treap_search,
+        op8_licence_scan, op9_near_duplicates, op10_partial_matching, op11_run_index, op12_lightest_repair, op13_treap_search,
     )
 }
 
@@ -130,6 +134,30 @@ WITH RECURSIVE listed AS (
 )
 SELECT d.doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN roots USING (doc_id) LEFT JOIN sizes USING (doc_id)""",
+    "op11_run_index": r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id, hex(coalesce(text, '')) AS h FROM documents
+), windows AS (
+  SELECT row_id, doc_id, unnest(range(0, len(h) // 2 - 199)) AS low, h FROM texts WHERE len(h) >= 400
+), hashed AS (
+  SELECT row_id, low, md5(substr(h, 2 * low + 1, 400)) AS window FROM windows
+), repeated AS (
+  SELECT row_id, low FROM hashed JOIN (SELECT window FROM hashed GROUP BY window HAVING count(*) > 1) USING (window)
+), islands AS (
+  SELECT row_id, low, sum(CASE WHEN low - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY row_id ORDER BY low) AS island
+  FROM (SELECT row_id, low, coalesce(lag(low) OVER (PARTITION BY row_id ORDER BY low), -1000) AS before FROM repeated)
+), spans AS (
+  SELECT row_id, min(low) AS low, max(low) + 200 AS high FROM islands GROUP BY row_id, island
+), kept AS (
+  SELECT row_id, coalesce(lag(high) OVER (PARTITION BY row_id ORDER BY low), 0) AS start, low AS stop FROM spans
+  UNION ALL
+  SELECT t.row_id, coalesce(max(high), 0), len(any_value(h)) // 2 FROM texts t LEFT JOIN spans s ON s.row_id = t.row_id GROUP BY t.row_id
+), rest AS (
+  SELECT row_id, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start) AS left_over FROM kept JOIN texts USING (row_id) GROUP BY row_id
+)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(left_over)) AS kept_sha256
+FROM texts JOIN rest USING (row_id) LEFT JOIN (SELECT row_id, sum(high - low) AS removed, count(*) AS n FROM spans GROUP BY row_id) USING (row_id)""",
     "op12_lightest_repair": rf"""
 WITH RECURSIVE source AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
