@@ -140,9 +140,9 @@ WITH texts AS (
 ), windows AS (
   SELECT row_id, doc_id, unnest(range(0, len(h) // 2 - 199)) AS low, h FROM texts WHERE len(h) >= 400
 ), hashed AS (
-  SELECT row_id, low, md5(substr(h, 2 * low + 1, 400)) AS window FROM windows
+  SELECT row_id, low, md5(substr(h, 2 * low + 1, 400)) AS content FROM windows
 ), repeated AS (
-  SELECT row_id, low FROM hashed JOIN (SELECT window FROM hashed GROUP BY window HAVING count(*) > 1) USING (window)
+  SELECT row_id, low FROM hashed JOIN (SELECT content FROM hashed GROUP BY content HAVING count(*) > 1) USING (content)
 ), islands AS (
   SELECT row_id, low, sum(CASE WHEN low - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY row_id ORDER BY low) AS island
   FROM (SELECT row_id, low, coalesce(lag(low) OVER (PARTITION BY row_id ORDER BY low), -1000) AS before FROM repeated)
