@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.operators import files as fi, graph as gr, memory as mem, symbols as sy
+from codemem.operators import files as fi, graph as gr, imports as im, memory as mem, symbols as sy
 from codemem.plans import remember as rm
 from codemem.plans.store import MemoryStore
 from codemem.sources import tree
@@ -135,8 +135,24 @@ class CodeMemory:
         return gr.graph_nodes(symbols), gr.graph_edges(symbols), gr.graph_stats(symbols)
 
     @staticmethod
-    def importers(symbols: DataFrame, module: str) -> DataFrame:
-        return gr.importers_of(sy.import_rows(symbols, ("repo", "path")), module)
+    def import_edges(symbols: DataFrame) -> DataFrame:
+        """``repo, path, module, target, inside``.  Write it out before walking it more than once."""
+        return im.import_edges(symbols, sy.import_rows(symbols, ("repo", "path")))
+
+    @staticmethod
+    def importers(symbols: DataFrame, module: str, indirect: bool = False) -> DataFrame:
+        """Files that import a module; with ``indirect`` a file's or outside module's importers at any distance."""
+        if not indirect:
+            return gr.importers_of(sy.import_rows(symbols, ("repo", "path")), module)
+        edges = CodeMemory.import_edges(symbols)
+        asked = edges.filter((F.col("target") == module) | (F.col("module") == module)).select("repo", "target")
+        return im.importers_closure(edges, asked)
+
+    def ask_with_imports(self, query: str, symbols: DataFrame, k: int = mem.DEFAULT_K, hops: int = 2, datasets: Sequence[str] | None = None) -> DataFrame:
+        """The best chunks' files and those up to ``hops`` imports away: ``rank, repo, file, hops, via``."""
+        repos = symbols.select("repo", fi.dataset_name(F.col("repo")).alias("dataset")).distinct()
+        hits = self.search(query, k, datasets).filter(F.col("path").isNotNull()).join(repos, "dataset")
+        return im.import_neighbours(hits.select("rank", "repo", "path"), self.import_edges(symbols), hops)
 
     @staticmethod
     def write_graph(symbols: DataFrame, out: str) -> None:

@@ -346,6 +346,25 @@ def _with_graph(body: str, **more: str) -> str:
     return _with_symbols(body, nodes=_node_rows(), edges=_EDGE_ROWS, **more)
 
 
+def _with_packages(body: str, **more: str) -> str:
+    """``edges``: what the planted files import, stated from their numbers."""
+    found = f"SELECT repo, path, doc_id, i, block, pos FROM package_files WHERE length({strip('content')}) >= {fixed.MIN_CONTENT_CHARS}"
+    planted = """
+SELECT repo, path, 'os' AS module, NULL AS to_id FROM held
+UNION ALL SELECT repo, path, 'lib.core', doc_id - 8 * i FROM held WHERE i > 0
+UNION ALL SELECT repo, path, 'lib.p' || block || '.m' || (doc_id + 120) || '.' || n, doc_id + 120
+  FROM held, (VALUES ('run'), ('other')) v(n) WHERE i > 0 AND pos = 0
+UNION ALL SELECT repo, path, 'p' || block, CASE WHEN block > 0 THEN doc_id - 8 END FROM held WHERE pos = 1
+UNION ALL SELECT repo, path, 'p' || block || '.m' || (doc_id - 8), doc_id - 8 FROM held WHERE pos > 1
+UNION ALL SELECT repo, path, 'lib.p' || block || '.m' || (doc_id - 24), doc_id - 24 FROM held WHERE pos > 3 AND pos % 4 = 3"""
+    edges = """
+SELECT p.repo, p.path, p.module, coalesce(t.path, p.module) AS target, CAST(t.path IS NOT NULL AS BIGINT) AS inside
+FROM planted p LEFT JOIN held t ON t.doc_id = p.to_id"""
+    return with_views(
+        ["package_files"], body, held=found, planted=planted, edges=edges, links="SELECT DISTINCT repo, target, path FROM edges", **more
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 _DIFF = """
 SELECT coalesce(o.repo, n.repo) AS repo, coalesce(o.path, n.path) AS path,
   CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted'
@@ -648,6 +667,31 @@ UNION ALL SELECT {dataset('c.repo')}, 'comments:' || l.path, 'comment', l.text F
 UNION ALL SELECT {dataset('t.repo')}, 'commit:' || t.hash || ':' || t.part, 'commit', t.text FROM texts t)""",
         **remembered,
     )
+    sql["import_edges"] = _with_packages("SELECT repo, path, module, target, inside FROM edges")
+    sql["importers_closure"] = _with_packages(
+        "SELECT repo, target, path, CAST(min(hops) AS BIGINT) AS hops FROM pairs WHERE target <> path GROUP BY ALL",
+        # The longest of the shortest chains runs around a circle of sixteen files.
+        pairs="""
+SELECT repo, target, path, 1 AS hops FROM links
+UNION SELECT p.repo, p.target, l.path, p.hops + 1 FROM pairs p JOIN links l ON l.repo = p.repo AND l.target = p.path WHERE p.hops < 20""",
+    )
+    sql["recall_import_neighbours"] = _with_packages(
+        """SELECT rank, repo, file, min(hops) AS hops, arg_min(array_to_string(way, ' > '), struct_pack(h := hops, w := way)) AS via FROM (
+  SELECT rank, repo, file, 1 AS hops, way FROM one UNION ALL SELECT rank, repo, file, 2, way FROM two)
+WHERE file <> way[1] GROUP BY ALL""",
+        **_recall_ctes(
+            _FIRST_ITEM,
+            f"SELECT {dataset('repo')} AS dataset, path AS doc_id, path, repo, {redact('content')} AS text FROM package_files",
+        ),
+        best=_top(5),
+        near="""
+SELECT repo, path AS file, target AS near FROM edges WHERE inside = 1
+UNION SELECT repo, target, path FROM edges WHERE inside = 1""",
+        one="""
+SELECT b.rank, n.repo, n.near AS file, [n.file, n.near] AS way
+FROM best b JOIN package_files f ON f.path = b.path AND """ + dataset("f.repo") + """ = b.dataset JOIN near n ON n.repo = f.repo AND n.file = f.path""",
+        two="SELECT o.rank, n.repo, n.near AS file, list_append(o.way, n.near) AS way FROM one o JOIN near n ON n.repo = o.repo AND n.file = o.file",
+    )
     sql["tagged_docs"] = _with_symbols(f"SELECT path, text FROM ({file_text})")
     return sql
 

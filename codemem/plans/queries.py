@@ -14,6 +14,7 @@ from codemem.operators import (
     commits as ci,
     files as fi,
     graph as gr,
+    imports as im,
     memory as mem,
     snapshots as sn,
     symbols as sy,
@@ -674,3 +675,35 @@ def recall_with_graph(spark: SparkSession, sf: str) -> DataFrame:
     top = mem.recall(mem.ingest(docs), _question(spark, sf), k=5)
     found = mem.with_graph(top, gr.graph_edges(symbols), gr.graph_nodes(symbols))
     return found.select("rank", "file", "id", "grp", "label")
+
+
+# ---- imports --------------------------------------------------------------------------
+
+
+def _packages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Files of the planted packages and their imports as edges, from the stored symbols of a scan."""
+    files = rm.scanned_files(Tables(spark, sf).package_files).select("repo", "path", "content")
+    at = work_dir(spark, "packages")
+    im.import_edges(files, sy.import_rows(sy.extract_symbols(files), ("repo", "path"))).write.parquet(at)
+    return files, spark.read.parquet(at)
+
+
+@register
+def import_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _packages(spark, sf)[1].withColumn("inside", F.col("inside").cast("bigint"))
+
+
+@register
+def importers_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """Every importer of every file and module, through any number of files."""
+    return im.importers_closure(_packages(spark, sf)[1])
+
+
+@register
+def recall_import_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Best chunks of the packages with the files up to two imports away."""
+    files, edges = _packages(spark, sf)
+    docs = files.select(fi.dataset_name(F.col("repo")).alias("dataset"), F.col("path").alias("doc_id"), "repo", "path", F.col("content").alias("text"))
+    top = mem.recall(mem.ingest(docs), _question(spark, sf), k=5)
+    found = im.import_neighbours(top, edges, hops=2)
+    return found.select("rank", "repo", "file", "hops", F.array_join("via", " > ").alias("via"))

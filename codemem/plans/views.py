@@ -146,6 +146,33 @@ SELECT source AS repo,
 FROM $documents
 """
 
+_D = "CAST(doc_id AS STRING)"
+_B = "CAST(block AS STRING)"
+# What a file of the packages imports: the hub, the file before it (the last one closes a circle of
+# sixteen), and now and then a file three places back.
+PACKAGE_LINES = (
+    "'import os'",
+    "CASE WHEN i = 0 THEN '' ELSE 'from lib import core' END",
+    f"CASE WHEN i = 0 THEN '' WHEN pos = 0 THEN 'from lib.p' || {_B} || '.m' || CAST(doc_id + 120 AS STRING) || ' import run, other' "
+    f"WHEN pos = 1 THEN 'import p' || {_B} ELSE 'from p' || {_B} || ' import m' || CAST(doc_id - 8 AS STRING) || ' as prev' END",
+    f"CASE WHEN pos > 3 AND pos % 4 = 3 THEN 'import lib.p' || {_B} || '.m' || CAST(doc_id - 24 AS STRING) ELSE '' END",
+    "'def run(): pass'",
+    _AS_COMMENT,
+)
+
+# repo, path, content, doc_id, i, block, pos: eight repositories of packages with sixteen files each
+PACKAGE_FILES = f"""
+SELECT repo,
+       CASE WHEN i = 0 THEN 'lib/core.py' WHEN pos = 0 THEN 'lib/p' || {_B} || '/__init__.py'
+            ELSE 'lib/p' || {_B} || '/m' || {_D} || '.py' END AS path,
+       {_lines(*PACKAGE_LINES)} AS content,
+       doc_id, i, block, pos
+FROM (SELECT doc_id, text, 'mono' || CAST(doc_id % 8 AS STRING) AS repo,
+             CAST(floor(doc_id / 8) AS BIGINT) AS i, CAST(floor(doc_id / 128) AS BIGINT) AS block,
+             CAST(floor(doc_id / 8) AS BIGINT) % 16 AS pos
+      FROM $documents) d
+"""
+
 # page_id, path: page addresses as paths, with folder and file names planted
 PATHS = """
 SELECT page_id,
@@ -262,6 +289,7 @@ FROM $events
 
 VIEWS = {
     "code_files": CODE_FILES,
+    "package_files": PACKAGE_FILES,
     "paths": PATHS,
     "folders": FOLDERS,
     "commits": COMMITS,

@@ -93,3 +93,17 @@ def test_structure(memory, project, tmp_path):
     assert {n["id"] for n in lines} >= {"file:main.py", "func:main.py:tax"}
     memory.write_digest(symbols, "shop", str(tmp_path / "digest"))
     assert glob.glob(str(tmp_path / "digest" / "part-*"))
+
+
+def test_imports_of_a_project(memory, project):
+    (project / "shop").mkdir()
+    (project / "shop" / "__init__.py").write_text("from utils import clean_phone\n\nNUMBER_OF_SHOPS = 3  # three\n")
+    (project / "page.py").write_text('import shop\nimport os\n\n\ndef page():\n    """The page of one shop."""\n')
+    files = memory.scan(str(project))
+    memory.remember(files)
+    symbols = memory.symbols(files)
+    indirect = {(r.target, r.path, r.hops) for r in memory.importers(symbols, "utils.py", indirect=True).collect()}
+    assert indirect == {("utils.py", "shop/__init__.py", 1), ("utils.py", "page.py", 2)}
+    assert {r.path for r in memory.importers(symbols, "os").collect()} == {"page.py"}
+    near = {(r.file, r.hops, tuple(r.via)) for r in memory.ask_with_imports("clean phone helpers digits only", symbols, k=1).collect()}
+    assert near == {("shop/__init__.py", 1, ("utils.py", "shop/__init__.py")), ("page.py", 2, ("utils.py", "shop/__init__.py", "page.py"))}
