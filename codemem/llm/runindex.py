@@ -294,6 +294,7 @@ def marked(docs: DataFrame, length: int = LENGTH, seed: int = SEED, seed_bytes:
     long_enough = texts.where(F.octet_length("text") >= length)
     found = stored(all_pieces(long_enough, length, seed), "index-pieces")
     seen = found.groupBy("m").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("n > 1")
+    seen = cut(seen)  # a join of two plain shuffles can be split where a seed is in very many texts
     shared = stored(found.join(seen, "m").select("m", "c", "d", "tie", "place", (F.col("low") == F.col("high")).alias("alone")), "index-shared")
     windows = F.shiftright("place", 8).bitwiseAND(F.lit(0xFF))
 
@@ -309,14 +310,14 @@ def marked(docs: DataFrame, length: int = LENGTH, seed: int = SEED, seed_bytes:
     single = held.where("text is null").select("m", "c", "many", F.posexplode("windows").alias("low", "window"))
     twice = single.groupBy("m", "window").agg((F.count("*") > 1).alias("several"), F.max("many").alias("copied")).where("several or copied").select("m", "window")
     hot_marks = single.join(twice, ["m", "window"]).groupBy("m", "c").agg(F.collect_list(F.struct("low", (F.col("low") + 1).alias("high"))).alias("spans"))
-    marks = marks.union(hot_marks)
+    marks = cut(marks.union(hot_marks))
 
     start = F.shiftright("place", 16)
     inner = several.join(marks, ["m", "c"]).select("d", "tie", start.alias("start"), F.explode("spans").alias("s"))
     inner = inner.select("d", "tie", (F.col("start") + F.col("s.low")).alias("low"), (F.col("start") + F.col("s.high") + length - 1).alias("high"))
     whole = shared.where("alone").select("d", "tie", start.alias("low"), (start + windows + length - 1).alias("high"))
     # Equal rows mark equal places: a set, made in every task first.
-    return inner.union(whole).groupBy("d", "tie").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    return cut(inner.union(whole).groupBy("d", "tie").agg(F.collect_set(F.struct("low", "high")).alias("spans")))
 
 
 KEPT = "doc_id long, n_bytes long, spans array<struct<low:bigint,high:bigint>>, kept binary"
