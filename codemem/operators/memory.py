@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,9 +43,8 @@ def _runs(text: Column, max_tokens: int) -> Column:
     return tx.by_ws(text, found(tx.ASCII_WS), found(tx.WS_CLASS))
 
 
-# Block sizes of batch recall: queries held by one task, and vectors in one bucket.
+# Queries that travel with one pass over the vectors, about.
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 20_000
 SCORES_AT_ONCE = 4_000_000
 
 
@@ -213,6 +213,21 @@ def _merge(held: list[tuple], k: int) -> list[tuple]:
     return kept
 
 
+def _scores_schema(chunks: DataFrame, queries: DataFrame, names: Sequence[str]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    return ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}", *[f"{n} {types[n]}" for n in names], "score double"])
+
+
+def _score_rows(held: list[tuple], ids: list, names: Sequence[str]) -> list[dict]:
+    return [{"query_id": ids[q], **dict(zip(names, at)), "score": s} for q, s, at in held]
+
+
+def best_of_all(scores: DataFrame, k: int, names: Sequence[str]) -> DataFrame:
+    """Top k of every query; tasks drop all but k rows per query before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *names)
+    return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+
+
 def recall_batch(
     chunks: DataFrame,
     queries: DataFrame,
@@ -220,30 +235,23 @@ def recall_batch(
     key: Sequence[str] = CHUNK_KEY,
     unit_vectors: bool = True,
     query_block: int = QUERY_BLOCK,
-    vector_block: int = VECTOR_BLOCK,
 ) -> DataFrame:
     """Top k chunks of every query, exact, scored as matrix products.
 
-    ``queries(query_id, embedding)``.  A query table of at most ``query_block`` rows
-    travels with the tasks; every task keeps k rows per query while it reads.  A
-    larger one is cut into blocks that meet buckets of the vectors, each pair of
-    bounded size, so neither side is ever held whole.  ``unit_vectors`` says that
-    the stored vectors already have length 1.
+    ``queries(query_id, embedding)`` are dealt to blocks of about ``query_block`` rows.  A block
+    travels with the tasks of one pass over the vectors, in which every task keeps k rows per
+    query.  Vectors stay where they are.  ``unit_vectors`` says that the stored vectors
+    already have length 1.  For very many queries see ``nearest.recall_similar``.
     """
-    id_type = queries.schema["query_id"].dataType.simpleString()
-    types = {f.name: f.dataType.simpleString() for f in chunks.schema}
     names = list(key)
-    schema = ", ".join([f"query_id {id_type}", *[f"{n} {types[n]}" for n in names], "score double"])
+    schema = _scores_schema(chunks, queries, names)
     vectors = chunks.select(*names, "embedding")
-
-    def rows(held: list[tuple], ids: list) -> list[dict]:
-        return [{"query_id": ids[q], **dict(zip(names, at)), "score": s} for q, s, at in held]
-
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    asked = queries.select("query_id", "embedding")
+    blocks = max(1, -(-asked.count() // query_block))
 
-    # One row beyond the bound is enough to know that the table is too large to carry.
-    local = queries.select("query_id", "embedding").limit(query_block + 1).toArrow()
-    if local.num_rows <= query_block:
+    def scored_by(block: int) -> DataFrame:
+        local = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()
         ids = local.column("query_id").to_pylist()
         matrix = _unit(_matrix(local.column("embedding")))
 
@@ -254,39 +262,11 @@ def recall_batch(
                 if keys and ids:
                     held = _merge(held + _top_k_block(keys, _matrix(batch.column("embedding")), matrix, k, unit_vectors), k)
             if held:
-                yield pa.RecordBatch.from_pylist(rows(held, ids), schema=arrow)
+                yield pa.RecordBatch.from_pylist(_score_rows(held, ids, names), schema=arrow)
 
-        partial = vectors.mapInArrow(scan, schema)
-    else:
-        partial = _recall_blocks(vectors, queries, k, names, arrow, schema, unit_vectors, query_block, vector_block, rows)
+        return vectors.mapInArrow(scan, schema)
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), *names)
-    best = partial.withColumn("rank", F.row_number().over(order).cast("bigint"))
-    return best.filter(F.col("rank") <= k)
-
-
-def _recall_blocks(vectors, queries, k, names, arrow, schema, unit_vectors, query_block, vector_block, rows) -> DataFrame:
-    """Every query block against every vector bucket, as a co-group on (bucket, block)."""
-    n_blocks = -(-queries.count() // query_block)
-    n_buckets = max(1, -(-vectors.count() // vector_block))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.withColumn("__bucket", F.pmod(F.xxhash64(*names), F.lit(n_buckets)).cast("int"))
-    left = left.withColumn("__block", spread(n_blocks))
-    right = queries.select(
-        "query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("__block")
-    ).withColumn("__bucket", spread(n_buckets))
-
-    def meet(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        ids = asked.column("query_id").to_pylist()
-        keys = list(zip(*[stored.column(n).to_pylist() for n in names]))
-        if not ids or not keys:
-            return arrow.empty_table()
-        block = _unit(_matrix(asked.column("embedding")))
-        held = _merge(_top_k_block(keys, _matrix(stored.column("embedding")), block, k, unit_vectors), k)
-        return pa.Table.from_pylist(rows(held, ids), schema=arrow)
-
-    pair = ("__bucket", "__block")
-    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInArrow(meet, schema)
+    return best_of_all(reduce(DataFrame.unionByName, map(scored_by, range(blocks))), k, names)
 
 
 # ---- results --------------------------------------------------------------------------

@@ -563,6 +563,16 @@ FROM (SELECT rank, text, row_number() OVER (PARTITION BY {norm('text')} ORDER BY
         f"SELECT query_id, rank, dataset, doc_id, chunk_no, score FROM ({_top(fixed.DEFAULT_K, partition='PARTITION BY query_id')})",
         **_recall_ctes("SELECT item_id AS query_id, text FROM benchmark"),
     )
+    sql["recall_similar"] = with_views(
+        ["memory_docs"],
+        f"SELECT query_id, rank, dataset, doc_id, chunk_no, score FROM ({_top(1, partition='PARTITION BY query_id')})",
+        **_recall_ctes("SELECT doc_id || ':' || chunk_no AS query_id, text FROM chunks WHERE CAST(doc_id AS BIGINT) % 100 = 0"),
+    )
+    sql["recall_indexed"] = with_views(
+        ["memory_docs"],
+        f"SELECT query_id, rank, dataset, doc_id, chunk_no, score, text FROM ({_top(10, partition='PARTITION BY query_id')})",
+        **_recall_ctes("SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 10 = 0"),
+    )
     sql["recall_vectors"] = """
 WITH entries AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
 means AS (SELECT label AS query_id, i, avg(x) AS x FROM entries GROUP BY label, i),

@@ -16,13 +16,15 @@ from codemem.operators import (
     graph as gr,
     imports as im,
     memory as mem,
+    nearest as ne,
     snapshots as sn,
     symbols as sy,
 )
 from codemem.plans import remember as rm
 from codemem.plans.store import MemoryStore
+from codemem.plans.vector_index import VectorIndex
 from codemem.plans.views import Tables
-from codemem.session import mounted, work_dir
+from codemem.session import mounted, work_dir, written
 from codemem.sources import ignore, tree
 from codemem.streaming import decisions as sd
 
@@ -473,6 +475,24 @@ def recall_batch(spark: SparkSession, sf: str) -> DataFrame:
     return mem.recall_batch(_chunks(spark, sf), queries)
 
 
+@register
+def recall_similar(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest chunk of every chunk of each hundredth document; equal vectors share all buckets."""
+    chunks = written(_chunks(spark, sf).select(*mem.CHUNK_KEY, "embedding"), "chunks")
+    asked = chunks.filter(F.col("doc_id").cast("bigint") % 100 == 0)
+    asked = asked.select(F.concat_ws(":", "doc_id", "chunk_no").alias("query_id"), "embedding")
+    return ne.recall_similar(chunks, asked, k=1)
+
+
+@register
+def recall_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth benchmark text asked of an index of all chunks; equal to a scan of everything."""
+    index = VectorIndex(spark, work_dir(spark, "index")).build(_chunks(spark, sf))
+    asked = Tables(spark, sf).benchmark.filter(F.col("item_id") % 10 == 0).select(F.col("item_id").alias("query_id"), "text")
+    found = index.recall_batch(mem.hash_embedder()(asked), k=10)
+    return found.select("query_id", *_RESULT)
+
+
 @register
 def recall_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of an outside model: the mean vector of each label as question."""

@@ -90,7 +90,7 @@ def test_batch_recall_equals_single_recall(spark, corpus, block):
     texts = ["graph load", "same words here", "save 42 token", "nothing known", "", "naïve x_1", "a b c"]
     asked = spark.createDataFrame(list(enumerate(texts)), "query_id INT, text STRING")
     queries = mem.hash_embedder()(asked)
-    got = mem.recall_batch(chunks, queries, 4, query_block=block, vector_block=50).collect()
+    got = mem.recall_batch(chunks, queries, 4, query_block=block).collect()
     for i, text in enumerate(texts):
         single = mem.recall(chunks, mem.query_vector(spark, text), 4).orderBy("rank").collect()
         mine = sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])
