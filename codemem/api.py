@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codemem.operators import files as fi, graph as gr, imports as im, memory as mem, symbols as sy
 from codemem.plans import remember as rm
 from codemem.plans.store import MemoryStore
+from codemem.session import written
 from codemem.sources import tree
 
 
@@ -45,27 +46,28 @@ class CodeMemory:
         commit_files: DataFrame | None = None,
         changes: DataFrame | None = None,
         tag: str | None = None,
-    ) -> int:
+    ) -> None:
         """Store files, comments and commits; with ``changes(repo, path)`` only what changed.
 
         Documents stored before under the same ids are replaced; ``tag`` marks them for ``forget``.
         """
         docs = rm.remember(files, commits, commit_files, changes)
-        return self.store.ingest(docs.withColumn("tag", F.lit(tag).cast("string")), replace=True)
+        self.store.ingest(docs.withColumn("tag", F.lit(tag).cast("string")), replace=True)
 
-    def refresh(self, files: DataFrame, commits: DataFrame | None = None, commit_files: DataFrame | None = None) -> int:
+    def refresh(self, files: DataFrame, commits: DataFrame | None = None, commit_files: DataFrame | None = None) -> None:
         """Bring the scanned repositories up to date; files that vanished are forgotten.
 
         History is only added to.  What a scan could not read (``content`` is null), and all
         below an unreadable folder, stays as it was.
         """
+        files = written(files, "scan")  # a scan is read again by each use
         unread = files.filter(F.col("content").isNull()).select(fi.dataset_name(F.col("repo")).alias("dataset"), "path")
         docs = rm.remember(files.filter(F.col("content").isNotNull()), commits, commit_files)
         named = [r["dataset"] for r in files.select(fi.dataset_name(F.col("repo")).alias("dataset")).distinct().collect()]
-        return self.store.refresh(docs, named, kinds=("file", "comment"), unread=unread)
+        self.store.refresh(docs, named, kinds=("file", "comment"), unread=unread)
 
-    def log(self, decision: str) -> int:
-        return self.store.log_decision(decision)
+    def log(self, decision: str) -> None:
+        self.store.log_decision(decision)
 
     def forget(
         self,

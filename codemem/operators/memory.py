@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 from codemem.functions import text as tx, vectors as vx
 from codemem.operators.joins import sized_join
 from codemem.operators.symbols import rows_of
+from codemem.session import written
 
 DEFAULT_K = 3
 DEFAULT_CHUNK_TOKENS = 256
@@ -278,10 +279,9 @@ def dedup_normalized(texts: DataFrame, rank: str = "rank", text: str = "text") -
     ``rank`` is unique.  Only hashes and ranks are aggregated, so a group holding
     a third of all rows is reduced inside each task.
     """
-    hashed = texts.select(rank, F.sha2(tx.normalize_ws(F.col(text)), 256).alias("k"))
+    # Normalised once, and written: both the groups and the ranks that go start from it.
+    hashed = written(texts.select(rank, F.sha2(tx.normalize_ws(F.col(text)), 256).alias("k")), "normalised")
     void = F.col("k").isin(*[hashlib.sha256(t.encode()).hexdigest() for t in ("", EMPTY_REPLY)])
-    # The void texts are told by their aggregate: a filter on the key would be pushed
-    # below the hashing and normalise every text a second time.
     groups = hashed.groupBy("k").agg(F.min(F.when(~void, F.col(rank))).alias("first"), F.count("*").alias("n"))
     groups = groups.filter(F.col("first").isNull() | (F.col("n") > 1)).select("k", "first")
     # Those that go: copies and void texts.  They are usually few, and texts stay where they are.

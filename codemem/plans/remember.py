@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codemem.functions import text as tx
 from codemem.operators import comments as cm, commits as ci, files as fi, symbols as sy
+from codemem.session import written
 
 
 def scanned_files(files: DataFrame) -> DataFrame:
@@ -68,6 +69,8 @@ def remember(
     """
     name = fi.dataset_name(F.col("repo")) if dataset is None else dataset
     chosen = files if changes is None else fi.incremental_files(files, changes)
+    # The source is read once: files, Python files and comments each start from the written scan.
+    chosen = written(fi.substantial_files(chosen).select("repo", "path", "content"), "scan")
     docs = file_documents(chosen, name).unionByName(comment_documents(chosen, name))
     if commits is not None and commit_files is not None:
         docs = docs.unionByName(commit_documents(commits, commit_files, name, newest_commits))

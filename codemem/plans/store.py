@@ -1,10 +1,10 @@
-"""The memory on disk: plain Parquet tables, read and written by Spark jobs.
+"""The memory on disk: documents and their chunks as plain Parquet tables.
 
-Layout below the root: ``versions`` (one row per version) and, per version, ``docs``
-and ``chunks`` partitioned by ingest number and scope, ``tombstones`` (documents) and
-``forgotten`` (whole datasets).  Nothing is overwritten in place: forgetting appends
-a tombstone, reading anti-joins them, compaction writes the next version and removes the
-old one.  ``claims`` holds an empty file for each ingest number that is taken.
+Both tables are partitioned by scope (the dataset; all decisions share one) and part.  A part is a hash
+bucket of the path, or the label of a source that only adds, such as a batch of a stream.  Storing,
+refreshing and forgetting rewrite the buckets that change; a labelled part is written as it is, without
+a look at what is stored.  Chunks are written first: a document counts as known once its chunks are
+there, so a call that failed can be repeated and loses nothing.  One writer at a time.
 """
 
 from __future__ import annotations
@@ -18,25 +18,27 @@ from codemem.functions import text as tx
 from codemem.operators import memory as mem
 from codemem.operators.joins import sized_join
 from codemem.operators.snapshots import snapshot_diff
+from codemem.plans import partitions as pt
+from codemem.session import written
 
 DOCS = (
     "dataset STRING, doc_id STRING, kind STRING, path STRING, tag STRING, text STRING, sha256 STRING, "
-    "ingested_at TIMESTAMP, seq BIGINT, scope STRING"
+    "ingested_at TIMESTAMP, scope STRING, part STRING"
 )
 CHUNKS = (
     "dataset STRING, doc_id STRING, kind STRING, path STRING, chunk_no BIGINT, text STRING, "
-    "embedding ARRAY<FLOAT>, seq BIGINT, scope STRING"
+    "embedding ARRAY<FLOAT>, scope STRING, part STRING"
 )
-TOMBSTONES = "dataset STRING, doc_id STRING, up_to BIGINT"
-FORGOTTEN = "dataset STRING, up_to BIGINT"
-TABLES = {"docs": DOCS, "chunks": CHUNKS, "tombstones": TOMBSTONES, "forgotten": FORGOTTEN}
-PARTITIONS = ("seq", "scope")
+TABLES = {"docs": DOCS, "chunks": CHUNKS}
+PARTITIONS = ("scope", "part")
+ID = ("dataset", "doc_id")
+BUCKETS = 8
+DECISIONS = mem.DECISION_DATASET.rstrip("_")
 
 
 def scope_of(dataset: Column) -> Column:
     """Partition of a dataset.  Decisions get one dataset per second and share a scope."""
-    is_decision = F.startswith(dataset, F.lit(mem.DECISION_DATASET))
-    return F.when(is_decision, mem.DECISION_DATASET.rstrip("_")).otherwise(dataset)
+    return F.when(F.startswith(dataset, F.lit(mem.DECISION_DATASET)), DECISIONS).otherwise(dataset)
 
 
 def tag_of(docs: DataFrame) -> Column:
@@ -45,117 +47,40 @@ def tag_of(docs: DataFrame) -> Column:
 
 
 class MemoryStore:
-    def __init__(self, spark: SparkSession, root: str, embedder: mem.Embedder | None = None):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.embedder = embedder or mem.hash_embedder()
-        self._version: int | None = None
+    """``buckets`` is the number of parts a dataset is cut into; it has to stay the same for one folder."""
 
-    # ---- versions ---------------------------------------------------------------------
+    def __init__(self, spark: SparkSession, root: str, embedder: mem.Embedder | None = None, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.embedder = embedder or mem.hash_embedder()
 
     def create(self) -> MemoryStore:
         """Open the memory below the root, or start one where there is none."""
-        if self._files()[1] and self.reopen().version():
-            return self
-        self._start_version(1)
-        return self
-
-    def _files(self, folder: str = "versions"):
-        """The file system of a folder below the root, whether that exists, and its path."""
-        jvm, context = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
-        files = path.getFileSystem(context)
-        return files, files.exists(path), path
-
-    def _number(self) -> int:
-        """The next ingest number: above all earlier ones, whatever the clock says, and taken by nobody else."""
-        files, known, claims = self._files("claims")
-        last = max((int(f.getPath().getName()) for f in files.listStatus(claims)), default=0) if known else 0
-        number = max(last + 1, time.time_ns() // 1000)
-        while not self._claim(number):
-            number += 1
-        return number
-
-    def _claim(self, number: int) -> bool:
-        files, _, path = self._files(f"claims/{number}")
-        return files.createNewFile(path)
-
-    def version(self) -> int:
-        """The version this object reads; found once, then moved on by its own calls."""
-        if self._version is None:
-            versions = self.spark.read.schema("version BIGINT").parquet(f"{self.root}/versions")
-            self._version = versions.agg(F.max("version")).first()[0]
-        return self._version
-
-    def reopen(self) -> MemoryStore:
-        """Look for a version another writer has started."""
-        self._version = None
-        return self
-
-    def _path(self, table: str, version: int | None = None) -> str:
-        return f"{self.root}/v{version or self.version()}/{table}"
-
-    def _start_version(self, version: int, **content: DataFrame) -> None:
-        old = self._version
         for table, schema in TABLES.items():
-            rows = content.get(table, self.spark.createDataFrame([], schema))
-            self._write(rows, table, version)
-        # The new version counts only once all its tables are complete.
-        marker = self.spark.createDataFrame([(version,)], "version BIGINT")
-        marker.coalesce(1).write.mode("append").parquet(f"{self.root}/versions")
-        self._version = version
-        if old is not None:
-            files, _, path = self._files(f"v{old}")
-            files.delete(path, True)
-
-    def _write(self, rows: DataFrame, table: str, version: int | None = None) -> None:
-        out = rows
-        if table in ("docs", "chunks"):
-            # Rebalancing cuts a dataset that holds most rows into several files and
-            # merges the small ones; a plain repartition would give it to one task.
-            # Sorted ids let a look-up of single documents skip most row groups.
-            out = rows.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, "doc_id")
-            writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy(*PARTITIONS).parquet(self._path(table, version))
-        else:
-            out.write.mode("append").parquet(self._path(table, version))
-
-    def _table(self, table: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[table]).parquet(self._path(table))
+            if not pt.exists(self.spark, f"{self.root}/{table}"):
+                pt.clear(self.spark, f"{self.root}/{table}", schema, PARTITIONS)
+        return self
 
     # ---- reading ----------------------------------------------------------------------
 
-    def _live(self, rows: DataFrame) -> DataFrame:
-        forgotten = self._table("forgotten")
-        if not forgotten.isEmpty():
-            last = forgotten.groupBy("dataset").agg(F.max("up_to").alias("up_to"))
-            rows = sized_join(rows, last, ["dataset"], "left")
-            rows = rows.filter(F.col("up_to").isNull() | (F.col("seq") > F.col("up_to"))).drop("up_to")
-        gone = self._table("tombstones").alias("t")
-        same = (
-            (F.col("r.dataset") == F.col("t.dataset"))
-            & (F.col("r.doc_id") == F.col("t.doc_id"))
-            & (F.col("r.seq") <= F.col("t.up_to"))
-        )
-        return rows.alias("r").join(gone, same, "left_anti")
+    def _table(self, table: str) -> DataFrame:
+        return pt.rows_of(self.spark, f"{self.root}/{table}", TABLES[table], "doc_id")
 
     def docs(self, datasets: Sequence[str] | None = None) -> DataFrame:
-        return self._live(self._in_scope(self._table("docs"), datasets))
+        return self._in_scope(self._table("docs"), datasets)
 
     def chunks(self, datasets: Sequence[str] | None = None) -> DataFrame:
-        return self._live(self._in_scope(self._table("chunks"), datasets))
+        return self._in_scope(self._table("chunks"), datasets)
 
     @staticmethod
     def _in_scope(rows: DataFrame, datasets: Sequence[str] | None) -> DataFrame:
         if datasets is None:
             return rows
-        scopes = {mem.DECISION_DATASET.rstrip("_") if d.startswith(mem.DECISION_DATASET) else d for d in datasets}
+        scopes = {DECISIONS if d.startswith(mem.DECISION_DATASET) else d for d in datasets}
         return rows.filter(F.col("scope").isin(*sorted(scopes)) & F.col("dataset").isin(*datasets))
 
     def _recall_scope(self, datasets: Sequence[str] | None) -> DataFrame:
         rows = self._table("chunks")
-        if datasets is None:
-            return rows
-        return rows.filter(F.col("scope").isin(*datasets, mem.DECISION_DATASET.rstrip("_")))
+        return rows if datasets is None else rows.filter(F.col("scope").isin(*datasets, DECISIONS))
 
     def recall(self, query: str, k: int = mem.DEFAULT_K, datasets: Sequence[str] | None = None) -> DataFrame:
         """Top k chunks; with datasets given, decisions are searched along with them.
@@ -165,64 +90,76 @@ class MemoryStore:
         """
         vector = mem.query_vector(self.spark, query, self.embedder)
         rows = self._recall_scope(datasets)
-        best = mem.recall(self._live(rows.drop("text")), vector, k)
-        found = best.select("rank", "dataset", "doc_id", "chunk_no", "score", "seq").collect()
-        schema = "rank BIGINT, dataset STRING, doc_id STRING, chunk_no BIGINT, score DOUBLE, seq BIGINT"
-        top = F.broadcast(self.spark.createDataFrame(found, schema))
-        wanted = lambda name: F.col(name).isin(*{r[name] for r in found})
-        texts = rows.filter(wanted("seq") & wanted("dataset") & wanted("doc_id")) if found else rows.limit(0)
-        texts = texts.select("dataset", "doc_id", "chunk_no", "seq", "kind", "path", "text")
-        return texts.join(top, ["dataset", "doc_id", "chunk_no", "seq"]).drop("seq")
+        keys = [*mem.CHUNK_KEY, *PARTITIONS]
+        found = mem.recall(rows.drop("text"), vector, k).select("rank", "score", *keys).collect()
+        schema = "rank BIGINT, score DOUBLE, dataset STRING, doc_id STRING, chunk_no BIGINT, scope STRING, part STRING"
+        top = F.broadcast(self.spark.createDataFrame(found, schema))  # k rows
+        for name in (*PARTITIONS, *ID):
+            rows = rows.filter(F.col(name).isin(*{r[name] for r in found}))
+        return rows.select(*keys, "kind", "path", "text").join(top, keys).drop(*PARTITIONS)
 
     def recall_batch(self, queries: DataFrame, k: int = mem.DEFAULT_K, datasets: Sequence[str] | None = None) -> DataFrame:
         """Top k of every ``queries(query_id, text)``, without the texts."""
         asked = self.embedder(queries.select("query_id", "text"))
-        return mem.recall_batch(self._live(self._recall_scope(datasets).drop("text")), asked, k)
+        return mem.recall_batch(self._recall_scope(datasets).drop("text"), asked, k)
 
     # ---- writing ----------------------------------------------------------------------
 
-    def ingest(self, docs: DataFrame, seq: int | None = None, replace: bool = False) -> int:
-        """Store documents and their chunks under one ingest number.
-
-        A failed call raises and can be repeated with the same number: the
-        partitions it wrote are written again.  With ``replace``, earlier versions
-        of the same documents are forgotten, and whatever else was stored of their paths.
-        """
-        seq = self._taken(seq)
-        safe = docs.select("dataset", "doc_id", "kind", "path", tag_of(docs), tx.redact(F.col("text")).alias("text"))
+    def _rows(self, docs: DataFrame, label: str | None = None) -> DataFrame:
+        """Documents as they are stored, made once: redacted, with hash, time and partition."""
+        part = pt.bucket(self.buckets, F.col("dataset"), F.coalesce("path", "doc_id")) if label is None else F.lit(label)
+        safe = docs.select(*ID, "kind", "path", tag_of(docs), tx.redact(F.col("text")).alias("text"))
         rows = safe.select(
-            "*",
-            F.sha2("text", 256).alias("sha256"),
-            F.timestamp_micros(F.lit(seq)).alias("ingested_at"),
-            F.lit(seq).cast("bigint").alias("seq"),
-            scope_of(F.col("dataset")).alias("scope"),
+            "*", F.sha2("text", 256).alias("sha256"), F.current_timestamp().alias("ingested_at"),
+            scope_of(F.col("dataset")).alias("scope"), part.alias("part"),
         )
-        self._write(rows, "docs")
-        # Chunks start from the written rows: sources are scanned and parsed once.
-        stored = self._table("docs").filter(F.col("seq") == seq).drop("sha256", "ingested_at")
-        chunks = self.embedder(mem.chunk_documents(stored))
-        self._write(chunks.select(*self._table("chunks").columns), "chunks")
+        return written(rows, "documents")
+
+    def _put(self, new: DataFrame, gone: DataFrame | None = None) -> None:
+        """Store written ``new`` rows and leave out the ``gone`` ones ``(dataset, doc_id, scope, part)``.
+
+        Without ``gone`` the parts of the new rows are theirs alone.
+        """
+        touched = new.select(*PARTITIONS)
+        if gone is not None:
+            # Also the new ids: an earlier call may have stored their chunks and then failed.
+            gone = written(gone.select(*ID, *PARTITIONS).unionByName(new.select(*ID, *PARTITIONS)).distinct(), "gone")
+            touched = gone.select(*PARTITIONS)
+        touched = written(touched.distinct(), "touched")
+        if touched.isEmpty():
+            return
+        made = {"chunks": self.embedder(mem.chunk_documents(new.drop("tag", "sha256", "ingested_at"))), "docs": new}
+        for table in ("chunks", "docs"):
+            rows = made[table].select(*self._table(table).columns)
+            if gone is not None:
+                kept = pt.inside(self._table(table), touched, PARTITIONS)
+                rows = rows.unionByName(sized_join(kept, gone, [*ID, *PARTITIONS], "left_anti"))
+            pt.replace(rows, f"{self.root}/{table}", TABLES[table], touched, PARTITIONS, ["doc_id"])
+
+    def ingest(self, docs: DataFrame, replace: bool = False, label: str | None = None) -> None:
+        """Store documents and their chunks; documents of the same ids are replaced.
+
+        With ``replace``, whatever else was stored of their paths is forgotten too.  A ``label`` names what is
+        stored as a part of its own, which a repeated call writes again; it compares nothing with
+        what is there, so its cost does not grow with the memory.
+        """
+        new = self._rows(docs, label)
+        if label is not None:
+            return self._put(new)
+        held = sized_join(self._table("docs").select(*ID, "path", *PARTITIONS), new.select("scope").distinct(), ["scope"], "left_semi")
+        gone = sized_join(held, new.select(*ID), list(ID), "left_semi")
         if replace:
-            earlier = self._table("docs").filter(F.col("seq") < seq).select("dataset", "doc_id", "path")
-            same_id = sized_join(earlier, stored.select("dataset", "doc_id"), ["dataset", "doc_id"], "left_semi")
-            paths = stored.filter(F.col("path").isNotNull()).select("dataset", "path").distinct()
-            self._bury(same_id.unionByName(sized_join(earlier, paths, ["dataset", "path"], "left_semi")), seq - 1)
-        return seq
-
-    def _taken(self, seq: int | None) -> int:
-        if seq is None:
-            return self._number()
-        self._claim(seq)
-        return seq
+            paths = new.filter(F.col("path").isNotNull()).select("dataset", "path").distinct()
+            gone = gone.unionByName(sized_join(held, paths, ["dataset", "path"], "left_semi"))
+        self._put(new, gone)
 
     def refresh(
         self,
         docs: DataFrame,
         datasets: Sequence[str] | None = None,
-        seq: int | None = None,
         kinds: Sequence[str] | None = None,
         unread: DataFrame | None = None,
-    ) -> int:
+    ) -> None:
         """Make the datasets hold exactly ``docs``; unchanged documents are left alone.
 
         By default those are the datasets that occur in ``docs``; a list spares the
@@ -232,75 +169,66 @@ class MemoryStore:
 
         The documents are made once, and written; keys and hashes are compared.
         """
-        seq = self._taken(seq)
-        key = ["dataset", "doc_id"]
-        at = f"{self.root}/changes/seq={seq}"
-        safe = docs.select(*key, "kind", "path", tag_of(docs), tx.redact(F.col("text")).alias("text"))
-        safe.withColumn("sha256", F.sha2("text", 256)).write.mode("overwrite").parquet(f"{at}/docs")
-        made = self.spark.read.parquet(f"{at}/docs")
-        held = self.docs(datasets)
+        made = self._rows(docs)
+        held = self.docs(datasets).select(*ID, "kind", "path", "sha256", *PARTITIONS)
         if datasets is None:
             held = sized_join(held, made.select("dataset").distinct(), ["dataset"], "left_semi")
-        diff = snapshot_diff(held.select(*key, "sha256"), made.select(*key, "sha256"), key, "sha256")
+        diff = snapshot_diff(held.select(*ID, "sha256"), made.select(*ID, "sha256"), ID, "sha256")
         # Written out: the decision must not be taken again after the store has changed.
-        diff.filter(F.col("change_type") != "unchanged").write.mode("overwrite").parquet(f"{at}/diff")
-        changed = self.spark.read.schema("dataset STRING, doc_id STRING, change_type STRING").parquet(f"{at}/diff")
-        absent = sized_join(held.select(*key, "kind", "path"), changed.filter("change_type = 'deleted'").select(*key), key, "left_semi")
+        changed = written(diff.filter(F.col("change_type") != "unchanged"), "changes")
+        old = sized_join(held, changed, list(ID), "inner")
+        absent = old.filter("change_type = 'deleted'")
         if kinds is not None:
             absent = absent.filter(F.col("kind").isin(*kinds))
         if unread is not None:
             below = F.concat(F.regexp_replace("u.path", "/$", ""), F.lit("/"))
             inside = (F.col("a.path") == F.col("u.path")) | F.startswith(F.col("a.path"), below) | F.col("u.path").isin("", ".")
             absent = absent.alias("a").join(unread.alias("u"), (F.col("a.dataset") == F.col("u.dataset")) & F.coalesce(inside, F.lit(False)), "left_anti")
-        self._bury(absent.select(*key).unionByName(changed.filter("change_type = 'modified'").select(*key)), seq - 1)
-        fresh = changed.filter(F.col("change_type") != "deleted").select(*key)
-        self.ingest(sized_join(made.drop("sha256"), fresh, key, "left_semi"), seq)
-        files, _, path = self._files(f"changes/seq={seq}")
-        files.delete(path, True)
-        return seq
-
-    def log_decision(self, text: str, at: int | None = None) -> int:
+        gone = absent.unionByName(old.filter("change_type = 'modified'"))
+        fresh = changed.filter(F.col("change_type") != "deleted").select(*ID)
+        self._put(written(sized_join(made, fresh, list(ID), "left_semi"), "fresh"), gone)
+
+    def log_decision(self, text: str, at: int | None = None) -> None:
         """Store one decision; ``at`` is epoch seconds."""
         if not text:
             raise ValueError("a decision cannot be empty")
-        at = at or int(time.time())
-        one = self.spark.createDataFrame([(time.time_ns(), text)], "id BIGINT, text STRING")
-        return self.ingest(mem.decision_docs(one.withColumn("ts", F.timestamp_seconds(F.lit(at)))))
+        at, number = at or int(time.time()), time.time_ns()
+        one = self.spark.createDataFrame([(number, text)], "id BIGINT, text STRING")
+        self.ingest(mem.decision_docs(one.withColumn("ts", F.timestamp_seconds(F.lit(at)))), label=f"decision-{number}")
+
+    def settle(self) -> None:
+        """Move what was stored under labels into the hash buckets, so that small parts do not pile up."""
+        loose = self._table("docs").filter(~F.rlike("part", F.lit("^[0-9]+$")))
+        loose = written(loose, "loose")
+        part = pt.bucket(self.buckets, F.col("dataset"), F.coalesce("path", "doc_id"))
+        self._put(written(loose.withColumn("part", part), "settled"), loose)
 
     # ---- forgetting -------------------------------------------------------------------
 
-    def _bury(self, ids: DataFrame, up_to: int | None = None) -> None:
-        up_to = self._number() if up_to is None else up_to
-        self._write(ids.select("dataset", "doc_id", F.lit(up_to).cast("bigint").alias("up_to")).distinct(), "tombstones")
+    def _forget(self, gone: DataFrame) -> None:
+        self._put(self.spark.createDataFrame([], DOCS), gone)
 
-    def forget_dataset(self, name: str, up_to: int | None = None) -> None:
+    def forget_dataset(self, name: str) -> None:
         """An unknown name is no error."""
-        up_to = self._number() if up_to is None else up_to
-        self._write(self.spark.createDataFrame([(name, up_to)], FORGOTTEN).coalesce(1), "forgotten")
+        self._forget(self.docs([name]))
 
-    def forget_files(self, paths: Sequence[str] | DataFrame, up_to: int | None = None) -> None:
+    def forget_files(self, paths: Sequence[str] | DataFrame) -> None:
         """Documents of exactly these paths, of every kind and dataset; ``paths`` is a list or a table ``path``."""
         rows = self._table("docs")
         if isinstance(paths, DataFrame):
-            self._bury(sized_join(rows, paths.select("path").distinct(), ["path"], "left_semi"), up_to)
+            self._forget(sized_join(rows, paths.select("path").distinct(), ["path"], "left_semi"))
         else:
-            self._bury(rows.filter(F.col("path").isin(*paths)), up_to)
+            self._forget(rows.filter(F.col("path").isin(*paths)))
 
-    def forget_tags(self, tags: Sequence[str], up_to: int | None = None) -> None:
+    def forget_tags(self, tags: Sequence[str]) -> None:
         """Documents with one of these tags."""
-        self._bury(self._table("docs").filter(F.col("tag").isin(*tags)), up_to)
+        self._forget(self._table("docs").filter(F.col("tag").isin(*tags)))
 
-    def forget_file_substring(self, path: str, up_to: int | None = None) -> None:
+    def forget_file_substring(self, path: str) -> None:
         """Every document that mentions the path, and the dataset named after it."""
-        found = self._table("docs").filter(mem.mentions_file(path, F.col("text"), F.col("path")))
-        self._bury(found, up_to)
-        self.forget_dataset(path.translate(str.maketrans("/\\. ", "____")), up_to)
+        named = F.col("dataset") == path.translate(str.maketrans("/\\. ", "____"))
+        self._forget(self._table("docs").filter(mem.mentions_file(path, F.col("text"), F.col("path")) | named))
 
     def forget_all(self) -> None:
-        """An empty version; the files of the old one are removed."""
-        self._start_version(self.version() + 1)
-
-    def compact(self) -> None:
-        """Write what is alive as the next version, under one ingest number and without tombstones."""
-        one = F.lit(self._number()).cast("bigint")
-        self._start_version(self.version() + 1, docs=self.docs().withColumn("seq", one), chunks=self.chunks().withColumn("seq", one))
+        for table, schema in TABLES.items():
+            pt.clear(self.spark, f"{self.root}/{table}", schema, PARTITIONS)

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.operators.joins import sized_join
 from codemem.operators.memory import decision_docs
 from codemem.plans.store import MemoryStore
 
+
 def stream_decisions(decisions: DataFrame, store: MemoryStore, checkpoint: str) -> None:
     """Remember a streaming ``decisions(id, ts, text)`` until it is drained.
 
-    Each batch drops what the memory already holds and stores the rest, whatever its
-    time: a decision is never too late.  A batch that is run again after a failure finds
-    its own documents there, or writes them under a new number.
+    Which ids have been seen is the stream's own keyed state, without a time after which it forgets: a
+    decision is never too late and a repeated one never enters twice.  A batch is stored as a part that
+    bears its number.  It reads nothing of what is stored, and when it is run again after a
+    failure it writes the same part again, documents and chunks.
     """
+    name = f"stream-{zlib.crc32(checkpoint.encode()):08x}"
 
-    def remember(batch: DataFrame, _: int) -> None:
-        docs = decision_docs(batch).dropDuplicates(["doc_id"])
-        known = store.docs().filter(F.col("kind") == "decision").select("doc_id")
-        fresh = sized_join(docs, known, ["doc_id"], "left_anti")
-        store.ingest(fresh)
+    def remember(batch: DataFrame, number: int) -> None:
+        store.ingest(batch, label=f"{name}-{number:010d}")
 
-    query = decisions.writeStream.foreachBatch(remember).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = decision_docs(decisions).dropDuplicates(["doc_id"])
+    query = new.writeStream.foreachBatch(remember).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 

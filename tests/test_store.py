@@ -49,9 +49,9 @@ def test_secrets_never_reach_the_store(store, frame):
 
 
 def test_ingest_can_be_repeated(store, first):
-    store.ingest(first, seq=10)
-    store.ingest(first, seq=10)
-    assert store.docs().count() == 5
+    store.ingest(first)
+    store.ingest(first)
+    assert store.docs().count() == store.chunks().count() == 5
 
 
 def test_ingest_raises_on_failure(store, frame):
@@ -77,11 +77,11 @@ def test_forget_by_substring(store, first):
 
 
 def test_forget_dataset_and_remember_again(store, first):
-    store.ingest(first, seq=10)
-    store.forget_dataset("unknown", up_to=11)
-    store.forget_dataset("codemem_a", up_to=11)
-    assert {d for d, _ in ids(store.docs())} == {"codemem_b"}
-    store.ingest(first.filter("path = 'b.py'"), seq=12)
+    store.ingest(first)
+    store.forget_dataset("unknown")
+    store.forget_dataset("codemem_a")
+    assert {d for d, _ in ids(store.docs())} == {"codemem_b"} == {d for d, _ in ids(store.chunks())}
+    store.ingest(first.filter("path = 'b.py'"))
     assert ids(store.docs()) == {("codemem_a", "file:b.py"), ("codemem_b", "file:c.py")}
 
 
@@ -93,34 +93,96 @@ def test_forget_undoes_ingest(store, first):
     assert ids(store.chunks()) == before
 
 
+def times(store):
+    return {r.doc_id: r.ingested_at for r in store.docs().filter("dataset = 'codemem_a'").collect()}
+
+
 def test_refresh_holds_exactly_the_new_scan(store, first, frame):
-    store.ingest(first, seq=10)
+    store.ingest(first)
+    before = times(store)
     again = frame([doc("a.py", "alpha beta"), doc("b.py", "gamma two"), doc("n.py", "new")], SCHEMA)
-    store.refresh(again, ["codemem_a"], seq=20)
-    got = {(r.doc_id, r.text, r.seq) for r in store.docs().filter("dataset = 'codemem_a'").collect()}
-    assert got == {
-        ("file:a.py", "File Path: a.py\nalpha beta", 10),
-        ("file:b.py", "File Path: b.py\ngamma two", 20),
-        ("file:n.py", "File Path: n.py\nnew", 20),
-    }
+    store.refresh(again, ["codemem_a"])
+    got = {(r.doc_id, r.text) for r in store.docs().filter("dataset = 'codemem_a'").collect()}
+    assert got == {("file:a.py", "File Path: a.py\nalpha beta"), ("file:b.py", "File Path: b.py\ngamma two"), ("file:n.py", "File Path: n.py\nnew")}
+    assert {i for _, i in ids(store.chunks(["codemem_a"]))} == {i for i, _ in got}
+    after = times(store)
+    assert after["file:a.py"] == before["file:a.py"] and after["file:b.py"] > before["file:b.py"]
     assert store.docs().filter("dataset = 'codemem_b'").count() == 1
-    store.refresh(again, ["codemem_a"], seq=30)
-    assert store.docs().agg(F.max("seq")).first()[0] == 20
+    store.refresh(again, ["codemem_a"])
+    assert times(store) == after
 
 
 def test_refresh_of_the_datasets_at_hand(store, first, frame):
-    store.ingest(first, seq=10)
-    store.refresh(frame([doc("a.py", "alpha beta")], SCHEMA), seq=20)
+    store.ingest(first)
+    store.refresh(frame([doc("a.py", "alpha beta")], SCHEMA))
     assert ids(store.docs()) == {("codemem_a", "file:a.py"), ("codemem_b", "file:c.py")}
-    store.refresh(frame([], SCHEMA), ["codemem_a"], seq=30)
+    store.refresh(frame([], SCHEMA), ["codemem_a"])
     assert ids(store.docs()) == {("codemem_b", "file:c.py")}
 
 
 def test_replacing_ingest(store, first, frame):
-    store.ingest(first, seq=10)
-    store.ingest(frame([doc("b.py", "gamma three"), doc("new.py", "n")], SCHEMA), seq=20, replace=True)
-    got = {(r.doc_id, r.seq) for r in store.docs().filter("dataset = 'codemem_a' and kind = 'file'").collect()}
-    assert got == {("file:a.py", 10), ("file:a.py.bak", 10), ("file:b.py", 20), ("file:new.py", 20)}
+    store.ingest(first)
+    before = times(store)
+    store.ingest(frame([doc("b.py", "gamma three"), doc("new.py", "n")], SCHEMA), replace=True)
+    after = times(store)
+    assert set(after) == {"file:a.py", "comment:a.py", "file:a.py.bak", "file:b.py", "file:new.py"}
+    assert after["file:a.py"] == before["file:a.py"] and after["file:b.py"] > before["file:b.py"]
+
+
+def test_a_document_that_changes_its_path_is_stored_once(store, first):
+    store.ingest(first)
+    moved = first.filter("doc_id = 'file:b.py'").withColumn("path", F.lit("elsewhere/b.py"))
+    store.ingest(moved)
+    assert {r.path for r in store.docs().filter("doc_id = 'file:b.py'").collect()} == {"elsewhere/b.py"}
+    store.refresh(moved.withColumn("path", F.lit("third/b.py")).withColumn("text", F.lit("other")))
+    assert [r.path for r in store.docs(["codemem_a"]).collect()] == ["third/b.py"] == [r.path for r in store.chunks(["codemem_a"]).collect()]
+
+
+def files_of(store, table):
+    import glob
+    return set(glob.glob(f"{store.root}/{table}/*/*/*.parquet"))
+
+
+def test_only_buckets_with_a_change_are_written(store, first, frame):
+    many = frame([doc(f"f{i}.py", f"text {i}") for i in range(60)], SCHEMA)
+    store.ingest(many)
+    before = files_of(store, "docs"), files_of(store, "chunks")
+    store.refresh(many.withColumn("text", F.when(F.col("path") == "f7.py", "changed").otherwise(F.col("text"))))
+    for old, table in zip(before, ("docs", "chunks")):
+        assert len(old) == store.buckets and len(old & files_of(store, table)) == store.buckets - 1
+    store.refresh(many.withColumn("text", F.when(F.col("path") == "f7.py", "changed").otherwise(F.col("text"))))
+    assert len(files_of(store, "docs") & before[0]) == store.buckets - 1
+
+
+@pytest.mark.parametrize("table", ["chunks", "docs"])
+def test_a_failed_write_is_made_up_for(store, first, monkeypatch, table):
+    from codemem.plans import store as module
+
+    replace = module.pt.replace
+    def fails(rows, path, *rest):
+        if path.endswith(table):
+            raise OSError("disk")
+        replace(rows, path, *rest)
+
+    monkeypatch.setattr(module.pt, "replace", fails)
+    with pytest.raises(OSError):
+        store.refresh(first)
+    monkeypatch.setattr(module.pt, "replace", replace)
+    store.refresh(first)
+    assert store.docs().count() == store.chunks().count() == 5
+
+
+def test_labels_are_parts_of_their_own(store, first, monkeypatch):
+    store.ingest(first.filter("path = 'a.py'"), label="batch-1")
+    store.ingest(first.filter("path <> 'a.py'"), label="batch-2")
+    store.ingest(first.filter("path = 'a.py'"), label="batch-1")
+    assert store.docs().count() == store.chunks().count() == 5
+    held = {(r.doc_id, r.ingested_at) for r in store.docs().collect()}
+    store.settle()
+    assert store.docs().count() == store.chunks().count() == 5 and {(r.doc_id, r.ingested_at) for r in store.docs().collect()} == held
+    assert store.docs().filter("part like 'batch%'").count() == 0
+    store.forget_files(["b.py"])
+    assert store.docs().count() == store.chunks().count() == 4
 
 
 def test_batch_recall(store, first, frame):
@@ -141,38 +203,20 @@ def test_decisions_are_found_with_the_project(store, first):
     assert top.dataset == "adr_decision_1704067207" and top.text.startswith("Architectural Decision Record:\n")
 
 
-def test_compaction_and_forget_all(store, first):
+def test_forget_all(store, first):
     store.ingest(first)
-    store.forget_files(["b.py"])
-    before = {tuple(r) for r in store.docs().select("doc_id", "text").collect()}
-    chunks = ids(store.chunks())
-    store.compact()
-    assert store.version() == 2
-    assert {tuple(r) for r in store.docs().select("doc_id", "text").collect()} == before and ids(store.chunks()) == chunks
-    assert store.docs().select("seq").distinct().count() == 1 and not store._files("v1")[1]
-    assert store._table("tombstones").count() == 0
     other = MemoryStore(store.spark, store.root)
-    assert other.version() == 2 and other.docs().count() == 4
+    assert other.docs().count() == 5
     store.forget_all()
-    assert store.docs().count() == store.chunks().count() == 0
-    assert other.reopen().docs().count() == 0 and not store._files("v2")[1]
+    assert store.docs().count() == store.chunks().count() == other.docs().count() == 0
+    assert not files_of(store, "docs") and not files_of(store, "chunks")
 
 
 def test_creating_again_opens_what_is_there(store, first):
     store.ingest(first)
     assert MemoryStore(store.spark, store.root).create().docs().count() == 5
     store.forget_all()
-    again = MemoryStore(store.spark, store.root).create()
-    assert again.version() == 2 and again.docs().count() == 0
-
-
-def test_numbers_rise_whatever_the_clock_says(store, first, monkeypatch):
-    store.ingest(first)
-    monkeypatch.setattr("codemem.plans.store.time.time_ns", lambda: 1000)
-    store.forget_files(["b.py"])
-    store.ingest(first.filter("path = 'c.py'"), replace=True)
-    assert {r.path for r in store.docs().collect()} == {"a.py", "a.py.bak", "c.py"}
-    assert not store._claim(store._number())
+    assert MemoryStore(store.spark, store.root).create().docs().count() == 0
 
 
 def test_a_replaced_file_loses_its_old_comments(store, first, frame):

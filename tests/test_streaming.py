@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from codemem.plans.store import MemoryStore
 from codemem.session import work_dir
 from codemem.streaming import decisions as sd
@@ -23,3 +25,41 @@ def test_decisions_arrive_once_across_runs(spark, frame, tmp_path):
     run()
     assert result() == [("decision:1", "a"), ("decision:3", "c"), ("decision:4", "d"), ("decision:5", "late")]
     assert store.recall("late", 1).first().doc_id == "decision:5"
+
+
+def test_a_batch_that_failed_loses_nothing(spark, frame, tmp_path, monkeypatch):
+    """Chunks fail once, then documents once; the batch is run again each time."""
+    from codemem.plans import store as module
+
+    source, at = str(tmp_path / "in"), work_dir(spark, "test-stream")
+    store = MemoryStore(spark, f"{at}/memory").create()
+    frame([(i, dt.datetime(2024, 1, 1), f"decision {i}") for i in range(2)], "id BIGINT, ts TIMESTAMP, text STRING").write.parquet(source)
+    run = lambda: sd.stream_decisions(sd.read_stream(spark, source, "*.parquet"), store, f"{at}/check")
+    replace = module.pt.replace
+    for table in ("chunks", "docs"):
+        def fails(rows, path, *rest):
+            if path.endswith(table):
+                raise OSError("disk")
+            replace(rows, path, *rest)
+
+        monkeypatch.setattr(module.pt, "replace", fails)
+        with pytest.raises(Exception):
+            run()
+    monkeypatch.setattr(module.pt, "replace", replace)
+    run()
+    assert store.docs().count() == store.chunks().count() == 2
+    assert {r.doc_id for r in store.recall("decision", 5).collect()} == {"decision:0", "decision:1"}
+
+
+def test_a_batch_reads_nothing_of_what_is_stored(spark, frame, tmp_path, monkeypatch):
+    source, at = str(tmp_path / "in"), work_dir(spark, "test-stream")
+    store = MemoryStore(spark, f"{at}/memory").create()
+    frame([(1, dt.datetime(2024, 1, 1), "a")], "id BIGINT, ts TIMESTAMP, text STRING").write.parquet(source)
+    read = []
+    table = MemoryStore._table
+    monkeypatch.setattr(MemoryStore, "_table", lambda self, name: read.append(name) or table(self, name).limit(0))
+    monkeypatch.setattr(MemoryStore, "docs", lambda *a: pytest.fail("stored documents were read"))
+    sd.stream_decisions(sd.read_stream(spark, source, "*.parquet"), store, f"{at}/check")
+    monkeypatch.undo()
+    # Only the tables' column names are asked for.
+    assert set(read) == {"docs", "chunks"} and store.docs().count() == 1
