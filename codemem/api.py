@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codemem.operators import files as fi, graph as gr, imports as im, memory as mem, symbols as sy
 from codemem.plans import remember as rm
+from codemem.plans.graph_store import GraphStore
 from codemem.plans.store import MemoryStore
 from codemem.session import written
 from codemem.sources import tree
@@ -19,9 +20,11 @@ class CodeMemory:
     def __init__(self, spark: SparkSession, root: str, embedder: mem.Embedder | None = None):
         self.spark = spark
         self.store = MemoryStore(spark, root, embedder)
+        self.structure = GraphStore(spark, f"{self.store.root}/structure")
 
     def create(self) -> CodeMemory:
         self.store.create()
+        self.structure.create()
         return self
 
     # ---- input ------------------------------------------------------------------------
@@ -126,6 +129,13 @@ class CodeMemory:
 
     # ---- structure --------------------------------------------------------------------
 
+    def refresh_structure(self, files: DataFrame, repos: Sequence[str] | None = None) -> None:
+        """Bring the stored graph up to date with a scan; only new and different files are parsed.
+
+        ``structure`` then gives its symbols, nodes, edges, counters, digest and imports.
+        """
+        self.structure.refresh(files, repos)
+
     @staticmethod
     def symbols(files: DataFrame) -> DataFrame:
         """Symbol table of a scan.  Write it out before building several views on it."""

@@ -627,6 +627,7 @@ UNION ALL SELECT 'adr_decision', 'decision', ts FROM decisions WHERE text <> '')
 
     # graph
     sql["graph_nodes"] = _with_graph("SELECT repo, id, grp, label, title, path, shape, size FROM nodes")
+    sql["graph_refresh"] = sql["graph_nodes"]
     sql["graph_edges"] = _with_graph("SELECT repo, src, dst, label FROM edges")
     sql["graph_stats"] = _with_symbols(
         """SELECT count(*) AS total_files, CAST(sum(len(classes)) AS BIGINT) AS total_classes,

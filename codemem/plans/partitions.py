@@ -34,19 +34,24 @@ def rows_of(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).filter(F.col(key).isNotNull())
 
 
-def inside(rows: DataFrame, touched: DataFrame, by: Sequence[str]) -> DataFrame:
+def names(touched: DataFrame, by: Sequence[str]) -> dict[str, list[str]]:
+    """The names that occur in the touched partitions, level by level."""
+    row = touched.agg(*[F.collect_set(name).alias(name) for name in by]).first()
+    return {name: sorted(row[name]) for name in by}
+
+
+def inside(rows: DataFrame, touched: DataFrame, known: dict[str, list[str]]) -> DataFrame:
     """Rows of the touched partitions; the scan lists no others with a name that does not occur."""
-    for name in by:
-        values = [r[0] for r in touched.select(name).distinct().collect()]
+    for name, values in known.items():
         rows = rows.filter(F.col(name).isin(*values))
-    return sized_join(rows, touched.select(*by), list(by), "left_semi")
+    return sized_join(rows, touched, list(known), "left_semi")
 
 
 def replace(rows: DataFrame, path: str, schema: str, touched: DataFrame, by: Sequence[str], order: Sequence[str]) -> None:
-    """The touched partitions hold exactly ``rows`` from now on."""
+    """The ``touched`` partitions, one row each, hold exactly ``rows`` from now on."""
     fields = StructType.fromDDL(schema).fields
     none = [F.col(f.name) if f.name in by else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
-    whole = rows.select(*[f.name for f in fields]).unionByName(touched.select(*by).distinct().select(*none))
+    whole = rows.select(*[f.name for f in fields]).unionByName(touched.select(*none))
     # Rebalancing cuts a partition that holds most rows into several files and merges the small
     # ones.  Sorted ids let a look-up of single rows skip most row groups.
     out = whole.hint("rebalance", *by).sortWithinPartitions(*by, *order)

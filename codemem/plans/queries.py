@@ -21,6 +21,7 @@ from codemem.operators import (
     symbols as sy,
 )
 from codemem.plans import remember as rm
+from codemem.plans.graph_store import GraphStore
 from codemem.plans.store import MemoryStore
 from codemem.plans.vector_index import VectorIndex
 from codemem.plans.views import Tables
@@ -669,6 +670,22 @@ def prune_stale(spark: SparkSession, sf: str) -> DataFrame:
     return gr.prune_stale(gr.graph_nodes(_symbols(spark, sf)), current).select("repo", "id")
 
 
+@register
+def graph_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the stored graph of an earlier state, refreshed with the scan of today.
+
+    Before, some files stood elsewhere, some read otherwise and some did not exist.
+    """
+    code = _code(spark, sf)
+    moved = F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    edited = F.when(F.col("doc_id") % 10 == 0, F.concat("content", F.lit("\nclass Earlier: pass"))).otherwise(F.col("content"))
+    before = code.filter(F.col("doc_id") % 13 != 0).select("repo", moved.alias("path"), edited.alias("content"))
+    graph = GraphStore(spark, f"{work_dir(spark, 'graph')}/graph").create()
+    graph.refresh(before)
+    graph.refresh(code.select("repo", "path", "content"))
+    return graph.nodes().select("repo", "id", "grp", "label", "title", "path", "shape", F.col("size").cast("bigint").alias("size"))
+
+
 @register
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)

@@ -32,7 +32,7 @@ CHUNKS = (
 TABLES = {"docs": DOCS, "chunks": CHUNKS}
 PARTITIONS = ("scope", "part")
 ID = ("dataset", "doc_id")
-BUCKETS = 8
+BUCKETS = 4
 DECISIONS = mem.DECISION_DATASET.rstrip("_")
 
 
@@ -126,13 +126,14 @@ class MemoryStore:
             gone = written(gone.select(*ID, *PARTITIONS).unionByName(new.select(*ID, *PARTITIONS)).distinct(), "gone")
             touched = gone.select(*PARTITIONS)
         touched = written(touched.distinct(), "touched")
-        if touched.isEmpty():
+        names = pt.names(touched, PARTITIONS)
+        if not names["part"]:
             return
         made = {"chunks": self.embedder(mem.chunk_documents(new.drop("tag", "sha256", "ingested_at"))), "docs": new}
         for table in ("chunks", "docs"):
             rows = made[table].select(*self._table(table).columns)
             if gone is not None:
-                kept = pt.inside(self._table(table), touched, PARTITIONS)
+                kept = pt.inside(self._table(table), touched, names)
                 rows = rows.unionByName(sized_join(kept, gone, [*ID, *PARTITIONS], "left_anti"))
             pt.replace(rows, f"{self.root}/{table}", TABLES[table], touched, PARTITIONS, ["doc_id"])
 

@@ -101,7 +101,9 @@ def test_imports_of_a_project(memory, project):
     (project / "page.py").write_text('import shop\nimport os\n\n\ndef page():\n    """The page of one shop."""\n')
     files = memory.scan(str(project))
     memory.remember(files)
-    symbols = memory.symbols(files)
+    memory.refresh_structure(files)
+    symbols = memory.structure.symbols()
+    assert {r.path for r in symbols.collect()} == {"main.py", "utils.py", "README.md", "page.py", "shop/__init__.py"}
     indirect = {(r.target, r.path, r.hops) for r in memory.importers(symbols, "utils.py", indirect=True).collect()}
     assert indirect == {("utils.py", "shop/__init__.py", 1), ("utils.py", "page.py", 2)}
     assert {r.path for r in memory.importers(symbols, "os").collect()} == {"page.py"}
