@@ -12,6 +12,7 @@ from codemem.plans.graph_store import GraphStore
 from codemem.plans.store import MemoryStore
 from codemem.session import written
 from codemem.sources import tree
+from codemem.streaming.files import stream_files
 
 
 class CodeMemory:
@@ -57,6 +58,14 @@ class CodeMemory:
         docs = rm.remember(files, commits, commit_files, changes)
         self.store.ingest(docs.withColumn("tag", F.lit(tag).cast("string")), replace=True)
 
+    def follow(self, root: str, checkpoint: str, repo: str | None = None, seconds: float | None = None, settle: float = 2) -> None:
+        """Remember what was added to a tree or changed in it since the last call with this checkpoint.
+
+        With ``seconds`` it goes on in that rhythm.  Files that vanish are left to ``refresh``.
+        """
+        found = tree.stream_tree(self.spark, root, repo, settle)
+        stream_files(found.select("repo", F.col("relative_path").alias("path"), "content"), self.store, checkpoint, seconds)
+
     def refresh(self, files: DataFrame, commits: DataFrame | None = None, commit_files: DataFrame | None = None) -> None:
         """Bring the scanned repositories up to date; files that vanished are forgotten.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codemem.functions import text as tx
 from codemem.operators.joins import sized_join
-from codemem.sources.ignore import IgnoreRule, is_ignored
+from codemem.sources.ignore import IgnoreRule, ignored_paths, is_ignored
 
 # Folder names skipped at any depth.
 IGNORED_DIRS = (
@@ -69,6 +69,11 @@ def not_ignored(files: DataFrame, rules: Sequence[IgnoreRule], path: str = "path
     return files.filter(~is_ignored(F.col(path), rules))
 
 
+def not_ignored_by_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """Files that the rules of their own repository, a table as of ``ignore.rule_rows``, leave."""
+    return sized_join(files, ignored_paths(files, rules), ["repo", "path"], "left_anti")
+
+
 def substantial_files(files: DataFrame, content: str = "content") -> DataFrame:
     """Drop files with fewer than 15 characters of stripped text (before redaction)."""
     return files.filter(tx.is_substantial(F.col(content)))

@@ -390,6 +390,19 @@ verdicts AS (SELECT page_id, name, arg_max(negated, ord) AS negated
 SELECT page_id, path FROM paths WHERE page_id NOT IN (SELECT page_id FROM verdicts WHERE NOT negated)"""
 
 
+def _ignored_by_repo() -> str:
+    rules = [(repo, r) for repo, text in qs.RULE_FILES.items() for r in compile_rules(text.split("\n"))]
+    values = ", ".join(f"({lit(repo)}, {r.ord}, {lit(r.regex)}, {str(r.negated).lower()})" for repo, r in rules)
+    return f"""
+WITH rules(repo, ord, regex, negated) AS (VALUES {values}), paths AS ({view_sql('paths')}),
+parts AS (SELECT page_id, 'repo' || (page_id % 4) AS repo, path, string_split(path, '/') AS s FROM paths),
+names AS (SELECT page_id, repo, unnest(list_transform(range(1, len(s) + 1),
+  lambda i: array_to_string(s[1:i], '/') || CASE WHEN i < len(s) THEN '/' ELSE '' END)) AS name FROM parts),
+verdicts AS (SELECT page_id, name, arg_max(negated, ord) AS negated
+  FROM names JOIN rules ON rules.repo = names.repo AND regexp_matches(name, regex) GROUP BY page_id, name)
+SELECT page_id, repo, path FROM parts WHERE page_id NOT IN (SELECT page_id FROM verdicts WHERE NOT negated)""".strip()
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
 
@@ -410,6 +423,7 @@ WHERE {among('ext', fixed.TEXT_SUFFIXES)} AND length({strip('content')}) >= {fix
         f"OR {among(BASE_NAME, fixed.EXPLICIT_FILES)}",
     )
     sql["filter_gitignore"] = _ignored_names().strip()
+    sql["filter_gitignore_by_repo"] = _ignored_by_repo()
     sql["decode_text"] = (
         "SELECT doc_id, replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
         " || 'é' || chr(10) || 'end' AS content FROM documents"
@@ -465,6 +479,7 @@ ON n.repo = d.repo AND n.path = d.path WHERE d.change_type IN ('added', 'modifie
             )
         ),
     )
+    sql["py_symbols_sql"] = sql["py_symbols"]
     sql["py_bases"] = with_views(["code_files"], f"SELECT path, 'Child' || doc_id AS class, 'Base' || doc_id AS base {py}")
     sql["py_methods"] = with_views(
         ["code_files"],
@@ -619,10 +634,11 @@ SELECT doc_id, text FROM (SELECT doc_id, text, k, row_number() OVER (PARTITION B
         f"(SELECT * FROM decisions WHERE text <> '' ORDER BY decisions.ts DESC, id DESC LIMIT {qs.TIMELINE_ROWS}) d",
     )
     sql["memory_status"] = with_views(
-        ["commits", "decisions"],
+        ["commits", "decisions", "memory_docs"],
         f"""SELECT dataset, kind, count(*) AS n_docs, strftime(max(ingested), '%Y-%m-%d %H:%M:%S') AS last FROM (
 SELECT {dataset('repo')} AS dataset, 'commit' AS kind, authored_ts AS ingested FROM commits
-UNION ALL SELECT 'adr_decision', 'decision', ts FROM decisions WHERE text <> '') GROUP BY dataset, kind""",
+UNION ALL SELECT 'adr_decision', 'decision', ts FROM decisions WHERE text <> ''
+UNION ALL SELECT dataset, kind, make_timestamp((1700000000 + doc_no) * 1000000) FROM memory_docs) GROUP BY dataset, kind""",
     )
 
     # graph

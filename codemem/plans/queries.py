@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemem.functions import text as tx, vectors as vx
+from codemem.functions import tables, text as tx, vectors as vx
 from codemem.operators import (
     comments as cm,
     commits as ci,
@@ -45,6 +45,12 @@ IGNORE_LINES = (
     "*.[tj]sx",
     "/www.*/en/**",
 )
+# Rule files of three repositories: the same names, with contrary rules; the fourth has none.
+RULE_FILES = {
+    "repo0": "\n".join(IGNORE_LINES),
+    "repo1": "*\n!*/\n!*.log\n!*.py\nnode_modules\n",
+    "repo2": "!*.log\n*.md\nlogs/\n!logs/keep/\n",
+}
 GRAPH_FILTER = "BASE1"
 RECALL_DATASET = "codemem_src0"
 FORGET_DATASETS = ("codemem_src1", "codemem_unknown")
@@ -147,6 +153,14 @@ def filter_gitignore(spark: SparkSession, sf: str) -> DataFrame:
     return fi.not_ignored(Tables(spark, sf).paths, ignore.compile_rules(IGNORE_LINES))
 
 
+@register
+def filter_gitignore_by_repo(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of four repositories, each under its own rules."""
+    paths = Tables(spark, sf).paths.select("page_id", F.concat(F.lit("repo"), (F.col("page_id") % 4).cast("string")).alias("repo"), "path")
+    scans = spark.createDataFrame([(r, ".gitignore", text) for r, text in RULE_FILES.items()], "repo STRING, path STRING, content STRING")
+    return fi.not_ignored_by_rules(paths, ignore.rule_rows(scans)).select("page_id", "repo", "path")
+
+
 @register
 def decode_text(spark: SparkSession, sf: str) -> DataFrame:
     crlf = F.replace(F.col("text"), F.lit("\n"), F.lit("\r\n"))
@@ -234,6 +248,17 @@ def py_symbols(spark: SparkSession, sf: str) -> DataFrame:
     return classes.select(*cols(F.lit(""))).unionByName(functions.select(*cols(_joined("args"))))
 
 
+@register
+def py_symbols_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by a table function in SQL."""
+    tables.register(spark)
+    _of(spark, sf, ".py").createOrReplaceTempView("codemem_python_files")
+    return spark.sql(
+        "SELECT f.path, s.module_docstring, s.kind, s.pos, s.name, s.args, s.docstring, s.lineno "
+        "FROM codemem_python_files f, LATERAL python_symbols(f.content) s WHERE s.kind IN ('class', 'function')"
+    )
+
+
 @register
 def py_bases(spark: SparkSession, sf: str) -> DataFrame:
     return sy.base_rows(_py(spark, sf))
@@ -606,7 +631,9 @@ def memory_status(spark: SparkSession, sf: str) -> DataFrame:
     logged = t.decisions.filter(F.col("text") != "").select(
         F.lit("adr_decision").alias("dataset"), F.lit("decision").alias("kind"), F.col("ts").alias("ingested_at")
     )
-    status = mem.memory_status(commits.unionByName(logged))
+    # A file's time is planted from its number.
+    files = t.memory_docs.select("dataset", "kind", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_no")).alias("ingested_at"))
+    status = mem.memory_status(commits.unionByName(logged).unionByName(files))
     return status.select("dataset", "kind", "n_docs", F.date_format("last_ingested_at", "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 

@@ -6,13 +6,11 @@ serves the executor-side walk, the column form and a SQL check.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, functions as F
-
-_META = set("\\.^$*+?{}[]|()")
-
+from pyspark.sql import Column, DataFrame, functions as F
 
 class IgnoreRule(NamedTuple):
     ord: int
@@ -22,83 +20,79 @@ class IgnoreRule(NamedTuple):
     dir_only: bool
 
 
-def _quote(char: str) -> str:
-    return "\\" + char if char in _META else char
-
-
-def _segment_regex(segment: str) -> str:
-    """One path segment with ``*``, ``?``, ``[…]`` and backslash escapes."""
-    if segment == "*":
-        return "[^/]+"
-    out, i = [], 0
-    while i < len(segment):
-        char = segment[i]
-        i += 1
-        if char == "*":
-            out.append("[^/]*")
-            while segment[i : i + 1] == "*":
-                i += 1
-        elif char == "?":
-            out.append("[^/]")
-        elif char == "\\" and i < len(segment):
-            out.append(_quote(segment[i]))
-            i += 1
-        elif char == "[":
-            first = i + (segment[i : i + 1] in ("!", "^"))
-            # A bracket right after the opening one is a member, not the end.
-            end = segment.find("]", first + 1)
-            if end < 0:
-                out.append("\\[")
-                continue
-            negate = "^" if first > i else ""
-            members = segment[first:end].replace("\\", "\\\\").replace("[", "\\[").replace("]", "\\]")
-            out.append(f"[{negate}{members.replace('^', chr(92) + '^')}]")
-            i = end + 1
-        else:
-            out.append(_quote(char))
-    return "".join(out)
-
-
-def _trim(line: str) -> str:
+# What the manual of the format gives a meaning, longest first; anything else stands for itself.
+_TOKENS = re.compile(
+    r"""
+    (?P<folders>(?:^|(?<=/))\*\*(?:/\*\*)*/)    # any folders, or none
+    | (?P<inside>(?:^|(?<=/))\*\*$)            # everything inside
+    | (?P<name>(?:^|(?<=/))\*(?=/|$))          # any one name
+    | (?P<some>\*+)                           # any characters of a name
+    | (?P<one>\?)
+    | (?P<escaped>\\.)
+    | \[(?P<not>[!^]?)(?P<set>\]?[^\]/]*)\]    # a closing bracket at the front is a member
+    | (?P<char>.)
+    """,
+    re.VERBOSE | re.DOTALL,
+)
+_IN_A_SET = str.maketrans({c: "\\" + c for c in "\\[]^"})
+
+
+def _literal(char: str) -> str:
+    return "\\" + char if char in r"\.^$*+?{}[]|()" else char
+
+
+def _translate(token: re.Match) -> str:
+    match token.lastgroup:
+        case "folders":
+            return "(?:.+/)?"
+        case "inside":
+            return ".*" if token.start() else ".+"
+        case "name":
+            return "[^/]+"
+        case "some":
+            return "[^/]*"
+        case "one":
+            return "[^/]"
+        case "set":
+            return f"[{'^' if token['not'] else ''}{token['set'].translate(_IN_A_SET)}]"
+        case _:
+            return _literal(token[0][-1])
+
+
+def _without_end_blanks(line: str) -> str:
     line = line.rstrip("\r\n")
     bare = line.rstrip(" \t")
     # A backslash keeps one trailing blank.
-    return bare + line[len(bare)] if bare.endswith("\\") and len(bare) < len(line) else bare
+    return line[: len(bare) + 1] if bare.endswith("\\") else bare
+
+
+def compile_rule(ord_: int, line: str) -> IgnoreRule | None:
+    """One pattern line, or None for a comment or a line without a name."""
+    pattern = _without_end_blanks(line)
+    if not pattern or pattern.startswith("#"):
+        return None
+    negated = pattern.startswith("!")
+    path = re.sub("/+", "/", pattern[negated:])
+    name = path.strip("/")
+    if not name:
+        return None
+    dir_only = path.endswith("/")
+    # A slash that is not the last character ties the pattern to the top.
+    anywhere = "" if "/" in path.removesuffix("/") else "(?:.+/)?"
+    body = _TOKENS.sub(_translate, name)
+    if name == "**" or name.endswith("/**"):
+        below = ""
+    else:
+        below = "/.*" if dir_only else "(?:/.*)?"
+    return IgnoreRule(ord_, pattern, f"(?s)^{'' if name == '**' else anywhere}{body}{below}$", negated, dir_only)
 
 
 def compile_rules(pattern_lines: Iterable[str]) -> list[IgnoreRule]:
     rules: list[IgnoreRule] = []
     for line in pattern_lines:
-        pattern = _trim(line)
-        if not pattern or pattern.startswith("#") or pattern == "/":
-            continue
-        negated = pattern.startswith("!")
-        body = pattern[1:] if negated else pattern
-        dir_only = body.endswith("/")
-        parts = [p for p in body.split("/") if p]
-        if not parts:
-            continue
-        anchored = "/" in body.rstrip("/")
-        if not anchored and parts[0] != "**":
-            parts.insert(0, "**")
-        regex, needs_slash = "", False
-        for at, part in enumerate(parts):
-            last = at == len(parts) - 1
-            if part == "**" and last:
-                regex += "/.+" if needs_slash else ".+"
-            elif part == "**" and not needs_slash:
-                regex += "(?:.+/)?"
-            elif part == "**":
-                regex += "(?:/.+)?"
-            else:
-                regex += ("/" if needs_slash else "") + _segment_regex(part)
-                needs_slash = True
-        if parts[-1] == "**":
-            # Everything below a folder, the folder itself included when listed with its slash.
-            regex = regex[: -len(".+")] + (".*" if needs_slash else ".+")
-        else:
-            regex += "/.*" if dir_only else "(?:/.*)?"
-        rules.append(IgnoreRule(len(rules), pattern, f"(?s)^{regex}$", negated, dir_only))
+        rule = compile_rule(len(rules), line)
+        if rule:
+            rules.append(rule)
     return rules
 
 
@@ -126,3 +120,36 @@ def is_ignored(path: Column, rules: Sequence[IgnoreRule]) -> Column:
     if not rules:
         return F.lit(False)
     return F.exists(ancestors_and_self(path), lambda p: matches_rules(p, rules))
+
+
+# ---- rules as a table -----------------------------------------------------------------
+
+RULES = "repo STRING, ord INT, pattern STRING, regex STRING, negated BOOLEAN"
+
+
+def rule_rows(files: DataFrame, name: str = ".gitignore") -> DataFrame:
+    """``repo, ord, pattern, regex, negated``: the lines of each repository's rule file at its top.
+
+    ``files(repo, path, content)`` is a scan.
+    """
+
+    @F.udf("array<struct<ord:int,pattern:string,regex:string,negated:boolean>>")
+    def compiled(content):
+        return [(r.ord, r.pattern, r.regex, r.negated) for r in compile_rules((content or "").split("\n"))]
+
+    found = files.filter(F.col("path") == name).select("repo", compiled("content").alias("rules"))
+    return found.select("repo", F.explode("rules").alias("r")).select("repo", "r.*")
+
+
+def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """``repo, path`` of the files that their own repository's ``rules`` hide.
+
+    Every different name, a file's or a folder's, is tested once against the rules of its repository: the
+    last rule that matches it decides.  A folder that is hidden hides all below it.
+    """
+    named = files.select("repo", "path", F.explode(ancestors_and_self(F.col("path"))).alias("name"))
+    names = named.select("repo", "name").distinct()
+    tested = names.alias("n").join(rules.alias("r"), (F.col("n.repo") == F.col("r.repo")) & F.rlike(F.col("n.name"), F.col("r.regex")))
+    verdicts = tested.groupBy("n.repo", "n.name").agg(F.max_by("r.negated", "r.ord").alias("shown"))
+    hidden = verdicts.filter(~F.col("shown")).select("repo", "name")
+    return named.join(hidden, ["repo", "name"], "left_semi").select("repo", "path").distinct()

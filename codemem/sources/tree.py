@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import os
 import re
+import time
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from codemem.operators.files import EXPLICIT_FILES, IGNORED_DIRS, TEXT_SUFFIXES
 from codemem.session import mounted
@@ -104,6 +105,49 @@ class TreeReader(DataSourceReader):
                     yield (self.repo, self.root, self._relative(entry.path), size, None)
 
 
+class ChangedSlice(InputPartition):
+    """Folders to list for files that changed after one time and not after another."""
+
+    def __init__(self, part: TreeSlice, after: int, until: int):
+        self.part, self.after, self.until = part, after, until
+
+
+class TreeStreamReader(DataSourceStreamReader):
+    """Files of a tree as they are added and changed.
+
+    An offset is a time of the file system, so nothing has to be remembered about files: a batch is what
+    changed after the last offset and not after this one.  A file's change time is set by the
+    system when its content is written and when it is moved here.  Offsets stay ``settle``
+    seconds behind the clock, so that a write in progress falls into a later batch as a whole.
+    """
+
+    def __init__(self, reader: TreeReader, settle: float):
+        self.reader, self.settle = reader, settle
+
+    def initialOffset(self) -> dict:
+        return {"time": 0}
+
+    def latestOffset(self) -> dict:
+        return {"time": time.time_ns() - int(self.settle * 1e9)}
+
+    def partitions(self, start: dict, end: dict) -> list[ChangedSlice]:
+        return [ChangedSlice(part, start["time"], end["time"]) for part in self.reader.partitions()]
+
+    def read(self, partition: ChangedSlice) -> Iterator[tuple]:
+        for row in self.reader.read(partition.part):
+            if row[-1] is not None:
+                continue  # a folder that cannot be listed now has its files in no batch
+            try:
+                changed = os.stat(os.path.join(row[1], row[2])).st_ctime_ns
+            except OSError:
+                continue
+            if partition.after < changed <= partition.until:
+                yield row
+
+    def commit(self, end: dict) -> None:
+        """Nothing is kept, so nothing is let go."""
+
+
 class TreeListing(DataSource):
     """``spark.read.format("codetree").option("root", …)``: one row per file to index."""
 
@@ -123,16 +167,18 @@ class TreeListing(DataSource):
             self.options.get("suffixes", ",".join(TEXT_SUFFIXES)).split(","),
         )
 
+    def streamReader(self, schema) -> TreeStreamReader:
+        return TreeStreamReader(self.reader(schema), float(self.options.get("settle", 2)))
 
-def list_tree(
-    spark: SparkSession, root: str, repo: str | None = None, slices: int | None = None, suffixes: Sequence[str] = TEXT_SUFFIXES
+
+def _listing(
+    spark: SparkSession, reader, root: str, repo: str | None = None, slices: int | None = None, suffixes: Sequence[str] = TEXT_SUFFIXES
 ) -> DataFrame:
-    """Listing of a tree in ``slices`` tasks, by default a few for each core of the cluster."""
     spark.dataSource.register(TreeListing)
     root = mounted(root)
     slices = slices or max(64, 4 * spark.sparkContext.defaultParallelism)
     return (
-        spark.read.format("codetree")
+        reader.format("codetree")
         .option("root", root)
         .option("repo", repo or os.path.basename(os.path.abspath(root)))
         .option("slices", str(slices))
@@ -141,6 +187,11 @@ def list_tree(
     )
 
 
+def list_tree(spark: SparkSession, root: str, repo: str | None = None, slices: int | None = None, suffixes: Sequence[str] = TEXT_SUFFIXES) -> DataFrame:
+    """Listing of a tree in ``slices`` tasks, by default a few for each core of the cluster."""
+    return _listing(spark, spark.read, root, repo, slices, suffixes)
+
+
 def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     fields = pa.schema([(n, pa.string()) for n in ("repo", "relative_path", "content", "error")])
     rows: list[tuple] = []
@@ -183,3 +234,10 @@ def read_tree(
     tasks = read_tasks or max(32, 4 * spark.sparkContext.defaultParallelism)
     listing = list_tree(spark, root, repo, slices, suffixes)
     return listing.repartition(tasks, "relative_path").mapInArrow(_read_batches, RAW_SCHEMA)
+
+
+def stream_tree(spark: SparkSession, root: str, repo: str | None = None, settle: float = 2, read_tasks: int | None = None) -> DataFrame:
+    """Stream of a tree's files with their text, as they are added and changed; removed ones do not show."""
+    tasks = read_tasks or max(32, 4 * spark.sparkContext.defaultParallelism)
+    listing = _listing(spark, spark.readStream.option("settle", str(settle)), root, repo)
+    return listing.repartition(tasks, "relative_path").mapInArrow(_read_batches, RAW_SCHEMA)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codemem.operators import files as fi
-from codemem.sources.ignore import compile_rules
+from codemem.sources.ignore import compile_rules, rule_rows
 
 
 def kept(frame, paths, operator):
@@ -86,3 +86,25 @@ def test_decoding_drops_invalid_bytes(frame):
     got = [r["content"] for r in fi.decode_utf8(rows).orderBy("i").collect()]
     want = [b.decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n") for b in raw]
     assert got == want
+
+
+def test_each_repository_has_its_own_rules(frame):
+    scan = [
+        ("a", ".gitignore", "*.log\r\n!keep.log\nout/\n# note\n"), ("b", ".gitignore", "keep.log\n!out/\n*\n!*.log\n"), ("c", "sub/.gitignore", "*"),
+        ("a", "x.log", ""), ("a", "keep.log", ""), ("a", "out/deep/f.py", ""), ("a", "f.py", ""),
+        ("b", "x.log", ""), ("b", "keep.log", ""), ("b", "out/f.log", ""), ("b", "f.py", ""),
+        ("c", "x.log", ""), ("c", "out/f.py", ""),
+    ]
+    files = frame(scan, "repo STRING, path STRING, content STRING")
+    rules = rule_rows(files)
+    assert {(r.repo, r.ord, r.negated) for r in rules.collect()} == {("a", 0, False), ("a", 1, True), ("a", 2, False), ("b", 0, False), ("b", 1, True), ("b", 2, False), ("b", 3, True)}
+    kept = {(r.repo, r.path) for r in fi.not_ignored_by_rules(files, rules).collect()}
+    assert kept == {
+        ("a", ".gitignore"), ("a", "keep.log"), ("a", "f.py"), ("b", "x.log"), ("b", "keep.log"),
+        ("c", "sub/.gitignore"), ("c", "x.log"), ("c", "out/f.py"),
+    }
+    for repo in "abc":
+        own = [r for r in scan if r[0] == repo]
+        lines = next((r[2] for r in own if r[1] == ".gitignore"), "").split("\n")
+        one = frame(own, "repo STRING, path STRING, content STRING")
+        assert {p for r, p in kept if r == repo} == {r.path for r in fi.not_ignored(one, compile_rules(lines)).collect()}

@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import time
 
 import pytest
 
@@ -63,3 +65,36 @@ def test_a_batch_reads_nothing_of_what_is_stored(spark, frame, tmp_path, monkeyp
     monkeypatch.undo()
     # Only the tables' column names are asked for.
     assert set(read) == {"docs", "chunks"} and store.docs().count() == 1
+
+
+def test_files_enter_once_as_they_change(spark, tmp_path):
+    from codemem.api import CodeMemory
+
+    root, at = tmp_path / "Shop", work_dir(spark, "test-follow")
+    (root / "lib").mkdir(parents=True)
+    (root / "lib" / "a.py").write_text("def first():\n    return 'one thing'\n")
+    (root / "b.md").write_text("# A note about shops\n")
+    (root / "c.bin").write_text("not a text file by its name")
+    memory = CodeMemory(spark, f"{at}/memory").create()
+
+    def follow():
+        time.sleep(0.2)
+        memory.follow(str(root), f"{at}/check", settle=0.1)
+        return {r.path: r.ingested_at for r in memory.store.docs().filter("kind = 'file'").collect()}
+
+    first = follow()
+    assert set(first) == {"lib/a.py", "b.md"}
+    assert follow() == first  # nothing changed
+    (root / "b.md").write_text("# Another note about shops\n")
+    (root / "lib" / "d.py").write_text("def new():\n    return 'new thing'  # TODO more\n")
+    old = tmp_path / "old.md"
+    old.write_text("# written long ago, moved here\n")
+    os.utime(old, (1, 1))
+    old.rename(root / "moved.md")
+    second = follow()
+    assert set(second) == {"lib/a.py", "b.md", "lib/d.py", "moved.md"}
+    assert second["lib/a.py"] == first["lib/a.py"] and second["b.md"] > first["b.md"]
+    assert "Another note" in memory.ask("note about shops", 1)
+    assert {r.kind for r in memory.store.docs().filter("path = 'lib/d.py'").collect()} == {"file", "comment"}
+    (root / "lib" / "a.py").unlink()
+    assert follow() == second

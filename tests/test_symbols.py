@@ -150,3 +150,19 @@ def test_symbol_tables(frame):
     assert [(r["class"], r.name) for r in sy.method_rows(rows).collect()] == [("Shape", "area")]
     assert [(r["class"], r.base) for r in sy.base_rows(rows).collect()] == [("Shape", "Base")]
     assert [r.module for r in sy.import_rows(rows).orderBy("pos").collect()] == ["os", "math.sqrt"]
+
+
+def test_symbols_in_sql(spark, frame):
+    from codemem.functions import tables
+
+    tables.register(spark)
+    text = '"""About."""\nimport os, sys\nclass A(B, c.D):\n    """One."""\n    def m(self, x): pass\ndef f(a, *, k): pass\n'
+    frame([("a.py", text), ("b.py", "def broken(:"), ("c.py", None), ("d.py", "")], "path STRING, content STRING").createOrReplaceTempView("sources")
+    rows = spark.sql("SELECT path, s.* FROM sources, LATERAL python_symbols(content) s ORDER BY kind, pos").collect()
+    assert [tuple(r) for r in rows] == [
+        ("a.py", "class", 0, "A", None, "", "B", "One.", 3, "About."),
+        ("a.py", "function", 0, "f", None, "a", "", "", 6, "About."),
+        ("a.py", "import", 0, "os", None, "", "", "", None, "About."),
+        ("a.py", "import", 1, "sys", None, "", "", "", None, "About."),
+        ("a.py", "method", 0, "m", "A", "self, x", "", "", 5, "About."),
+    ]
