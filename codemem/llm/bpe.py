@@ -15,6 +15,7 @@ another character into white space and its look-ahead only regards white space i
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 from functools import lru_cache
@@ -31,6 +32,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 # Distinct fragments and pieces that a task remembers twice over: a full half becomes the older one.
 MEMORY = 300_000
 
+# Bytes of a stretch beyond which its pairs are kept in a heap.
+LONG_STRETCH = 64
+
 _NONE = 1 << 62
 
 
@@ -78,6 +82,8 @@ class ForcedBpe:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a stretch without forced boundaries: merges by rank, leftmost first."""
+        if len(piece) > LONG_STRETCH:
+            return self.merge_long(piece)
         ids = [*map(self.byte_ids.__getitem__, piece)]
         merges = self.merges
         ranks = [merges.get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
@@ -91,6 +97,30 @@ class ForcedBpe:
                 ranks[i] = merges.get(new << 20 | ids[i + 1], _NONE)
         return ids
 
+    def merge_long(self, piece: bytes) -> list[int]:
+        """The same merges in n log n: neighbours in a linked list, pairs in a heap by rank and place."""
+        ids = [*map(self.byte_ids.__getitem__, piece)]
+        n, merges = len(ids), self.merges
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        pairs = [(merges.get(a << 20 | b, _NONE), i) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+        heap = [p for p in pairs if p[0] != _NONE]
+        heapq.heapify(heap)
+        while heap:
+            best, i = heapq.heappop(heap)
+            j = after[i]
+            # A pair that has changed since is no longer the one that was put here.
+            if ids[i] < 0 or j >= n or merges.get(ids[i] << 20 | ids[j], _NONE) != best:
+                continue
+            ids[i], ids[j] = best & 0xFFFFF, -1
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for left in (before[i], i):
+                right = after[left] if left >= 0 else n
+                if right < n and (rank := merges.get(ids[left] << 20 | ids[right], _NONE)) != _NONE:
+                    heapq.heappush(heap, (rank, left))
+        return [i for i in ids if i >= 0]
+
     def piece(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece of the pattern: each stretch between forced boundaries on its own."""
         free, out, start = self.free_pair, [], 0

@@ -166,13 +166,10 @@ def _with_texts(docs: DataFrame, placed: DataFrame, parts: DataFrame) -> DataFra
 
 def _cut_words(text: Column, parts: Column) -> Column:
     """The given ranges of words, with the white space after each, as one text; words are split once."""
-    start = F.struct(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)).alias("w"), F.array().cast("array<string>").alias("out"))
-
-    def add(acc: Column, p: Column) -> Column:
-        piece = F.array_join(F.slice(acc["w"], p["from_word"].cast("int") + 1, (p["to_word"] - p["from_word"]).cast("int")), "")
-        return F.struct(acc["w"].alias("w"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    return F.aggregate(parts, start, add, lambda acc: F.array_join(acc["out"], ""))
+    piece = lambda words: lambda p: F.array_join(F.slice(words, p["from_word"].cast("int") + 1, (p["to_word"] - p["from_word"]).cast("int")), "")
+    # The words are the one element of an array, so that they are a value inside, not an expression.
+    of_words = lambda words: F.array_join(F.transform(parts, piece(words)), "")
+    return F.element_at(F.transform(F.array(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))), of_words), 1)
 
 
 def mixed_blocks(docs: DataFrame, **how) -> DataFrame:

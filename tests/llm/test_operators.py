@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -300,6 +301,14 @@ def test_mixed_texts_are_what_is_taken(docs, rows):
     assert len(slots) >= len(blocks) / 4
 
 
+def test_a_text_of_a_million_words(spark):
+    docs = spark.createDataFrame([(1, "word " * 1_000_000, "a", None), (2, "x y z", "b", None)], "doc_id long, text string, source string, n_chars long")
+    start = time.perf_counter()
+    found = {(r.doc_id, len(r.text.split())) for r in mixing.mixed_documents(docs).collect()}
+    taken = {r.doc_id: r.taken for r in mixing.mix_documents(docs).collect()}
+    assert sum(n for d, n in found if d == 1) <= taken[1] and time.perf_counter() - start < 120
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         f = spark.range(n).select(mixing.permuted(mixing.F.col("id"), mixing.F.lit(n), [mixing.F.lit(3)]).alias("p"))
@@ -358,6 +367,20 @@ def test_encoding(docs, rows, none, vocabulary):
     assert bpe.round_trip(none, vocabulary).count() == 0
 
 
+def test_long_stretches(vocabulary):
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(registry.TOKENIZER), vocabulary.codec
+    rng = np.random.default_rng(9)
+    for text in ("ab" * 3000, "abc" * 700 + "d", "the" * 999, "".join("etaoin"[i] for i in rng.integers(0, 6, 5000)), "日本" * 900, "aaab" * 500):
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+        for n in (1, 2, 5, 33, 64):
+            assert codec.merge_long(text.encode()[:n]) == codec.merge(text.encode()[:n])
+    start = time.perf_counter()
+    assert codec.decode(codec.encode("ab" * 500_000)) == "ab" * 500_000
+    assert time.perf_counter() - start < 60
+
+
 def test_cuts_and_merges_against_the_library(vocabulary):
     import random
 
