@@ -28,11 +28,11 @@ from codemem.session import written
 # Rows that the cuts are fitted on, at most; rows of the sample below a last cut, at least.
 SAMPLE = 16_384
 LEAST = 16
-TREES = 10
-VISITS = 12
+TREES = 4
+VISITS = 32
 # Vectors in a block of a bucket, and rows of a bucket that the number of cuts aims at.
 BLOCK = 20_000
-BUCKET = 256
+BUCKET = 64
 
 
 class ProjectionTrees:
