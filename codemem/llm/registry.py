@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codemem.llm import bpe, lexical, licenses, mixing, neardup, outliers, passages, ppm, repair, runindex, secrets, shards, topk
 from codemem.llm.common import table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 from codemem.llm import registry
 from codemem.llm.common import table
-from tests.llm.test_operators import base_spans, base_statistics, groups, targets_by_rounds, words
+from tests.llm.test_operators import SCHEMA, base_spans, base_statistics, groups, odd_texts, rows_of, targets_by_rounds, words
 
 
 def test_stages_on_a_small_table(spark, sf_dir):
@@ -59,9 +59,34 @@ def test_stages_on_a_small_table(spark, sf_dir):
     assert Counter(tuple(r) for r in corpus_pipeline.run(spark, sf_dir).collect()) == plain
 
 
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, and no rows."""
+    odd = rows_of(odd_texts())
+    odd += [odd[8], odd[8], (None,) * len(odd[0]), (3, None) + (None,) * (len(odd[0]) - 2)]
+    docs = spark.createDataFrame(odd, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+        got = Counter(tuple(r) for r in kept.collect())
+        if name == "quality rules":
+            assert got == Counter(r for r in odd if not base_statistics(r[1])[5])
+        if name == "near-duplicates":
+            assert set(got) <= set(odd) and max(got[r] for r in got if r[0] is not None) == 1
+            assert got[(None,) * len(odd[0])] == 1
+        if name == "secret scan":
+            assert sum(got.values()) == len(odd) and Counter(r[0] for r in got.elements()) == Counter(r[0] for r in odd)
+            assert all(r in got for r in odd if not (r[1] or "").strip())
+        if name == "mixing sources":
+            assert all((r[1] or "").split() for r in got) and {r[0] for r in got} <= {r[0] for r in odd}
+        assert stage(spark, docs.limit(0), sf_dir).collect() == [], name
+    encoded = corpus_pipeline.encode_texts(spark, docs, sf_dir)
+    assert encoded.count() == len(odd) and encoded.where("n_tokens = 0").count() == sum(not r[1] for r in odd)
+    assert corpus_pipeline.encode_texts(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_every_operator_is_registered_once():
     import __spark_entry__ as entry
 
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
