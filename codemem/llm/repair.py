@@ -135,8 +135,8 @@ class _Open:
         self.turns.append(turn)
         self.chars += len(role) + len(text)
 
-    def full(self) -> bool:
-        return len(self.roles) >= BLOCK_TURNS or self.chars >= BLOCK_CHARS
+    def full(self, turns: int) -> bool:
+        return len(self.roles) >= turns or self.chars >= BLOCK_CHARS
 
     def block(self, task: int, seq: int, closed: bool) -> dict:
         initials = [r[:1] for r in self.roles]
@@ -159,7 +159,7 @@ class _Open:
         return row
 
 
-def blocks(rows: DataFrame) -> DataFrame:
+def blocks(rows: DataFrame, turns: int = BLOCK_TURNS) -> DataFrame:
     """Conversations solved in one task (``closed``), and blocks of those at the borders of tasks or beyond a block's size."""
     schema = arrow_type(BLOCKS)
     key = ["conv_id", "turn", "role", F.left("text", F.lit(32))]
@@ -177,7 +177,7 @@ def blocks(rows: DataFrame) -> DataFrame:
                     now = _Open(conv_id)
                 if not lost:
                     now.add(turn, role, text, fault)
-                    if now.full():
+                    if now.full(turns):
                         out.append(now.block(task, seq, closed=False))
                         seq += 1
                 size += 1 + len(text)
@@ -262,13 +262,13 @@ def _by_conversation(rows: DataFrame, begin, add, end, ddl: str) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "task", "seq").mapInArrow(run, ddl)
 
 
-def solved(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def solved(conversations: DataFrame, turns: int = BLOCK_TURNS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Conversations solved in one task; reports of the others; and the repaired turns of those, in blocks.
 
     ``conversations(conv_id, turn, role, text, lost)``: no role and no text is null; a lost turn only says
     that its conversation exists.
     """
-    found = blocks(conversations)
+    found = blocks(conversations, turns)
     closed, open_ = found.where("closed"), found.where("not closed")
     joined = stored(_by_conversation(open_.drop("roles", "texts", "lines"), _Joined, _Joined.add, _Joined.row, JOINED), "repair-joined")
     pieces = joined.select(F.explode("pieces").alias("x")).select("x.*")
@@ -302,7 +302,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return rows.withColumn("copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("kind", "copy")
 
 
-def report(conversations: DataFrame) -> DataFrame:
+def report(conversations: DataFrame, turns: int = BLOCK_TURNS) -> DataFrame:
     """Per conversation: faults after the planted damage, cost and audit of the repair, digest of its result.
 
     Null ids are one conversation; null turns come first and make no gap; a null role or text is one
@@ -311,7 +311,7 @@ def report(conversations: DataFrame) -> DataFrame:
     whole.  A conversation that lost all turns has zeros, an empty audit and the digest of nothing.  No
     rows give no rows.  Further columns are not read, so their names cannot clash.
     """
-    closed, joined, rest = solved(damaged(conversations))
+    closed, joined, rest = solved(damaged(conversations), turns)
     gaps = F.coalesce(F.col("most") - F.col("least") + 1 - F.col("different"), F.lit(0).cast("long"))
     lines = F.transform("lines", lambda turn: F.concat(turn["role"], F.lit(":"), turn["text"]))
     digest = F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256")

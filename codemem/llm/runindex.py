@@ -78,22 +78,22 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> dic
     }
 
 
-def buffers(batches, length: int):
+def buffers(batches, length: int, size: int):
     """Slices of rows ``(d, tie, text, …)`` as bytes: several texts, or a part of a long one with where it starts."""
     for part, data, offsets in rounds(batches):
-        if part.num_rows > 1 or len(data) <= CHUNK_BYTES:
+        if part.num_rows > 1 or len(data) <= size:
             yield part, data, offsets, 0
             continue
-        for first in range(0, max(1, len(data) - length + 1), CHUNK_BYTES):
-            piece = data[first : first + CHUNK_BYTES + length - 1]
+        for first in range(0, max(1, len(data) - length + 1), size):
+            piece = data[first : first + size + length - 1]
             yield part, piece, np.array([0, len(piece)]), first
 
 
-def all_pieces(texts: DataFrame, length: int, seed: int) -> DataFrame:
+def all_pieces(texts: DataFrame, length: int, seed: int, buffer: int = CHUNK_BYTES) -> DataFrame:
     schema = arrow_type(PIECES)
 
     def run(batches):
-        for part, data, offsets, first in buffers(batches, length):
+        for part, data, offsets, first in buffers(batches, length, buffer):
             p = pieces(data, offsets, length, seed)
             place = (p["start"] + first) << 16 | p["windows"] << 8 | p["anchor"]
             d, tie = (part.column(i).to_numpy(zero_copy_only=False)[p["row"]] for i in (0, 1))
@@ -249,7 +249,7 @@ def repeated_windows(texts: list[bytes], many: list[bool], length: int) -> list[
     return out
 
 
-def indexed(rows: DataFrame, length: int, size: int = INDEX_BYTES) -> DataFrame:
+def indexed(rows: DataFrame, length: int, size: int) -> DataFrame:
     """``m, c, spans`` of the entries: ranges of windows that repeat.  Whole seeds share an index."""
     schema = arrow_type(MARKS)
 
@@ -288,11 +288,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), tie.alias("tie"), text.alias("text"))
 
 
-def marked(docs: DataFrame, length: int = LENGTH, seed: int = SEED, seed_bytes: int = SEED_BYTES) -> DataFrame:
+def marked(docs: DataFrame, length: int = LENGTH, seed: int = SEED, seed_bytes: int = SEED_BYTES, index_bytes: int = INDEX_BYTES, buffer: int = CHUNK_BYTES) -> DataFrame:
     """``d, tie, spans[low, high]``: byte ranges of repeated windows per text, which may overlap."""
     texts = _texts(docs)
     long_enough = texts.where(F.octet_length("text") >= length)
-    found = stored(all_pieces(long_enough, length, seed), "index-pieces")
+    found = stored(all_pieces(long_enough, length, seed, buffer), "index-pieces")
     seen = found.groupBy("m").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("n > 1")
     seen = cut(seen)  # a join of two plain shuffles can be split where a seed is in very many texts
     shared = stored(found.join(seen, "m").select("m", "c", "d", "tie", "place", (F.col("low") == F.col("high")).alias("alone")), "index-shared")
@@ -306,7 +306,7 @@ def marked(docs: DataFrame, length: int = LENGTH, seed: int = SEED, seed_bytes:
     wanted = contents.groupBy("d", "tie").agg(F.collect_list(F.struct("place", "m", "c", "many", "hot")).alias("places"))
     held = stored(entries(long_enough.select("d", "tie", "text").dropDuplicates(["d", "tie"]), wanted, length), "index-entries")
 
-    marks = indexed(held.where("text is not null"), length)
+    marks = indexed(held.where("text is not null"), length, index_bytes)
     single = held.where("text is null").select("m", "c", "many", F.posexplode("windows").alias("low", "window"))
     twice = single.groupBy("m", "window").agg((F.count("*") > 1).alias("several"), F.max("many").alias("copied")).where("several or copied").select("m", "window")
     hot_marks = single.join(twice, ["m", "window"]).groupBy("m", "c").agg(F.collect_list(F.struct("low", (F.col("low") + 1).alias("high"))).alias("spans"))

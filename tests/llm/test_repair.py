@@ -115,12 +115,11 @@ def conversations():
 
 
 @pytest.mark.parametrize("parts, turns", [(1, 512), (7, 3)])
-def test_reports(spark, monkeypatch, parts, turns):
+def test_reports(spark, parts, turns):
     rows = conversations()
-    monkeypatch.setattr(repair, "BLOCK_TURNS", turns)
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        found = repair.report(spark.createDataFrame(rows, SCHEMA))
+        found = repair.report(spark.createDataFrame(rows, SCHEMA), turns)
         assert found.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
         got = sorted(map(tuple, found.collect()), key=repr)
     finally:

@@ -35,13 +35,11 @@ def passages():
 
 
 @pytest.mark.parametrize("seed_bytes, size", [(1 << 20, 1 << 19), (600, 2000)])
-def test_removed_bytes(spark, monkeypatch, seed_bytes, size):
+def test_removed_bytes(spark, seed_bytes, size):
     rows = rows_of(odd_texts() + passages())
     rows += [rows[8], rows[8]] + [rows[25]] * 5
-    monkeypatch.setattr(runindex, "INDEX_BYTES", size)
-    monkeypatch.setattr(runindex, "SEED_BYTES", seed_bytes)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    found = runindex.digest(runindex.without_repeats(docs, seed_bytes=seed_bytes))
+    found = runindex.digest(runindex.without_repeats(docs, seed_bytes=seed_bytes, index_bytes=size))
     assert found.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     want = [(r[0], *x) for r, x in zip(rows, plain([r[1] for r in rows]))]
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
@@ -58,11 +56,10 @@ def test_spans_and_bytes(spark):
         assert r.kept == kept + data[at:]
 
 
-def test_long_text_in_buffers(spark, monkeypatch):
-    monkeypatch.setattr(runindex, "CHUNK_BYTES", 700)
+def test_long_text_in_buffers(spark):
     text = prose(80, 400) + " " + prose(81, 60)
     rows = rows_of([text, prose(82, 30) + prose(81, 60), text[1000:1800]])
-    found = runindex.digest(runindex.without_repeats(spark.createDataFrame(rows, SCHEMA)))
+    found = runindex.digest(runindex.without_repeats(spark.createDataFrame(rows, SCHEMA), buffer=700))
     assert sorted(map(tuple, found.collect())) == sorted((r[0], *x) for r, x in zip(rows, plain([r[1] for r in rows])))
 
 
