@@ -20,11 +20,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from codemem.llm.bpe import ForcedBpe, Vocabulary
+from codemem.llm.bpe import PATTERN, ForcedBpe, Vocabulary
 from codemem.llm.common import arrow_type, ensure_checkpoints, mix, rounds, stored
 
 SEQUENCE = 1024
@@ -33,26 +35,22 @@ ROUNDS = 6
 KEY = 0x5EED
 
 
-class FastBpe(ForcedBpe):
-    """The same cuts; a piece that is not known yet is merged by the compiled library."""
+class Compiled:
+    """The vocabulary in a compiled encoder; strings of special tokens are ordinary text, so the end id stands for ends alone."""
 
     def __init__(self, text: str):
-        super().__init__(text)
-        import tiktoken
+        codec = ForcedBpe(text)
+        self.end_id = next(iter(codec.special.values()))
+        ranks = {token: i for i, token in codec.bytes_of.items() if i not in codec.special.values()}
+        self.library = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        self.end_id = next(iter(self.special.values()))
-        ranks = {token: i for i, token in self.bytes_of.items() if i not in self.special.values()}
-        self.compiled = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        self.specials = None  # their strings in a text are ordinary text: the end id stands for ends alone
-        self.special = {}
-
-    def piece(self, piece: bytes) -> tuple[int, ...]:
-        return tuple(self.compiled.encode_single_piece(piece))
+    def encode(self, text: str) -> np.ndarray:
+        return self.library.encode_to_numpy(text, disallowed_special=()).astype("<u2")
 
 
 @lru_cache(maxsize=1)
-def _codec(text: str) -> FastBpe:
-    return FastBpe(text)
+def _codec(text: str) -> Compiled:
+    return Compiled(text)
 
 
 def feistel(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -99,34 +97,35 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, length: int = SEQUENCE) -> Dat
 
     def run(batches):
         codec, part, nth = _codec(vocabulary.text.value), TaskContext.get().partitionId(), 0
-        end = codec.end_id
-        ids: list[int] = []
+        end = np.array([codec.end_id], "<u2")
+        held: list[np.ndarray] = []
+        size = 0
         owners: list[tuple[int, int]] = []  # first id of a document in what is left, and the document
 
         def cut(count):
-            nonlocal ids, owners, nth
-            flat = np.array(ids[: count * length], "<u2").tobytes()
+            nonlocal held, size, owners, nth
+            ids = np.concatenate(held)
             bounds = [(a, owners[i + 1][0] if i + 1 < len(owners) else len(ids), d) for i, (a, d) in enumerate(owners)]
             lists: list[list] = [[] for _ in range(count)]
             for a, b, d in bounds:
                 for k in range(a // length, min(count, -(-b // length))):
                     lists[k].append(d)
-            rows = [flat[k * 2 * length : (k + 1) * 2 * length] for k in range(count)]
+            rows = [ids[k * length : (k + 1) * length].tobytes() for k in range(count)]
             out = pa.RecordBatch.from_arrays([pa.array(np.full(count, part, np.int32)), pa.array(nth + np.arange(count)), pa.array(rows, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
             nth += count
-            ids = ids[count * length :]
+            held, size = [ids[count * length :]], len(ids) - count * length
             owners = [(max(0, a - count * length), d) for a, b, d in bounds if b > count * length]
             return out
 
         for batch, _, _ in rounds(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                owners.append((len(ids), doc))
-                ids += codec.encode(text or "")
-                ids.append(end)
-            if len(ids) >= length:
-                yield cut(len(ids) // length)
-        if ids:
-            ids += [end] * (length - len(ids))
+                owners.append((size, doc))
+                held += [codec.encode(text or ""), end]
+                size += len(held[-2]) + 1
+            if size >= length:
+                yield cut(size // length)
+        if size:
+            held.append(np.repeat(end, length - size))
             yield cut(1)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PACKED)
@@ -148,53 +147,66 @@ def number(packed: DataFrame, key: int = KEY) -> DataFrame:
     return packed.mapInArrow(run, "seq long, slot long, ids binary, doc_ids array<long>")
 
 
+MOVED = "shard long, slots array<long>, seqs array<long>, ids binary, doc_ids array<array<long>>"
 WRITTEN = "slot long, seq long, shard long, byte_offset long, n_tokens int, ids_sha256 string, doc_ids array<long>"
 
 
 def write(numbered: DataFrame, folder: str, shard: int = SHARD) -> DataFrame:
     """Writes the shards below ``folder``; one row for each sequence with its place and its digest.
 
-    Tasks hold one shard at a time.  Rows of a shard are together, because tasks are ranges of shards.
+    A task first puts together what it has for each shard, compressed, so few and small rows move.
+    Rows of a shard are together, because tasks are ranges of shards; they hold one shard at a time.
     """
     spark = numbered.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    rows = numbered.withColumn("shard", F.floor(F.col("slot") / shard).cast("long"))
-    rows = rows.repartitionByRange(tasks, "shard").sortWithinPartitions("slot").select("slot", "seq", "shard", "ids", "doc_ids")
-    schema = arrow_type(WRITTEN)
+    moved, schema = arrow_type(MOVED), arrow_type(WRITTEN)
+
+    def gather(batches):
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            slots = batch.column(1).to_numpy()
+            order = np.argsort(slots)
+            edges = np.flatnonzero(np.diff(slots[order] // shard, prepend=-1, append=-1)) if len(order) else []
+            rows = []
+            for a, b in zip(edges, edges[1:]):
+                own = batch.take(pa.array(order[a:b]))
+                ids = press.compress(b"".join(own.column(2).to_pylist()))
+                rows.append({"shard": int(slots[order[a]] // shard), "slots": own.column(1).to_pylist(), "seqs": own.column(0).to_pylist(), "ids": ids, "doc_ids": own.column(3).to_pylist()})
+            yield pa.RecordBatch.from_pylist(rows, schema=moved)
 
     def run(batches):
         files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        held: list[pa.RecordBatch] = []
+        unpress, held, now = zstandard.ZstdDecompressor(), [], None
 
         def done():
-            whole = pa.Table.from_batches(held).combine_chunks()
-            held.clear()
-            ids = whole.column("ids").to_pylist()
-            name = f"{base}/shard-{whole.column('shard')[0].as_py():08d}.bin"
+            rows = []
+            for row in held:
+                ids = unpress.decompress(row["ids"])
+                stride = len(ids) // len(row["slots"])
+                rows += [(slot, seq, ids[i * stride : (i + 1) * stride], docs) for i, (slot, seq, docs) in enumerate(zip(row["slots"], row["seqs"], row["doc_ids"]))]
+            rows.sort(key=lambda r: r[0])
+            name = f"{base}/shard-{now:08d}.bin"
             fresh = f"{name}.{uuid.uuid4().hex[:8]}"
             with files.open_output_stream(fresh) as out:
-                out.write(b"".join(ids))
+                out.write(b"".join(r[2] for r in rows))
             files.move(fresh, name)
-            slots = whole.column("slot").to_numpy()
-            stride = len(ids[0])
-            columns = [whole.column("slot").combine_chunks(), whole.column("seq").combine_chunks(), whole.column("shard").combine_chunks(), pa.array((slots % shard) * stride),
-                       pa.array(np.full(len(ids), stride // 2, np.int32)), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), whole.column("doc_ids").combine_chunks()]
-            return pa.RecordBatch.from_arrays([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns], schema=schema)
+            out = [{"slot": slot, "seq": seq, "shard": now, "byte_offset": slot % shard * len(ids), "n_tokens": len(ids) // 2, "ids_sha256": hashlib.sha256(ids).hexdigest(), "doc_ids": docs} for slot, seq, ids, docs in rows]
+            held.clear()
+            return pa.RecordBatch.from_pylist(out, schema=schema)
 
         for batch in batches:
-            shards = batch.column(2).to_numpy()
-            edges = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
-            for a, b in zip(edges, edges[1:]):
-                if a == b:
-                    continue
-                if held and held[-1].column(2)[0].as_py() != shards[a]:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if held and row["shard"] != now:
                     yield done()
-                held.append(batch.slice(a, b - a))
+                now = row["shard"]
+                held.append(row)
         if held:
             yield done()
 
-    return rows.mapInArrow(run, WRITTEN)
+    rows = numbered.select("seq", "slot", "ids", "doc_ids").mapInArrow(gather, MOVED)
+    return rows.repartitionByRange(tasks, "shard").sortWithinPartitions("shard").mapInArrow(run, WRITTEN)
 
 
 def read_slots(folder: str, first: int, count: int, length: int = SEQUENCE, shard: int = SHARD) -> np.ndarray:
@@ -227,4 +239,4 @@ def materialise(docs: DataFrame, vocabulary: Vocabulary, folder: str | None = No
     scheme, mark, path = folder.partition(":")
     if not mark or scheme == "file":
         folder = "file:///" + (path or folder).lstrip("/")
-    return write(number(stored(pack(docs, vocabulary, length), "sequences"), key), folder, shard)
+    return write(number(stored(pack(docs, vocabulary, length), "sequences", "zstd"), key), folder, shard)
