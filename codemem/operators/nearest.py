@@ -29,7 +29,7 @@ from codemem.session import written
 SAMPLE = 16_384
 LEAST = 16
 TREES = 4
-VISITS = 32
+VISITS = 64
 # Vectors in a block of a bucket, and rows of a bucket that the number of cuts aims at.
 BLOCK = 20_000
 BUCKET = 64
