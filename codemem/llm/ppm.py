@@ -8,28 +8,28 @@ trained beforehand, on the training documents, so the probability of a byte in i
 same everywhere: it is computed once for each kind of context and byte, and a text's score is a sum
 of looked-up values.
 
-Counts cover all training texts, and every context counts.  The probabilities of at most ``NODES``
-frequent contexts with a byte travel to the tasks as a cache; all others that the texts hold are
-computed once each, by joins with the written counts of one order after the other, and joined to the
-texts.  Words work in the same way: the ``COMMON`` most frequent ones travel, all others are joined.
-Both scores are exact.
+Counts cover all training texts, and every context counts.  Texts are scored in blocks of bounded size.  A
+block asks for each of its distinct words and contexts with a byte once.  The most frequent ones, a
+bounded number, are known everywhere; all others are joined with the counts, unseen contexts with
+those of one order after the other, and each block gets the answers to its own keys back.  So the
+work follows the distinct keys of the blocks at every size, and both scores are exact.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemem.llm.common import Words, arrow_type, ascii_lower, cut, rounds, stored
+from codemem.llm.common import Words, arrow_type, ascii_lower, rounds, stored
 
 ORDER = 5
-NODES = 1 << 20
-COMMON = 1 << 19
+# Bytes of text in a block, about; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 26
+# Contexts with a byte, and words, that are known everywhere, at most.
+KNOWN, COMMON = 1 << 18, 1 << 17
 # Contexts of so few bytes travel whole.
 LOW = 1
 # Bytes that no UTF-8 text holds: what stands before a text, and its end.
@@ -37,7 +37,7 @@ BEFORE, END = 0xFF, 0xFE
 SYMBOLS = 257
 # The key of the end token among word hashes.
 END_WORD = np.uint64(0x9D3F)
-# Distinct keys that a task gathers before it passes them on; Spark adds them up further.
+# Distinct keys after which a block's arrays are added up.
 GATHER = 1 << 18
 WORD, GRAM = 0, 1
 
@@ -85,48 +85,54 @@ class _Gather:
             self.parts = [(keys[first], np.add.reduceat(n, first))]
             self.size = len(first)
 
-    def take(self):
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
         self.fold()
-        out, self.parts, self.size = self.parts, [], 0
+        out = self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.parts, self.size = [], 0
         return out
 
 
-def count(training: DataFrame, order: int) -> DataFrame:
+def _blocks(batches, block_bytes: int):
+    """Slices of rows ``(doc_id, text, held_out)``, each with the block that it belongs to.
+
+    A block is a part of what one task reads, so the same scan gives the same blocks again.
+    """
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for part, data, offsets in rounds(batches):
+        if size and size + len(data) > block_bytes:
+            block, size = block + 1, 0
+        size += len(data)
+        yield block, part, data, offsets
+
+
+def _distinct(batches, order: int, block_bytes: int):
+    """Words and contexts of every block, distinct and counted: ``block, kind, keys, n``."""
+    gathers, now = {WORD: _Gather(), GRAM: _Gather()}, None
+    for block, part, data, offsets in _blocks(batches, block_bytes):
+        if now is not None and block != now:
+            yield from ((now, kind, *gather.take()) for kind, gather in gathers.items())
+        now = block
+        gathers[WORD].add(np.concatenate([Words(data, offsets, lower=True).hash, np.full(part.num_rows, END_WORD, np.uint64)]))
+        gathers[GRAM].add(grams(data, offsets, order)[0])
+    if now is not None:
+        yield from ((now, kind, *gather.take()) for kind, gather in gathers.items())
+
+
+def count(training: DataFrame, order: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``kind, key, n``: occurrences of every word and of every byte in its context in the training texts."""
     schema = arrow_type("kind int, key long, n long")
 
-    def rows(kind, parts):
-        for keys, n in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
-
     def run(batches):
-        words, bytes_ = _Gather(), _Gather()
-        for part, data, offsets in rounds(batches):
-            found = Words(data, offsets, lower=True)
-            words.add(np.concatenate([found.hash, np.full(part.num_rows, END_WORD, np.uint64)]))
-            bytes_.add(grams(data, offsets, order)[0])
-            for kind, gather in ((WORD, words), (GRAM, bytes_)):
-                if gather.size > GATHER:
-                    gather.fold()
-                if gather.size > GATHER:
-                    yield from rows(kind, gather.take())
-        yield from rows(WORD, words.take())
-        yield from rows(GRAM, bytes_.take())
+        for _, kind, keys, n in _distinct(batches, order, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], schema=schema)
 
     found = training.select("text").mapInArrow(run, "kind int, key long, n long")
     return found.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """Rows whose count ``n`` is at least the smallest one that at most ``most`` rows reach."""
-    sizes = counts.groupBy("n").agg(F.count("*").alias("m")).collect()  # as many as there are different counts
-    total, least = 0, None
-    for r in sorted(sizes, key=lambda r: -r["n"]):
-        total += r["m"]
-        if total > most:
-            break
-        least = r["n"]
-    return counts.where(F.lit(False) if least is None else F.col("n") >= least)
+    """At most ``most`` rows, those with the largest counts ``n``; of equal ones any, but the same on every run."""
+    return counts.orderBy(F.desc("n"), "key").limit(most)
 
 
 class Lookup:
@@ -209,9 +215,17 @@ class Trie:
         return out
 
 
-@lru_cache(maxsize=1)
-def _lookups(identity: int, load):
-    return load()
+# Tables made of a broadcast's value, kept by a worker for its next task; one model's at a time.
+_tables: dict[int, tuple] = {}
+
+
+def _lookups(shared) -> tuple[Lookup, Lookup]:
+    value = shared.value  # a worker loads it once; it is held here, so no other one can have its identity
+    if id(value) not in _tables:
+        _tables.clear()
+        words, n, keys, p = value
+        _tables[id(value)] = value, Lookup(words.view(np.uint64), n.astype(np.float64)), Lookup(keys.view(np.uint64), p)
+    return _tables[id(value)][1:]
 
 
 def _collect(rows: DataFrame, *columns: str) -> list[np.ndarray]:
@@ -223,29 +237,36 @@ def _collect(rows: DataFrame, *columns: str) -> list[np.ndarray]:
 
 
 class Model:
-    """A trained model: totals of the unigram model, and broadcasts of bounded size."""
+    """A trained model: written counts of words and of contexts of every order, totals, and broadcasts of bounded size."""
 
-    def __init__(self, training: DataFrame, order: int = ORDER, nodes: int = NODES, common: int = COMMON):
+    def __init__(self, training: DataFrame, order: int = ORDER, known: int = KNOWN, common: int = COMMON):
         spark = training.sparkSession
         self.order = order
         counts = stored(count(training, order), "ppm-counts")
         self.words = counts.where(F.col("kind") == WORD).select("key", "n")
         self.tokens, self.kinds = (int(x or 0) for x in self.words.agg(F.sum("n"), F.count("*")).first())
-        keys, n = _collect(most_frequent(self.words, common), "key", "n")
-        self.common = spark.sparkContext.broadcast((keys, n))
         # Of a context of `order` bytes every shorter one is a part: mask off the bytes in front.
-        full = counts.where(F.col("kind") == GRAM)
-        masks = F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")) for k in range(order + 1)])
-        levels = stored(full.select(F.explode(masks).alias("x"), "n").groupBy("x.order", "x.key").agg(F.sum("n").alias("n")), "ppm-levels")
-        self.levels = levels
+        full = counts.where(F.col("kind") == GRAM).select("key", "n")
+        masks = F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit((1 << (8 * (k + 1))) - 1)).alias("key")) for k in range(order)])
+        shorter = full.select(F.explode(masks).alias("x"), "n").groupBy("x.order", "x.key").agg(F.sum("n").alias("n"))
+        self.levels = stored(shorter, "ppm-levels").union(full.select(F.lit(order).alias("order"), "key", "n"))
         # Contexts of at most one byte: no more than 2^16 keys in any language.
-        trie = [_collect(levels.where(F.col("order") == k), "key", "n") for k in range(min(order, LOW) + 1)]
+        trie = [_collect(self.levels.where(F.col("order") == k), "key", "n") for k in range(min(order, LOW) + 1)]
         self.trie = spark.sparkContext.broadcast([(k.view(np.uint64), n) for k, n in trie])
         # A key of the training texts is predicted in its full context, where nothing is excluded.
-        top = levels.where(F.col("order") == order).withColumn("context", F.shiftrightunsigned("key", 8))
-        totals = top.groupBy("context").agg((F.sum("n") + F.count("*")).alias("total"))
-        known = most_frequent(top, nodes).join(totals, "context").select("key", (F.log10("n") - F.log10("total")).alias("p"))
-        self.known = spark.sparkContext.broadcast(tuple(_collect(known, "key", "p")))
+        full = full.withColumn("context", F.shiftrightunsigned("key", 8))
+        totals = full.groupBy("context").agg((F.sum("n") + F.count("*")).alias("total"))
+        self.seen = stored(full.join(totals, "context").select("key", "n", (F.log10("n") - F.log10("total")).alias("p")), "ppm-seen")
+        words = _collect(most_frequent(self.words, common), "key", "n")
+        self.known = spark.sparkContext.broadcast((*words, *_collect(most_frequent(self.seen, known), "key", "p")))
+
+    def answers(self, keys: DataFrame) -> DataFrame:
+        """``kind, key, value`` of distinct ``keys(kind, key)``: a word's count, a byte's log probability."""
+        words = keys.where(F.col("kind") == WORD).join(self.words, "key", "left").select("kind", "key", F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+        met = stored(keys.where(F.col("kind") == GRAM).join(self.seen.select("key", "p"), "key", "left").select("kind", "key", "p"), "ppm-met")
+        unseen = probabilities(met.where("p is null").select("key"), self)
+        found = met.where("p is not null").select("kind", "key", F.col("p").alias("value"))
+        return words.union(found).union(unseen.select(F.lit(GRAM).alias("kind"), "key", F.col("p").alias("value")))
 
 
 def probabilities(keys: DataFrame, model: Model) -> DataFrame:
@@ -298,84 +319,75 @@ def probabilities(keys: DataFrame, model: Model) -> DataFrame:
     return out
 
 
-SCORED = "part int, nth long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<key:bigint,n:bigint>>, grams array<struct<key:bigint,n:bigint>>"
+TEXTS = "block long, doc_id long, text string, held_out boolean"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+NEEDS = "block long, kind int, key long"
+
 
+def needs(rows: DataFrame, model: Model, block_bytes: int) -> DataFrame:
+    """``block, kind, key``: the keys of every block that are not known everywhere."""
+    schema, order, known = arrow_type(NEEDS), model.order, model.known
 
-def _by_text(key: np.ndarray, row: np.ndarray, rows: int, kind: pa.DataType) -> pa.ListArray:
-    """The distinct keys of every text, each with the times it stands there."""
-    by = np.lexsort((key, row))
-    key, row = key[by], row[by]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])[: len(key)])
-    times = np.diff(np.concatenate([new, [len(key)]]))
-    key, row = key[new], row[new]
-    pairs = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(times.astype(np.int64))], fields=list(kind.value_type))
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), pairs)
+    def run(batches):
+        lookups = dict(zip((WORD, GRAM), _lookups(known)))
+        for block, kind, keys, _ in _distinct(batches, order, block_bytes):
+            keys = keys[lookups[kind].find(keys) < 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64))], schema=schema)
 
+    return rows.mapInArrow(run, NEEDS)
 
-def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
+
+def score(docs: DataFrame, model: Model, held_out: Column | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
-    Every row gives one row.  A null or empty text is its end alone.  Without training texts every
-    byte has the same probability.  No rows give no rows; further columns are not read.
+    Every row gives one row, repeated rows too.  A null or empty text is its end alone; a long one is scored
+    whole.  Without training texts every byte has the same probability.  No rows give no rows; further
+    columns are not read, so their names cannot clash.
     """
-    schema = arrow_type(SCORED)
-    order, common, known = model.order, model.common, model.known
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.lit(True) if held_out is None else held_out).alias("held_out"))
+    wanted = stored(needs(rows, model, block_bytes), "ppm-needs")
+    back = wanted.join(model.answers(wanted.select("kind", "key").distinct()), ["kind", "key"])
+    texts_schema, schema, order, known = arrow_type(TEXTS), arrow_type(SCORED), model.order, model.known
     low = np.log10(model.tokens + 0.5 * (model.kinds + 1))
-    identity = known.id if hasattr(known, "id") else id(known)
-
-    def load():
-        words, n = common.value
-        keys, p = known.value
-        return Lookup(words.view(np.uint64), n), Lookup(keys.view(np.uint64), p)
 
-    def run(batches):
-        words, bytes_ = _lookups(identity, load)
-        part_id, nth = TaskContext.get().partitionId(), 0
-        for part, data, offsets in rounds(batches):
-            rows = part.num_rows
+    def place(batches):
+        for block, part, _, _ in _blocks(batches, block_bytes):
+            columns = [pa.array(np.full(part.num_rows, block)), *part.columns]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, texts_schema)], schema=texts_schema)
+
+    def score_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        kind, key, value = (answers.column(c).to_numpy() for c in ("kind", "key", "value"))
+        words, bytes_ = ((everywhere, Lookup(key[kind == k].view(np.uint64), value[kind == k])) for k, everywhere in zip((WORD, GRAM), _lookups(known)))
+        out = []
+
+        def value_of(lookups, keys):
+            everywhere, own = lookups
+            at = everywhere.find(keys)
+            found = everywhere.values[0][at] if len(everywhere.keys) else np.zeros(len(keys))
+            rest = np.flatnonzero(at < 0)
+            at = own.find(keys[rest])
+            if (at < 0).any():
+                raise RuntimeError("a text was read in another block than before")
+            found[rest] = own.values[0][at] if len(rest) else 0.0
+            return found
+
+        for part, data, offsets in rounds(texts.to_batches()):
             found = Words(data, offsets, lower=True)
-            keys, end = np.concatenate([found.hash, [END_WORD]]), len(found.hash)
-            at = words.find(keys)
-            c = np.where(at >= 0, words.values[0][at] if len(words.keys) else 0, 0)
-            p = np.where(at >= 0, np.log10(c + 0.5) - low, 0.0)
-            of_row = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[:-1])])[found.first])
-            # Words outside the common ones, once for each text, to be joined with all counts.
-            lost = np.flatnonzero(at[:-1] < 0)
-            lost_end = at[-1] < 0
-            key, row = keys[lost], found.row[lost]
-            if lost_end:
-                key, row = np.concatenate([key, np.full(rows, END_WORD)]), np.concatenate([row, np.arange(rows)])
-            rare = _by_text(key, row, rows, schema.field("rare").type)
-            one = 0 if lost_end else 1
+            count = value_of(words, np.concatenate([found.hash, [END_WORD]]))
+            p = np.log10(count + 0.5) - low
+            of_row = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[:-1])])[found.first]) + x[-1]
             seen, bounds = grams(data, offsets, order)
-            spot = bytes_.find(seen)
-            value = np.where(spot >= 0, bytes_.values[0][spot] if len(bytes_.keys) else 0.0, 0.0)
-            # Bytes in contexts outside the cache, in the same way.
-            lost = np.flatnonzero(spot < 0)
-            unknown = _by_text(seen[lost], np.searchsorted(bounds, lost, side="right") - 1, rows, schema.field("grams").type)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(rows, part_id, np.int32)), pa.array(nth + np.arange(rows, dtype=np.int64)), part.column(0), part.column(2),
-                pa.array(found.count + 1), pa.array(of_row((at >= 0).astype(np.int64)) + one), pa.array(of_row(p) + one * p[-1]),
-                pa.array(np.add.reduceat(value, bounds[:-1])), rare, unknown], schema=schema)
-            nth += rows
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    rows = cut(rows.mapInArrow(run, SCORED))
-    rare = rows.select("part", "nth", F.explode("rare").alias("x")).select("part", "nth", "x.key", F.col("x.n").alias("times"))
-    rare = rare.join(model.words, "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rare = rare.select("part", "nth", (F.col("times") * (F.log10(F.col("n") + 0.5) - F.lit(float(low)))).alias("more"),
-                       F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("more_known"), F.lit(0.0).alias("more_score"))
-    unknown = rows.select("part", "nth", F.explode("grams").alias("x")).select("part", "nth", "x.key", F.col("x.n").alias("times"))
-    unknown = unknown.join(probabilities(unknown.select("key").distinct(), model), "key")
-    unknown = unknown.select("part", "nth", F.lit(0.0).alias("more"), F.lit(0).alias("more_known"), (F.col("times") * F.col("p")).alias("more_score"))
-    added = rare.union(unknown).groupBy("part", "nth").agg(*[F.sum(c).alias(c) for c in ("more", "more_known", "more_score")])
-    rows = rows.drop("rare", "grams").join(added, ["part", "nth"], "left")
-    plus = lambda name, more: F.col(name) + F.coalesce(F.col(more), F.lit(0))
-    return rows.select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"),
-                       F.lit(model.tokens).cast("long").alias("train_tokens"), plus("base", "more").alias("base_score"), plus("score", "more_score").alias("score"))
-
-
-def train_and_score(docs: DataFrame, **how) -> DataFrame:
-    """Trains on the documents outside the held-out fifth and scores all."""
+            scores = np.add.reduceat(value_of(bytes_, seen), bounds[:-1])
+            out.append(pa.RecordBatch.from_arrays([
+                part.column("doc_id"), part.column("held_out"), pa.array(found.count + 1), pa.array(of_row((count > 0).astype(np.int64))),
+                pa.array(of_row(p)), pa.array(scores)], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
+
+    scored = rows.mapInArrow(place, TEXTS).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score_block, SCORED)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def train_and_score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, **how) -> DataFrame:
+    """Trains on the documents outside the held-out fifth and scores all, as :func:`score` says."""
     training = training_rows()
-    return score(docs, Model(docs.where(training), **how), ~training)
+    return score(docs, Model(docs.where(training), **how), ~training, block_bytes)

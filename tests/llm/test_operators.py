@@ -447,24 +447,31 @@ def test_licences(docs, rows, none, spark):
         return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (text or "").translate(LOWER))
 
     def brute(text):
-        w, out = tokens(text), {}
+        w, found = tokens(text), []
         b = list(zip(w, w[1:]))
         for name, template in licenses.TEMPLATES.items():
             t = Counter(zip(tokens(template), tokens(template)[1:]))
             n = t.total()
             width = min(n, len(b))
-            every = [b] * (len(b) > 0) + [b[i : i + width] for i in range(len(b) - width + 1) if width]
-            best = max((2 * (Counter(x) & t).total() / (len(x) + n) for x in every), default=0)
-            if best >= licenses.LEAST_DICE:
-                out[name] = best
-        return out
+            every = [(0, len(b))] * (len(b) > 0) + [(i, i + width) for i in range(len(b) - width + 1) if width]
+            places = [(2 * (Counter(b[i:j]) & t).total() / (j - i + n), i, j + 1) for i, j in every]
+            best = max(places, key=lambda p: p[0], default=(0, 0, 0))
+            if best[0] >= licenses.LEAST_DICE:
+                found.append((name, *best))
+        out = []
+        for x in sorted(found, key=lambda x: (-x[1], x[2] - x[3], x[0])):
+            if not any(x[2] < y[3] and y[2] < x[3] for y in out):
+                out.append(x)
+        return {x[0]: x[1] for x in out}
 
     more = [(100 + i, f"{prose(i, 20)} {t.upper()} {prose(i + 50, 10)}", "en", "a", 1, *"dtnnsl") for i, t in enumerate(licenses.TEMPLATES.values())]
-    more.append((200, licenses.TEMPLATES["ISC"].replace("software", "program"), "en", "a", 1, *"dtnnsl"))
+    more.append((200, licenses.TEMPLATES["ISC-permission"].replace("software", "program"), "en", "a", 1, *"dtnnsl"))
     small = [r for r in rows if len(r[1] or "") < 3000] + more
     got = Counter((r.doc_id, r.licence, round(r.dice, 9)) for r in licenses.scan(spark.createDataFrame(small, SCHEMA)).collect())
     assert got == Counter((r[0], k, round(v, 9)) for r in small for k, v in brute(r[1]).items())
     assert {k for _, k, _ in got} == set(licenses.TEMPLATES)
+    # A licence is told from its relatives, whatever surrounds it.
+    assert all({k for d, k, _ in got if d == 100 + i} == {name} for i, name in enumerate(licenses.TEMPLATES))
     assert licenses.scan(none).count() == 0 and licenses.scan(docs, {}).count() == 0
 
 
@@ -551,11 +558,11 @@ def plain_ppm(train, order):
     return score
 
 
-@pytest.mark.parametrize("common", [3, 1 << 20])
-def test_language_model(spark, rows, none, common):
+@pytest.mark.parametrize("block, known", [(300, 0), (1 << 23, 200), (4000, 1 << 18)])
+def test_language_model(spark, rows, none, block, known):
     small = [r for r in rows if len(r[1] or "") < 3000]
     frame = spark.createDataFrame(small, SCHEMA).repartition(3)
-    got = ppm.train_and_score(frame, order=3, common=common).collect()
+    got = ppm.train_and_score(frame, order=3, block_bytes=block, known=known, common=known // 50).collect()
     held = lambda r: zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 5 == 1
     tokens = lambda r: [x.translate(LOWER) for x in words(r[1])] + [0]
     training = [r for r in small if not held(r)]
@@ -570,14 +577,21 @@ def test_language_model(spark, rows, none, common):
     assert ppm.train_and_score(none).count() == 0
 
 
-@pytest.mark.parametrize("nodes", [0, 5, 200])
-def test_every_context_counts(spark, rows, nodes):
-    """The score does not depend on how many contexts travel with the tasks."""
-    small = [r for r in rows if len(r[1] or "") < 3000]
-    held = lambda r: zlib.crc32(str(r[0]).encode() if r[0] is not None else b"") % 5 == 1
-    model = plain_ppm([(r[1] or "").translate(LOWER) for r in small if not held(r)], 3)
-    got = ppm.train_and_score(spark.createDataFrame(small, SCHEMA).repartition(3), order=3, nodes=nodes).collect()
-    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == Counter((r[0], round(model((r[1] or "").translate(LOWER)), 6)) for r in small)
+def test_a_model_scores_other_texts(spark, rows):
+    """Words and contexts that training never saw, in blocks of the texts that are scored."""
+    model = ppm.Model(spark.createDataFrame(rows[8:14], SCHEMA), order=3)
+    plain = plain_ppm([(r[1] or "").translate(LOWER) for r in rows[8:14]], 3)
+    others = [r for r in rows if len(r[1] or "") < 3000]
+    got = ppm.score(spark.createDataFrame(others, SCHEMA).repartition(2), model, block_bytes=2000).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in got) == Counter((r[0], round(plain((r[1] or "").translate(LOWER)), 6)) for r in others)
+    assert all(r.held_out for r in got)
+
+
+def test_a_long_text_is_scored_whole(spark):
+    text = prose(77, 150_000)
+    rows = [(0, text), (1, text[:2000]), (5, text + "x")]
+    got = {r.doc_id: r for r in ppm.train_and_score(spark.createDataFrame(rows, "doc_id long, text string"), order=2).collect()}
+    assert got[0].n_tokens == 150_001 and abs(got[0].score - got[5].score) < 10 and got[1].score > got[0].score
 
 
 def test_probabilities_sum_to_one():
