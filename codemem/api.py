@@ -10,7 +10,7 @@ from codemem.operators import files as fi, graph as gr, imports as im, memory as
 from codemem.plans import remember as rm
 from codemem.plans.graph_store import GraphStore
 from codemem.plans.store import MemoryStore
-from codemem.session import written
+from codemem.session import Scratch
 from codemem.sources import tree
 from codemem.streaming.files import stream_files
 
@@ -55,8 +55,9 @@ class CodeMemory:
 
         Documents stored before under the same ids are replaced; ``tag`` marks them for ``forget``.
         """
-        docs = rm.remember(files, commits, commit_files, changes)
-        self.store.ingest(docs.withColumn("tag", F.lit(tag).cast("string")), replace=True)
+        with Scratch(self.spark) as scratch:
+            docs = rm.remember(files, commits, commit_files, changes, scratch=scratch)
+            self.store.ingest(docs.withColumn("tag", F.lit(tag).cast("string")), replace=True)
 
     def follow(self, root: str, checkpoint: str, repo: str | None = None, seconds: float | None = None, settle: float = 2) -> None:
         """Remember what was added to a tree or changed in it since the last call with this checkpoint.
@@ -72,11 +73,12 @@ class CodeMemory:
         History is only added to.  What a scan could not read (``content`` is null), and all
         below an unreadable folder, stays as it was.
         """
-        files = written(files, "scan")  # a scan is read again by each use
-        unread = files.filter(F.col("content").isNull()).select(fi.dataset_name(F.col("repo")).alias("dataset"), "path")
-        docs = rm.remember(files.filter(F.col("content").isNotNull()), commits, commit_files)
-        named = [r["dataset"] for r in files.select(fi.dataset_name(F.col("repo")).alias("dataset")).distinct().collect()]
-        self.store.refresh(docs, named, kinds=("file", "comment"), unread=unread)
+        with Scratch(self.spark) as scratch:
+            files = scratch.written(files)  # a scan is read again by each use
+            unread = files.filter(F.col("content").isNull()).select(fi.dataset_name(F.col("repo")).alias("dataset"), "path")
+            docs = rm.remember(files.filter(F.col("content").isNotNull()), commits, commit_files, scratch=scratch)
+            named = [r["dataset"] for r in files.select(fi.dataset_name(F.col("repo")).alias("dataset")).distinct().collect()]
+            self.store.refresh(docs, named, kinds=("file", "comment"), unread=unread)
 
     def log(self, decision: str) -> None:
         self.store.log_decision(decision)

@@ -61,25 +61,11 @@ def nonzero(vector: Column) -> Column:
 
 
 def dot_with(vector: Column, query: Sequence[float]) -> Column:
-    """Dot product with a query known when the plan is made.
-
-    A hashed query has few non-zero entries, so the product is plain column
-    arithmetic over those entries and stays inside generated code.  A dense
-    query is passed as one array literal instead.
-    """
-    terms = [(i, float(w)) for i, w in enumerate(query) if w]
-    if not terms:
+    """Dot product with a query known when the plan is made: a sum over the query's non-zero entries, in order."""
+    entries = [F.struct(F.lit(i).alias("at"), F.lit(float(w)).alias("weight")) for i, w in enumerate(query) if w]
+    if not entries:
         return F.lit(0.0)
-    if len(terms) <= 64:
-        total = None
-        for i, w in terms:
-            term = F.get(vector, F.lit(i)).cast("double") * F.lit(w)
-            total = term if total is None else total + term
-        return total
-    products = F.zip_with(
-        vector, F.array(*[F.lit(float(w)) for w in query]), lambda a, b: a.cast("double") * b
-    )
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+    return F.aggregate(F.array(*entries), F.lit(0.0), lambda acc, e: acc + F.get(vector, e["at"]).cast("double") * e["weight"])
 
 
 def norm(vector: Column) -> Column:

@@ -18,7 +18,7 @@ from codemem.operators.joins import sized_join
 from codemem.operators.snapshots import snapshot_diff
 from codemem.plans import partitions as pt
 from codemem.schema import SYMBOL_COLUMNS
-from codemem.session import written
+from codemem.session import Scratch
 
 KEY = ("repo", "path")
 PARTITIONS = ("owner", "part")
@@ -73,30 +73,31 @@ class GraphStore:
         ``repos`` names the repositories that were scanned; by default those that occur in ``files``.  What
         could not be read (``content`` is null), and all below an unreadable folder, stays as it was.
         """
-        scan = written(fi.substantial_files(files).select(*KEY, "content", F.sha2("content", 256).alias("sha256")), "scan")
-        held = self._rows().select(*KEY, "sha256", *PARTITIONS)
-        if repos is None:
-            seen = files.select("repo").distinct()
-            held = sized_join(held, seen, ["repo"], "left_semi")
-        else:
-            held = held.filter(F.col("owner").isin(*repos))
-        diff = snapshot_diff(held.select(*KEY, "sha256"), scan.select(*KEY, "sha256"), KEY, "sha256")
-        changed = written(diff.filter(F.col("change_type") != "unchanged"), "changes")
-        old = sized_join(held, changed, list(KEY), "inner")
-        unread = files.filter(F.col("content").isNull()).select(*KEY).distinct()
-        below = F.concat(F.regexp_replace("u.path", "/$", ""), F.lit("/"))
-        inside = (F.col("o.path") == F.col("u.path")) | F.startswith(F.col("o.path"), below) | F.col("u.path").isin("", ".")
-        kept = (F.col("o.repo") == F.col("u.repo")) & (F.col("o.change_type") == "deleted") & inside
-        gone = old.alias("o").join(unread.alias("u"), kept, "left_anti").select(*KEY, *PARTITIONS)
-        self._put(sized_join(scan, changed.filter(F.col("change_type") != "deleted").select(*KEY), list(KEY), "left_semi"), gone)
-
-    def _put(self, fresh: DataFrame, gone: DataFrame) -> None:
+        with Scratch(self.spark) as scratch:
+            scan = scratch.written(fi.substantial_files(files).select(*KEY, "content", F.sha2("content", 256).alias("sha256")))
+            held = self._rows().select(*KEY, "sha256", *PARTITIONS)
+            if repos is None:
+                seen = files.select("repo").distinct()
+                held = sized_join(held, seen, ["repo"], "left_semi")
+            else:
+                held = held.filter(F.col("owner").isin(*repos))
+            diff = snapshot_diff(held.select(*KEY, "sha256"), scan.select(*KEY, "sha256"), KEY, "sha256")
+            changed = scratch.written(diff.filter(F.col("change_type") != "unchanged"))
+            old = sized_join(held, changed, list(KEY), "inner")
+            unread = files.filter(F.col("content").isNull()).select(*KEY).distinct()
+            below = F.concat(F.regexp_replace("u.path", "/$", ""), F.lit("/"))
+            inside = (F.col("o.path") == F.col("u.path")) | F.startswith(F.col("o.path"), below) | F.col("u.path").isin("", ".")
+            kept = (F.col("o.repo") == F.col("u.repo")) & (F.col("o.change_type") == "deleted") & inside
+            gone = old.alias("o").join(unread.alias("u"), kept, "left_anti").select(*KEY, *PARTITIONS)
+            self._put(scratch, sized_join(scan, changed.filter(F.col("change_type") != "deleted").select(*KEY), list(KEY), "left_semi"), gone)
+
+    def _put(self, scratch: Scratch, fresh: DataFrame, gone: DataFrame) -> None:
         """Parse the ``fresh`` files, and only those, and rewrite the parts they or ``gone`` ones are in."""
         clean = fresh.withColumn("content", tx.redact(F.col("content")))
         made = sy.extract_symbols(clean).withColumn("owner", F.col("repo"))
-        made = written(made.withColumn("part", pt.bucket(self.buckets, F.col("repo"), F.col("path"))), "symbols")
-        gone = written(gone.unionByName(made.select(*KEY, *PARTITIONS)).distinct(), "gone")
-        touched = written(gone.select(*PARTITIONS).distinct(), "touched")
+        made = scratch.written(made.withColumn("part", pt.bucket(self.buckets, F.col("repo"), F.col("path"))))
+        gone = scratch.written(gone.unionByName(made.select(*KEY, *PARTITIONS)).distinct())
+        touched = scratch.written(gone.select(*PARTITIONS).distinct())
         names = pt.names(touched, PARTITIONS)
         if names["part"]:
             kept = sized_join(pt.inside(self._rows(), touched, names), gone, [*KEY, *PARTITIONS], "left_anti")
@@ -105,4 +106,5 @@ class GraphStore:
     def forget_files(self, paths: DataFrame) -> None:
         """Leave out the files of ``paths(repo, path)``."""
         gone = sized_join(self._rows().select(*KEY, *PARTITIONS), paths.select(*KEY).distinct(), list(KEY), "left_semi")
-        self._put(self.spark.createDataFrame([], "repo STRING, path STRING, content STRING, sha256 STRING"), gone)
+        with Scratch(self.spark) as scratch:
+            self._put(scratch, self.spark.createDataFrame([], "repo STRING, path STRING, content STRING, sha256 STRING"), gone)

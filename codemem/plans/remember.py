@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codemem.functions import text as tx
 from codemem.operators import comments as cm, commits as ci, files as fi, symbols as sy
-from codemem.session import written
+from codemem.session import Scratch
 
 
 def scanned_files(files: DataFrame) -> DataFrame:
@@ -61,16 +61,18 @@ def remember(
     changes: DataFrame | None = None,
     dataset: Column | None = None,
     newest_commits: int | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Documents of a corpus; with ``changes`` only the files that changed.
 
     ``files(repo, path, content)`` is a scan.  The dataset defaults to the name
-    derived from the repository's folder.
+    derived from the repository's folder.  ``scratch`` is where the scan is written and
+    removed from afterwards; without one it stays below the shared folder.
     """
     name = fi.dataset_name(F.col("repo")) if dataset is None else dataset
     chosen = files if changes is None else fi.incremental_files(files, changes)
     # The source is read once: files, Python files and comments each start from the written scan.
-    chosen = written(fi.substantial_files(chosen).select("repo", "path", "content"), "scan")
+    chosen = (scratch or Scratch(files.sparkSession)).written(fi.substantial_files(chosen).select("repo", "path", "content"))
     docs = file_documents(chosen, name).unionByName(comment_documents(chosen, name))
     if commits is not None and commit_files is not None:
         docs = docs.unionByName(commit_documents(commits, commit_files, name, newest_commits))

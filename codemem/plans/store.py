@@ -19,7 +19,7 @@ from codemem.operators import memory as mem
 from codemem.operators.joins import sized_join
 from codemem.operators.snapshots import snapshot_diff
 from codemem.plans import partitions as pt
-from codemem.session import written
+from codemem.session import Scratch
 
 DOCS = (
     "dataset STRING, doc_id STRING, kind STRING, path STRING, tag STRING, text STRING, sha256 STRING, "
@@ -105,7 +105,7 @@ class MemoryStore:
 
     # ---- writing ----------------------------------------------------------------------
 
-    def _rows(self, docs: DataFrame, label: str | None = None) -> DataFrame:
+    def _rows(self, scratch: Scratch, docs: DataFrame, label: str | None = None) -> DataFrame:
         """Documents as they are stored, made once: redacted, with hash, time and partition."""
         part = pt.bucket(self.buckets, F.col("dataset"), F.coalesce("path", "doc_id")) if label is None else F.lit(label)
         safe = docs.select(*ID, "kind", "path", tag_of(docs), tx.redact(F.col("text")).alias("text"))
@@ -113,9 +113,9 @@ class MemoryStore:
             "*", F.sha2("text", 256).alias("sha256"), F.current_timestamp().alias("ingested_at"),
             scope_of(F.col("dataset")).alias("scope"), part.alias("part"),
         )
-        return written(rows, "documents")
+        return scratch.written(rows)
 
-    def _put(self, new: DataFrame, gone: DataFrame | None = None) -> None:
+    def _put(self, scratch: Scratch, new: DataFrame, gone: DataFrame | None = None) -> None:
         """Store written ``new`` rows and leave out the ``gone`` ones ``(dataset, doc_id, scope, part)``.
 
         Without ``gone`` the parts of the new rows are theirs alone.
@@ -123,9 +123,9 @@ class MemoryStore:
         touched = new.select(*PARTITIONS)
         if gone is not None:
             # Also the new ids: an earlier call may have stored their chunks and then failed.
-            gone = written(gone.select(*ID, *PARTITIONS).unionByName(new.select(*ID, *PARTITIONS)).distinct(), "gone")
+            gone = scratch.written(gone.select(*ID, *PARTITIONS).unionByName(new.select(*ID, *PARTITIONS)).distinct())
             touched = gone.select(*PARTITIONS)
-        touched = written(touched.distinct(), "touched")
+        touched = scratch.written(touched.distinct())
         names = pt.names(touched, PARTITIONS)
         if not names["part"]:
             return
@@ -144,15 +144,16 @@ class MemoryStore:
         stored as a part of its own, which a repeated call writes again; it compares nothing with
         what is there, so its cost does not grow with the memory.
         """
-        new = self._rows(docs, label)
-        if label is not None:
-            return self._put(new)
-        held = sized_join(self._table("docs").select(*ID, "path", *PARTITIONS), new.select("scope").distinct(), ["scope"], "left_semi")
-        gone = sized_join(held, new.select(*ID), list(ID), "left_semi")
-        if replace:
-            paths = new.filter(F.col("path").isNotNull()).select("dataset", "path").distinct()
-            gone = gone.unionByName(sized_join(held, paths, ["dataset", "path"], "left_semi"))
-        self._put(new, gone)
+        with Scratch(self.spark) as scratch:
+            new = self._rows(scratch, docs, label)
+            if label is not None:
+                return self._put(scratch, new)
+            held = sized_join(self._table("docs").select(*ID, "path", *PARTITIONS), new.select("scope").distinct(), ["scope"], "left_semi")
+            gone = sized_join(held, new.select(*ID), list(ID), "left_semi")
+            if replace:
+                paths = new.filter(F.col("path").isNotNull()).select("dataset", "path").distinct()
+                gone = gone.unionByName(sized_join(held, paths, ["dataset", "path"], "left_semi"))
+            self._put(scratch, new, gone)
 
     def refresh(
         self,
@@ -170,24 +171,25 @@ class MemoryStore:
 
         The documents are made once, and written; keys and hashes are compared.
         """
-        made = self._rows(docs)
-        held = self.docs(datasets).select(*ID, "kind", "path", "sha256", *PARTITIONS)
-        if datasets is None:
-            held = sized_join(held, made.select("dataset").distinct(), ["dataset"], "left_semi")
-        diff = snapshot_diff(held.select(*ID, "sha256"), made.select(*ID, "sha256"), ID, "sha256")
-        # Written out: the decision must not be taken again after the store has changed.
-        changed = written(diff.filter(F.col("change_type") != "unchanged"), "changes")
-        old = sized_join(held, changed, list(ID), "inner")
-        absent = old.filter("change_type = 'deleted'")
-        if kinds is not None:
-            absent = absent.filter(F.col("kind").isin(*kinds))
-        if unread is not None:
-            below = F.concat(F.regexp_replace("u.path", "/$", ""), F.lit("/"))
-            inside = (F.col("a.path") == F.col("u.path")) | F.startswith(F.col("a.path"), below) | F.col("u.path").isin("", ".")
-            absent = absent.alias("a").join(unread.alias("u"), (F.col("a.dataset") == F.col("u.dataset")) & F.coalesce(inside, F.lit(False)), "left_anti")
-        gone = absent.unionByName(old.filter("change_type = 'modified'"))
-        fresh = changed.filter(F.col("change_type") != "deleted").select(*ID)
-        self._put(written(sized_join(made, fresh, list(ID), "left_semi"), "fresh"), gone)
+        with Scratch(self.spark) as scratch:
+            made = self._rows(scratch, docs)
+            held = self.docs(datasets).select(*ID, "kind", "path", "sha256", *PARTITIONS)
+            if datasets is None:
+                held = sized_join(held, made.select("dataset").distinct(), ["dataset"], "left_semi")
+            diff = snapshot_diff(held.select(*ID, "sha256"), made.select(*ID, "sha256"), ID, "sha256")
+            # Written out: the decision must not be taken again after the store has changed.
+            changed = scratch.written(diff.filter(F.col("change_type") != "unchanged"))
+            old = sized_join(held, changed, list(ID), "inner")
+            absent = old.filter("change_type = 'deleted'")
+            if kinds is not None:
+                absent = absent.filter(F.col("kind").isin(*kinds))
+            if unread is not None:
+                below = F.concat(F.regexp_replace("u.path", "/$", ""), F.lit("/"))
+                inside = (F.col("a.path") == F.col("u.path")) | F.startswith(F.col("a.path"), below) | F.col("u.path").isin("", ".")
+                absent = absent.alias("a").join(unread.alias("u"), (F.col("a.dataset") == F.col("u.dataset")) & F.coalesce(inside, F.lit(False)), "left_anti")
+            gone = absent.unionByName(old.filter("change_type = 'modified'"))
+            fresh = changed.filter(F.col("change_type") != "deleted").select(*ID)
+            self._put(scratch, scratch.written(sized_join(made, fresh, list(ID), "left_semi")), gone)
 
     def log_decision(self, text: str, at: int | None = None) -> None:
         """Store one decision; ``at`` is epoch seconds."""
@@ -200,14 +202,16 @@ class MemoryStore:
     def settle(self) -> None:
         """Move what was stored under labels into the hash buckets, so that small parts do not pile up."""
         loose = self._table("docs").filter(~F.rlike("part", F.lit("^[0-9]+$")))
-        loose = written(loose, "loose")
         part = pt.bucket(self.buckets, F.col("dataset"), F.coalesce("path", "doc_id"))
-        self._put(written(loose.withColumn("part", part), "settled"), loose)
+        with Scratch(self.spark) as scratch:
+            loose = scratch.written(loose)
+            self._put(scratch, scratch.written(loose.withColumn("part", part)), loose)
 
     # ---- forgetting -------------------------------------------------------------------
 
     def _forget(self, gone: DataFrame) -> None:
-        self._put(self.spark.createDataFrame([], DOCS), gone)
+        with Scratch(self.spark) as scratch:
+            self._put(scratch, self.spark.createDataFrame([], DOCS), gone)
 
     def forget_dataset(self, name: str) -> None:
         """An unknown name is no error."""

@@ -47,6 +47,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+class Scratch:
+    """Written tables that are removed together once the work that reads them is done."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.count = spark, work_dir(spark, "scratch"), 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.at}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *problem) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def mounted(path: str) -> str:
     """The plain form of a folder that Python code on the executors opens itself."""
     plain = path.removeprefix("file:")

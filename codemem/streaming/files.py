@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codemem.plans import remember as rm
 from codemem.plans.store import MemoryStore
+from codemem.session import Scratch
 
 
 def stream_files(files: DataFrame, store: MemoryStore, checkpoint: str, seconds: float | None = None) -> None:
@@ -16,7 +17,8 @@ def stream_files(files: DataFrame, store: MemoryStore, checkpoint: str, seconds:
     """
 
     def remember(batch: DataFrame, _: int) -> None:
-        store.ingest(rm.remember(batch.filter(F.col("content").isNotNull())), replace=True)
+        with Scratch(store.spark) as scratch:
+            store.ingest(rm.remember(batch.filter(F.col("content").isNotNull()), scratch=scratch), replace=True)
 
     writer = files.writeStream.foreachBatch(remember).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if seconds is None else writer.trigger(processingTime=f"{seconds} seconds")

@@ -253,3 +253,17 @@ def test_a_long_word_is_cut_into_bounded_chunks(frame):
     text = "x" * 5_000_000 + " tail"
     chunks = mem.chunk_documents(frame([("d", "1", text)], "dataset STRING, doc_id STRING, text STRING")).orderBy("chunk_no").collect()
     assert "".join(r.text for r in chunks) == text and max(len(r.text) for r in chunks) <= 257_000
+
+
+def test_tables_on_the_way_are_removed(store, first, tmp_path, monkeypatch):
+    import itertools
+    import os
+
+    numbers = itertools.count()
+    monkeypatch.setattr("codemem.session.work_dir", lambda spark, name: str(tmp_path / f"{name}-{next(numbers)}"))
+    store.ingest(first, replace=True)
+    store.refresh(first.limit(2))
+    store.forget_files(["b.py"])
+    store.ingest(first, label="batch")
+    store.settle()
+    assert next(numbers) == 5 and os.listdir(tmp_path) == []
