@@ -513,7 +513,7 @@ def recall_similar(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def recall_indexed(spark: SparkSession, sf: str) -> DataFrame:
     """Every tenth benchmark text asked of an index of all chunks; equal to a scan of everything."""
-    index = VectorIndex(spark, work_dir(spark, "index")).build(_chunks(spark, sf))
+    index = VectorIndex(spark, work_dir(spark, "index")).build(written(_chunks(spark, sf), "chunks"))
     asked = Tables(spark, sf).benchmark.filter(F.col("item_id") % 10 == 0).select(F.col("item_id").alias("query_id"), "text")
     found = index.recall_batch(mem.hash_embedder()(asked), k=10)
     return found.select("query_id", *_RESULT)

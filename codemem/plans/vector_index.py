@@ -29,6 +29,8 @@ ROUNDS = 8
 # What rounded scores and single-precision vectors may be off.
 SLACK = 4e-6
 CELLS = "cell INT, centre ARRAY<DOUBLE>, n BIGINT, least DOUBLE, most DOUBLE"
+# Vectors that a task compares with the centres at once.
+AT_ONCE = 1024
 # Queries of a batch that are asked together.
 TOGETHER = 64
 # The cell goes last: it decides no tie.
@@ -65,7 +67,10 @@ class VectorIndex:
     # ---- writing ----------------------------------------------------------------------
 
     def build(self, chunks: DataFrame, centres: int | None = None) -> VectorIndex:
-        """Index ``chunks(dataset, doc_id, chunk_no, …, embedding)``; all rows, in one pass after the fit."""
+        """Index ``chunks(dataset, doc_id, chunk_no, …, embedding)``; all rows, in one pass after the fit.
+
+        Give it a table, not a plan that embeds: the fit and the pass both read it.
+        """
         rows = chunks.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).toArrow()
         sample = mem._matrix(rows.column("embedding")) if rows.num_rows else np.zeros((1, 1))
         model = fit_centres(sample, centres or min(CENTRES, max(1, len(sample) // PER_CENTRE)))
@@ -75,9 +80,10 @@ class VectorIndex:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    cell, away = nearest(mem._matrix(batch.column("embedding")), model)
-                    columns = [c.cast(f.type) for c, f in zip(batch.columns, arrow)]
+                for at in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(at, AT_ONCE)
+                    cell, away = nearest(mem._matrix(part.column("embedding")), model)
+                    columns = [c.cast(f.type) for c, f in zip(part.columns, arrow)]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(away), pa.array(cell.astype(np.int32))], schema=arrow)
 
         placed = chunks.mapInArrow(place, schema)
