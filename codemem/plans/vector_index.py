@@ -89,7 +89,7 @@ class VectorIndex:
         placed = chunks.mapInArrow(place, schema)
         # A cell with very many rows becomes several files; sorted distances let the scan skip row groups.
         placed = placed.hint("rebalance", "cell").sortWithinPartitions("cell", "away")
-        placed.write.mode("overwrite").partitionBy("cell").parquet(f"{self.root}/chunks")
+        placed.write.mode("overwrite").option("compression", "zstd").partitionBy("cell").parquet(f"{self.root}/chunks")
         columns = self.spark.createDataFrame([(f"{ddl}, away double, cell int",)], "columns STRING")
         columns.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/columns")
         cells = self._chunks().groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("least"), F.max("away").alias("most"))
