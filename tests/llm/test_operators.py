@@ -132,6 +132,18 @@ def test_threshold_keeps_the_recall_below_a_half():
     assert net.recall == says[labels].mean() and net.precision == labels[says].mean()
 
 
+def test_secrets_learn_from_every_finding(frame):
+    """No sample: all findings are in blocks, whose weights do not depend on how the rows are dealt."""
+    rows = [(i, f"run {i} with token = {i}abcDEF{i * 7919} at step-{i}-of-many-{i}x{i} end") for i in range(6000)]
+    docs = frame(rows, "doc_id long, text string")
+    blocks = secrets.in_blocks(docs, 1000).collect()
+    held = Counter((label, window) for b in blocks for label, window, n in zip(b.label, b.window, b.n) for _ in range(n))
+    assert held == Counter((r.label, r.window) for r in secrets.labelled(docs).collect())
+    assert sum(label for label, _ in held.elements()) >= 6000 and len(blocks) >= 6
+    one, two = (secrets.train(docs.repartition(n), size=1000, rounds=1, passes=1) for n in (2, 7))
+    assert (one.weights() == two.weights()).all() and one.threshold == two.threshold and one.recall >= secrets.RECALL
+
+
 @pytest.mark.parametrize("text, value", [
     ("pwd: Tr0ub4dor&3! and", "Tr0ub4dor&3!"), ("auth_key = onlyletterskey", "onlyletterskey"),
     ("see sk_live_0123456789abcdef01234567XYZ9KLMN here", "sk_live_0123456789abcdef01234567XYZ9KLMN"),
