@@ -64,6 +64,7 @@ class ForcedBpe:
         self.free = frozenset((a, b) for a in range(256) for b in range(256) if bytes((a, b)) not in inside)
         self.free_pair = bytearray(bytes((a, b)) not in inside for a in range(256) for b in range(256))
         self.byte_ids = [self.byte_id.get(bytes([b]), 0) for b in range(256)]
+        self.first_rank = [self.merges.get(a << 20 | b, _NONE) for a in self.byte_ids for b in self.byte_ids]
         # A fragment ends before white space, unless some token holds the two bytes around that place.
         solid = [b for b in range(256) if b not in SPACE_BYTES]
         tied = bytes(sorted({b for b in solid for w in SPACE_BYTES if (b, w) not in self.free}))
@@ -80,21 +81,23 @@ class ForcedBpe:
         self.known: dict[bytes, tuple[int, ...]] = {}
         self.older: dict[bytes, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of a stretch without forced boundaries: merges by rank, leftmost first."""
+    def merge(self, piece: bytes, pairs: list[int] | None = None) -> list[int]:
+        """Ids of a stretch without forced boundaries: merges by rank, leftmost first; ``pairs`` are its pairs of bytes."""
         if len(piece) > LONG_STRETCH:
             return self.merge_long(piece)
         ids = [*map(self.byte_ids.__getitem__, piece)]
-        merges = self.merges
-        ranks = [merges.get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        if pairs is None:
+            pairs = [a << 8 | b for a, b in zip(piece, piece[1:])]
+        ranks = [*map(self.first_rank.__getitem__, pairs)]
+        rank = self.merges.get
         while ranks and (best := min(ranks)) != _NONE:
             i = ranks.index(best)
             new = ids[i] = best & 0xFFFFF
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = merges.get(ids[i - 1] << 20 | new, _NONE)
+                ranks[i - 1] = rank(ids[i - 1] << 20 | new, _NONE)
             if i < len(ranks):
-                ranks[i] = merges.get(new << 20 | ids[i + 1], _NONE)
+                ranks[i] = rank(new << 20 | ids[i + 1], _NONE)
         return ids
 
     def merge_long(self, piece: bytes) -> list[int]:
@@ -123,12 +126,16 @@ class ForcedBpe:
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece of the pattern: each stretch between forced boundaries on its own."""
-        free, out, start = self.free_pair, [], 0
-        for i, (a, b) in enumerate(zip(piece, piece[1:]), 1):
-            if free[a << 8 | b]:
-                out += self.merge(piece[start:i])
-                start = i
-        return tuple(out + self.merge(piece[start:]))
+        pairs = [a << 8 | b for a, b in zip(piece, piece[1:])]
+        free = bytes(map(self.free_pair.__getitem__, pairs))
+        end = free.find(1)
+        if end < 0:
+            return tuple(self.merge(piece, pairs))
+        out, start = [], 0
+        while end >= 0:
+            out += self.merge(piece[start : end + 1], pairs[start:end])
+            start, end = end + 1, free.find(1, end + 1)
+        return tuple(out + self.merge(piece[start:], pairs[start:]))
 
     def remember(self, known: bytes, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(known) <= 64:
@@ -141,6 +148,9 @@ class ForcedBpe:
         """Ids of one fragment, by the pattern's pieces, of which many are known from other fragments."""
         if (ids := self.older.get(data)) is not None:
             return self.remember(data, ids)
+        # Letters alone, after a blank at most, are one piece: most fragments need no pattern.
+        if (data[1:] if data[:1] == b" " else data).isalpha():
+            return self.remember(data, self.piece(data))
         pieces = [p.encode() for p in self.pieces.findall(data.decode())]
         if len(pieces) == 1:
             return self.remember(data, self.piece(data))
