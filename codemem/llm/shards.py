@@ -33,6 +33,8 @@ SEQUENCE = 1024
 SHARD = 512
 ROUNDS = 6
 KEY = 0x5EED
+# Level at which pieces of shards are pressed; the written sequences one more.
+PRESS = 4
 
 
 class Compiled:
@@ -162,7 +164,7 @@ def write(numbered: DataFrame, folder: str, shard: int = SHARD) -> DataFrame:
     moved, schema = arrow_type(MOVED), arrow_type(WRITTEN)
 
     def gather(batches):
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=PRESS)
         for batch in batches:
             slots = batch.column(1).to_numpy()
             order = np.argsort(slots)
@@ -239,4 +241,4 @@ def materialise(docs: DataFrame, vocabulary: Vocabulary, folder: str | None = No
     scheme, mark, path = folder.partition(":")
     if not mark or scheme == "file":
         folder = "file:///" + (path or folder).lstrip("/")
-    return write(number(stored(pack(docs, vocabulary, length), "sequences", "zstd"), key), folder, shard)
+    return write(number(stored(pack(docs, vocabulary, length), "sequences", "zstd", PRESS + 1), key), folder, shard)

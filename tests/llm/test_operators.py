@@ -379,6 +379,31 @@ def test_encoding(docs, rows, none, vocabulary):
     assert bpe.round_trip(none, vocabulary).count() == 0
 
 
+def test_sequences_are_written_small(spark, frame):
+    """Token ids as they move and are written: less than at the lowest level."""
+    import glob
+    import os
+
+    rng = np.random.default_rng(4)
+    words = [rng.integers(0, 50_000, int(n)).astype("<u2") for n in rng.integers(1, 6, 3000)]
+    ids = [np.concatenate([words[i] for i in (rng.zipf(1.3, 600) % 3000)]).tobytes() for _ in range(400)]
+    df = frame([(bytearray(x),) for x in ids], "ids binary").coalesce(1)
+    size = lambda x: sum(os.path.getsize(f) for f in glob.glob(x.inputFiles()[0].removeprefix("file:").removeprefix("//").rsplit("/", 1)[0] + "/part-*"))
+    least, used = (size(shards.stored(df, "sizes", "zstd", level)) for level in (1, shards.PRESS + 1))
+    assert used < 0.9 * least
+
+
+def test_plain_words_need_no_pattern(vocabulary, monkeypatch):
+    """Letters after at most one blank are one piece; other fragments are still cut by the pattern."""
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(registry.TOKENIZER), bpe.ForcedBpe(vocabulary.text.value)
+    for text in (" qwzxjk", "Zyzzyva", " a", "\nword", " it's", "\u00e9t\u00e9", " na\u00efve", "  two", "x1y2"):
+        assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(codec, "pieces", None)
+    assert [*codec.fragment(b" vqxwordz")] == library.encode(" vqxwordz", add_special_tokens=False).ids
+
+
 def test_long_stretches(vocabulary):
     from tokenizers import Tokenizer
 
