@@ -13,7 +13,37 @@ from pyspark.sql import Column, functions as F
 DEFAULT_DIM = 384
 
 
-_CACHED_TERMS = 500_000
+# Terms whose buckets a task remembers, and texts that are counted at once: both bound what it holds.
+_CACHED_TERMS = 100_000
+_AT_ONCE = 256
+
+
+def embedded(batches: Iterator[pa.Array], dim: int = DEFAULT_DIM) -> Iterator[pa.Array]:
+    """Vectors of batches of texts; beside a batch and its vectors only ``_AT_ONCE`` rows are held."""
+    terms = re.compile(r"\w+").findall
+    buckets: dict[str, int] = {}
+
+    def bucket(term: str) -> int:
+        at = buckets.get(term)
+        if at is None:
+            if len(buckets) >= _CACHED_TERMS:
+                buckets.clear()
+            at = buckets[term] = int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big") % dim
+        return at
+
+    for texts in batches:
+        weights = np.zeros((len(texts), dim), np.float32)
+        for at in range(0, len(texts), _AT_ONCE):
+            part = texts.slice(at, _AT_ONCE)
+            counts = np.zeros((len(part), dim))
+            for row, body in zip(counts, part):
+                found = list(map(bucket, terms((body.as_py() or "").lower())))
+                if found:
+                    row += np.bincount(found, minlength=dim)
+            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            weights[at : at + len(part)] = np.divide(counts, length, out=counts, where=length > 0)
+        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
+        yield pa.ListArray.from_arrays(offsets, pa.array(weights.ravel()))
 
 
 def hash_embedding(text: Column, dim: int = DEFAULT_DIM) -> Column:
@@ -27,27 +57,7 @@ def hash_embedding(text: Column, dim: int = DEFAULT_DIM) -> Column:
 
     @F.arrow_udf("array<float>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        terms = re.compile(r"\w+").findall
-        buckets: dict[str, int] = {}
-
-        def bucket(term: str) -> int:
-            at = buckets.get(term)
-            if at is None:
-                if len(buckets) >= _CACHED_TERMS:
-                    buckets.clear()
-                at = buckets[term] = int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big") % dim
-            return at
-
-        for texts in batches:
-            counts = np.zeros((len(texts), dim))
-            for row, body in zip(counts, texts.to_pylist()):
-                found = list(map(bucket, terms((body or "").lower())))
-                if found:
-                    row += np.bincount(found, minlength=dim)
-            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-            weights = np.divide(counts, length, out=counts, where=length > 0).astype(np.float32)
-            offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
-            yield pa.ListArray.from_arrays(offsets, pa.array(weights.ravel()))
+        yield from embedded(batches, dim)
 
     return embed(text)
 

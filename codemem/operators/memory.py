@@ -46,7 +46,9 @@ def _runs(text: Column, max_tokens: int) -> Column:
 
 # Queries that travel with one pass over the vectors, about.
 QUERY_BLOCK = 4096
-SCORES_AT_ONCE = 4_000_000
+SCORES_AT_ONCE = 1_000_000
+# Vectors that a task scores at once.
+ROWS_AT_ONCE = 1024
 
 
 # ---- documents to chunks --------------------------------------------------------------
@@ -258,10 +260,10 @@ def recall_batch(
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple] = []
-            for batch in batches:
-                keys = list(zip(*[batch.column(n).to_pylist() for n in names]))
+            for part in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
+                keys = list(zip(*[part.column(n).to_pylist() for n in names]))
                 if keys and ids:
-                    held = _merge(held + _top_k_block(keys, _matrix(batch.column("embedding")), matrix, k, unit_vectors), k)
+                    held = _merge(held + _top_k_block(keys, _matrix(part.column("embedding")), matrix, k, unit_vectors), k)
             if held:
                 yield pa.RecordBatch.from_pylist(_score_rows(held, ids, names), schema=arrow)
 

@@ -147,6 +147,9 @@ def regex_symbols(files: DataFrame, path: str = "path", content: str = "content"
 
 # ---- Python ---------------------------------------------------------------------------
 
+# Files whose texts and symbols a task holds as Python objects at once.
+FILES_AT_ONCE = 256
+
 
 def _describe_func(node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
     """Name, plain positional argument names, docstring and line."""
@@ -206,7 +209,7 @@ def python_symbols(files: DataFrame, content: str = "content") -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = {"module_docstring": "", "imports": [], "classes": [], "functions": []}
-        for batch in batches:
+        for batch in (b.slice(at, FILES_AT_ONCE) for b in batches for at in range(0, b.num_rows, FILES_AT_ONCE)):
             found = [describe_python(source) for source in batch.column(content).to_pylist()]
             columns = [batch.column(name).cast(arrow.field(name).type) for name in kept_names]
             for field in list(arrow)[len(kept_names) : -1]:

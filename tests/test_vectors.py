@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codemem.functions import vectors as vx
 from codemem.operators import memory as mem, nearest
 from codemem.plans import vector_index
 from codemem.plans.vector_index import VectorIndex
@@ -122,3 +123,17 @@ def test_index_of_nothing(spark, chunks, asked):
     empty = VectorIndex(spark, work_dir(spark, "test-index")).build(chunks.limit(0))
     assert empty.recall_batch(asked, 3).collect() == []
     assert VectorIndex(spark, work_dir(spark, "test-index")).build(chunks).recall_batch(asked.limit(0)).collect() == []
+
+
+def test_embedding_holds_few_rows_at_once():
+    """Beside the vectors of a batch, what is held does not grow with the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"word{i} other words here {i % 7}" for i in range(10_000)])
+    tracemalloc.start()
+    made = next(vx.embedded(iter([texts])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == 10_000 and peak < 40 << 20  # the vectors are 15 MB; all counts at once were 61 MB more
