@@ -47,12 +47,28 @@ def inside(rows: DataFrame, touched: DataFrame, known: dict[str, list[str]]) ->
     return sized_join(rows, touched, list(known), "left_semi")
 
 
-def replace(rows: DataFrame, path: str, schema: str, touched: DataFrame, by: Sequence[str], order: Sequence[str]) -> None:
-    """The ``touched`` partitions, one row each, hold exactly ``rows`` from now on."""
+def dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with their partition's others.
+
+    Rebalancing cuts a partition that holds most rows into several files and merges the small ones.
+    """
+    return rows.hint("rebalance", *by)
+
+
+def replace(
+    rows: DataFrame, path: str, schema: str, touched: DataFrame, by: Sequence[str], order: Sequence[str], placed: DataFrame | None = None
+) -> None:
+    """The ``touched`` partitions, one row each, hold exactly ``rows`` from now on, and ``placed``.
+
+    What is ``placed`` was made from rows that had been dealt, and does not move again; ``touched`` may leave
+    out the partitions it has rows of.
+    """
     fields = StructType.fromDDL(schema).fields
     none = [F.col(f.name) if f.name in by else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]
-    whole = rows.select(*[f.name for f in fields]).unionByName(touched.select(*none))
-    # Rebalancing cuts a partition that holds most rows into several files and merges the small
-    # ones.  Sorted ids let a look-up of single rows skip most row groups.
-    out = whole.hint("rebalance", *by).sortWithinPartitions(*by, *order)
+    columns = [f.name for f in fields]
+    whole = dealt(rows.select(*columns).unionByName(touched.select(*none)), by)
+    if placed is not None:
+        whole = whole.unionByName(placed.select(*columns))
+    # Sorted ids let a look-up of single rows skip most row groups.
+    out = whole.sortWithinPartitions(*by, *order)
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

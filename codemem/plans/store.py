@@ -129,13 +129,16 @@ class MemoryStore:
         names = pt.names(touched, PARTITIONS)
         if not names["part"]:
             return
-        made = {"chunks": self.embedder(mem.chunk_documents(new.drop("tag", "sha256", "ingested_at"))), "docs": new}
+        # Documents are dealt to their partitions before they are embedded: texts move, vectors do not.
+        made = {"chunks": self.embedder(mem.chunk_documents(pt.dealt(new.drop("tag", "sha256", "ingested_at"), PARTITIONS))), "docs": pt.dealt(new, PARTITIONS)}
+        # Documents without a word have no chunks, so they do not replace a partition of them.
+        filled = {"chunks": new.filter(F.col("doc_id").isNotNull() & (tx.strip_ws(F.col("text")) != "")), "docs": new}
         for table in ("chunks", "docs"):
-            rows = made[table].select(*self._table(table).columns)
+            kept = self._table(table).limit(0)
             if gone is not None:
-                kept = pt.inside(self._table(table), touched, names)
-                rows = rows.unionByName(sized_join(kept, gone, [*ID, *PARTITIONS], "left_anti"))
-            pt.replace(rows, f"{self.root}/{table}", TABLES[table], touched, PARTITIONS, ["doc_id"])
+                kept = sized_join(pt.inside(self._table(table), touched, names), gone, [*ID, *PARTITIONS], "left_anti")
+            empty = sized_join(touched, filled[table].select(*PARTITIONS).distinct(), list(PARTITIONS), "left_anti")
+            pt.replace(kept, f"{self.root}/{table}", TABLES[table], empty, PARTITIONS, ["doc_id"], made[table])
 
     def ingest(self, docs: DataFrame, replace: bool = False, label: str | None = None) -> None:
         """Store documents and their chunks; documents of the same ids are replaced.

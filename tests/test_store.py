@@ -267,3 +267,20 @@ def test_tables_on_the_way_are_removed(store, first, tmp_path, monkeypatch):
     store.ingest(first, label="batch")
     store.settle()
     assert next(numbers) == 5 and os.listdir(tmp_path) == []
+
+
+def test_texts_move_and_vectors_stay(store, first, monkeypatch, plan):
+    """Documents meet their partitions before they are embedded."""
+    from codemem.plans import partitions
+
+    plans, replace = {}, partitions.replace
+
+    def noted(rows, path, *rest):
+        plans[path.rsplit("/", 1)[1]] = plan(rest[-1])
+        return replace(rows, path, *rest)
+
+    monkeypatch.setattr(partitions, "replace", noted)
+    store.ingest(first)
+    lines = plans["chunks"].splitlines()
+    made, moved = ([i for i, line in enumerate(lines) if word in line] for word in ("ArrowEvalPython", "Exchange"))
+    assert made and moved and max(made) < min(moved)
