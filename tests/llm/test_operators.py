@@ -228,6 +228,39 @@ def test_passage_whose_pieces_stand_elsewhere(spark):
     assert any(r.doc_id == 6 and r.other_id == 5 and r.first_word <= 30 and r.end_word >= 90 and r.other_first <= 20 and r.other_end >= 80 for r in got)
 
 
+def test_passage_whose_pieces_stand_in_many(spark):
+    """Two documents share a passage; its pieces, each too short, stand in many documents before and after both."""
+    w = prose(31, 60).split()
+    pieces = [" ".join(w[i : i + 30]) for i in range(0, 60, 15)]
+    rows = [(i if i < 40 else 100 + i, f"{prose(1100 + i, 20)} {pieces[i % 4]} {prose(1200 + i, 20)}", "en", "a", 1, *"dtnnsl") for i in range(80)]
+    rows += [(50, f"{prose(1300, 20)} {' '.join(w)} {prose(1301, 20)}", "en", "a", 1, *"dtnnsl"), (51, f"{prose(1302, 30)} {' '.join(w)}", "en", "a", 1, *"dtnnsl")]
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert any(r.doc_id == 51 and r.other_id == 50 and r.first_word <= 30 and r.end_word >= 90 and r.other_first <= 20 and r.other_end >= 80 for r in got)
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_links_of_passages_in_many(spark, monkeypatch, block):
+    """Variants of a passage and whole copies of another in many documents: every two are linked, or share the same words with a third."""
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    same, base, rows = prose(32, 70), prose(33, 60).split(), []
+    for i in range(30):
+        w = list(base)
+        for j in rng.choice(np.arange(2, 58), 3, replace=False):
+            w[j] = f"x{i}y{j}"
+        rows += [(i, f"{prose(1400 + i, 15)} {' '.join(w)} {prose(1500 + i, 15)}", "en", "a", 1, *"dtnnsl")]
+    rows += [(100 + i, f"{prose(1600 + i, 9)} {same} {prose(1700 + i, 9)}", "en", "a", 1, *"dtnnsl") for i in range(40)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    spans = defaultdict(dict)
+    for r in got:
+        spans[r.doc_id][r.other_id] = (r.other_first, r.other_end)
+        spans[r.other_id][r.doc_id] = (r.first_word, r.end_word)
+    third = lambda a, b: any(min(spans[a][c][1], spans[b][c][1]) - max(spans[a][c][0], spans[b][c][0]) >= 50 for c in spans[a].keys() & spans[b].keys())
+    for ids in (range(30), range(100, 140)):
+        assert all(b in spans[a] or third(a, b) for a in ids for b in ids if a < b)
+    assert sum(r.other_id >= 100 for r in got) < 120  # members, not all 780 pairs
+
+
 @pytest.mark.parametrize("share, least", [(0.8, 0.9), (0.85, 0.95), (0.9, 0.95)])
 def test_recall_of_fuzzy_passages(spark, share, least):
     """Passages in which words are replaced at random, or one in so many: how many are found for the most part."""
