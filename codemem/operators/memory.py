@@ -309,7 +309,8 @@ def answer_text(results: DataFrame) -> DataFrame:
 
 def with_graph(results: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Neighbours of the files that ``results(rank, repo, path)`` name: one row per result and symbol."""
-    hits = results.select("rank", "repo", F.col("path").alias("file"))
+    # Both sides are bounded by the hits: they are written, so that the recall behind them runs once.
+    hits = written(results.select("rank", "repo", F.col("path").alias("file")), "hits")
     near = sized_join(edges, hits, ["repo", "file"], "inner").select("rank", "repo", "file", F.col("dst").alias("id"))
     # The hit files bound the node side as well: it is filtered before it is joined.
     known = sized_join(nodes, hits.select("repo", "file").distinct(), ["repo", "file"], "left_semi")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -727,14 +729,15 @@ def importers_of(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def recall_with_graph(spark: SparkSession, sf: str) -> DataFrame:
     """Best chunks of the code memory with the symbols of their files."""
-    at = work_dir(spark, "symbols")
     code = _code(spark, sf)
-    _symbols(spark, sf).write.parquet(at)
-    symbols = spark.read.parquet(at)
     docs = code.select(
         fi.dataset_name(F.col("repo")).alias("dataset"), F.col("path").alias("doc_id"), "repo", "path", F.col("content").alias("text")
     )
-    top = mem.recall(mem.ingest(docs), _question(spark, sf), k=5)
+    top = written(mem.recall(mem.ingest(docs), _question(spark, sf), k=5), "top")
+    # Only the files of the k best chunks are parsed.
+    hits = top.select("repo", "path").distinct().collect()
+    found = reduce(or_, [(F.col("repo") == h.repo) & (F.col("path") == h.path) for h in hits], F.lit(False))
+    symbols = written(sy.extract_symbols(rm.scanned_files(code.filter(found)).select("repo", "path", "content")), "symbols")
     found = mem.with_graph(top, gr.graph_edges(symbols), gr.graph_nodes(symbols))
     return found.select("rank", "file", "id", "grp", "label")
 

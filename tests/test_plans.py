@@ -59,6 +59,14 @@ def test_top_k_is_taken_in_each_task(spark, t, plan):
     assert "TakeOrderedAndProject" in plan(ci.latest_commits(t.commits, 5, per_repo=False))
 
 
+def test_the_recall_behind_a_graph_answer_runs_once(spark, t, plan):
+    files = t.code_files.selectExpr("repo AS dataset", "path AS doc_id", "repo", "path", "content AS text")
+    top = mem.recall(mem.ingest(files), mem.query_vector(spark, "some words"))
+    symbols = sy.regex_symbols(t.code_files.select("repo", "path", "content"))
+    assert "ArrowEvalPython" not in plan(mem.with_graph(top, gr.graph_edges(symbols), gr.graph_nodes(symbols)))
+    assert "documents.parquet" not in plan(REGISTRY["recall_with_graph"](t.spark, t.sf_dir))
+
+
 def test_extraction_runs_once_below_an_explode(t, plan):
     rows = sy.class_rows(sy.regex_symbols(t.code_files.select("path", "content")))
     assert "Filter (size(" not in plan(rows)
