@@ -261,6 +261,47 @@ def test_links_of_passages_in_many(spark, monkeypatch, block):
     assert sum(r.other_id >= 100 for r in got) < 120  # members, not all 780 pairs
 
 
+def test_variants_are_linked_by_few_rows(spark):
+    """Many variants of one text: every two are linked, or share 50 words or more with a third; not by a row for every pair."""
+    rng = np.random.default_rng(13)
+    base, rows, n = prose(35, 220).split(), [], 60
+    for i in range(n):
+        w = list(base)
+        for j in rng.choice(np.arange(2, 218), 9, replace=False):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, f"{prose(2000 + i, 5 + i % 7)} {' '.join(w)} {prose(2100 + i, 9)}", "en", "a", 1, *"dtnnsl"))
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    spans = defaultdict(dict)
+    for r in got:
+        spans[r.doc_id][r.other_id] = (r.other_first, r.other_end)
+        spans[r.other_id][r.doc_id] = (r.first_word, r.end_word)
+    third = lambda a, b: any(min(spans[a][c][1], spans[b][c][1]) - max(spans[a][c][0], spans[b][c][0]) >= 50 for c in spans[a].keys() & spans[b].keys())
+    assert all(b in spans[a] or third(a, b) for a in range(n) for b in range(a + 1, n))
+    assert len(got) < n * (n - 1) // 4
+
+
+def test_runs_of_one_word_that_prove_no_passage():
+    """What ``only_a_run`` leaves out, no alignment along the run makes longer; most pairs that share nothing else are left out."""
+    rng, left, texts = np.random.default_rng(14), 0, []
+    for _ in range(60):
+        head, tail = ([rng.choice(["the", "of", f"u{rng.integers(9)}"], p=[0.1, 0.1, 0.8]) for _ in range(rng.integers(0, 9))] for _ in range(2))
+        texts.append(" ".join([*head, *["the"] * int(rng.integers(4, 60)), *tail]))
+    data = [t.encode() for t in texts]
+    words = passages.Words(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), lower=True)
+    held = [words.hash[f : f + c] for f, c in zip(words.first, words.count)]
+    first = [next(i for i in range(len(t)) if t[i : i + 4] == ["the"] * 4) for t in map(str.split, texts)]
+    edge = passages.edges(words, np.array(first) + words.first[:-1])
+    for i in range(len(texts)):
+        for j in range(i):
+            p, q, x, y = first[i], first[j], held[i], held[j]
+            if passages.only_a_run(edge[[i]], edge[[j]], 50)[0]:
+                left += 1
+                at, _ = passages.agreeing(x, y, np.array([p]), np.array([q]))
+                run = min(sum(w == x[p] for w in x[p:]), sum(w == y[q] for w in y[q:]))
+                assert at[-1] + 1 - at[0] <= run and len(at) < 50
+    assert left > 400
+
+
 @pytest.mark.parametrize("share, least", [(0.8, 0.9), (0.85, 0.95), (0.9, 0.95)])
 def test_recall_of_fuzzy_passages(spark, share, least):
     """Passages in which words are replaced at random, or one in so many: how many are found for the most part."""
