@@ -302,6 +302,19 @@ def test_runs_of_one_word_that_prove_no_passage():
     assert left > 400
 
 
+def test_stretches_of_one_word_are_one_row(spark):
+    """A stretch of one word is one seed; documents that have only a short one in common are not paired, those with a long one are linked with the smallest."""
+    rows = [(i, f"{prose(2200 + i, 20)} {'the ' * (30 + i % 15)} u{i} the v{i} {prose(2300 + i, 20)}", "en", "a", 1, *"dtnnsl") for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = passages.seeds(docs)
+    assert found.where("size > 0").count() == 30 and found.where("size > 0").select("seed").distinct().count() == 1
+    assert passages.matches(found, docs).count() == 0
+    rows = [(i, f"{prose(2400 + i, 9)} {'so ' * (50 + 5 * i)} {prose(2500 + i, 9)}", "en", "a", 1, *"dtnnsl") for i in range(25)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id for r in got} == set(range(1, 25)) and {r.other_id for r in got} == {0}
+    assert all(r.matched == 50 and r.end_word - r.first_word == 50 for r in got)
+
+
 @pytest.mark.parametrize("share, least", [(0.8, 0.9), (0.85, 0.95), (0.9, 0.95)])
 def test_recall_of_fuzzy_passages(spark, share, least):
     """Passages in which words are replaced at random, or one in so many: how many are found for the most part."""
