@@ -1,6 +1,7 @@
 """Each operator against a plain version of its contract, on texts with every odd case."""
 
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -315,6 +316,42 @@ def test_stretches_of_one_word_are_one_row(spark):
     assert all(r.matched == 50 and r.end_word - r.first_word == 50 for r in got)
 
 
+def test_pairs_of_passages_are_worked_on_in_parts(spark, monkeypatch):
+    """Pairs, blocks and chains in many parts give what they give at once; what nothing is made from any more is removed."""
+    rng, base, rows = np.random.default_rng(15), prose(36, 90).split(), []
+    for i in range(36):
+        w = list(base)
+        for j in rng.choice(np.arange(2, 88), 4, replace=False):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, f"{prose(2600 + i, 9)} {' '.join(w)} {prose(2700 + i // 3, 60)} {prose(2800 + i, 9)}", "en", "a", 1, *"dtnnsl"))
+    docs, real, names, made = spark.createDataFrame(rows, SCHEMA), passages.stored, [], []
+    folder = lambda df: {f.rpartition("/")[0].removeprefix("file:") for f in df.inputFiles()}
+
+    def stored(df, name, *a, **k):
+        df = real(df, name, *a, **k)
+        names.append(name)
+        made.extend((name, f) for f in folder(df))
+        return df
+
+    monkeypatch.setattr(passages, "stored", stored)
+    monkeypatch.setattr(passages, "BLOCK", 8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        want = sorted(passages.repeated_passages(docs).collect())
+        assert want and names.count("passage-chains") == names.count("passage-rows") == names.count("passage-met") == 1
+        names.clear()
+        for c in ("PAIRS", "CHAINS"):
+            monkeypatch.setattr(passages, c, (5, 0))
+        monkeypatch.setattr(passages, "DEALT", 1)
+        got = passages.repeated_passages(docs)
+        assert sorted(got.collect()) == want
+        assert min(names.count(c) for c in ("passage-chains", "passage-rows", "passage-met")) > 1
+        assert folder(got) <= {f for name, f in made if name == "passage-rows"} and all(map(os.path.exists, folder(got)))
+        assert not [f for name, f in made if name in ("passage-seeds", "passage-near", "passage-pairs", "passage-chains") and os.path.exists(f)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("share, least", [(0.8, 0.9), (0.85, 0.95), (0.9, 0.95)])
 def test_recall_of_fuzzy_passages(spark, share, least):
     """Passages in which words are replaced at random, or one in so many: how many are found for the most part."""
