@@ -352,6 +352,30 @@ def test_pairs_of_passages_are_worked_on_in_parts(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("holders", [1, 20])
+def test_passage_that_a_text_has_again(spark, holders):
+    """A text has a passage twice, others once: both places are found, also where pieces of it stand before, in other order."""
+    w = prose(37, 60).split()
+    pieces = [" ".join(w[i : i + 15]) for i in (45, 30, 15, 0)]
+    rows = [(i, f"{prose(2900 + i, 20)} {' '.join(w)} {prose(2930 + i, 20)}", "en", "a", 1, *"dtnnsl") for i in range(holders)]
+    rows.append((50, f"{prose(2960, 30)} {' '.join(w)} {prose(2961, 110)} {' '.join(w)} {prose(2962, 9)}", "en", "a", 1, *"dtnnsl"))
+    rows.append((51, f"{' '.join(f'{p} {prose(2970 + i, 40)}' for i, p in enumerate(pieces))} {' '.join(w)}", "en", "a", 1, *"dtnnsl"))
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    for doc, first in ((50, 30), (50, 200), (51, 220)):
+        assert any((r.doc_id, r.other_id) == (doc, 0) and r.first_word <= first and r.end_word >= first + 60 and r.other_first <= 20 and r.other_end >= 80 for r in got), (doc, first)
+
+
+def test_stretches_that_another_word_parts(spark):
+    """Stretches of one word prove a passage though no window beside them agrees; few documents with a long one are matched all."""
+    rows = [(i, f"{prose(3000 + i, 9)} {'la ' * 45} u{i} {'la ' * 45} {prose(3030 + i, 9)}", "en", "a", 1, *"dtnnsl") for i in range(20)]
+    rows += [(100 + i, f"{prose(3060 + i, 9)} {'lo ' * 40} v{i} {'li ' * 40} {prose(3070 + i, 9)}", "en", "a", 1, *"dtnnsl") for i in range(2)]
+    rows += [(200 + i, f"{prose(3080 + i, 9)} {'le ' * n} {prose(3090 + i, 9)}", "en", "a", 1, *"dtnnsl") for i, n in enumerate((50, 165, 170))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(any((r.doc_id, r.other_id) == (i, 0) and r.matched >= 90 for r in got) for i in range(1, 20))
+    assert any((r.doc_id, r.other_id) == (101, 100) and r.matched >= 80 for r in got)
+    assert {(r.doc_id, r.other_id): r.matched for r in got if r.other_id >= 200} == {(201, 200): 50, (202, 200): 50, (202, 201): 165}
+
+
 @pytest.mark.parametrize("share, least", [(0.8, 0.9), (0.85, 0.95), (0.9, 0.95)])
 def test_recall_of_fuzzy_passages(spark, share, least):
     """Passages in which words are replaced at random, or one in so many: how many are found for the most part."""
